@@ -17,7 +17,7 @@ NONE = np.iinfo(np.int64).max
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Words a Python worker remembers before it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 class Pieces:
@@ -42,71 +42,103 @@ class Pieces:
         self.chars = {p: i for p, i in ids.items() if len(p) == 1}
         self.size = size
         pairs = {ids[p[:k]] * size + ids[p[k:]]: i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in sorted(pairs)], np.int64)
+        self._index(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
         score = np.array([sp.get_score(i) for i in range(size)])
         self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)
 
+    def _index(self, keys: np.ndarray, merged: np.ndarray) -> None:
+        """A hash table for pairs: a slot for each key, and a second, smaller table for keys whose slot is taken."""
+        self.tables, bits = [], 19
+        while len(keys):
+            slot = self._slot(keys, bits, len(self.tables))
+            slot, first = np.unique(slot, return_index=True)
+            table = np.full(1 << bits, -2, np.int64), np.zeros(1 << bits, np.int64)
+            table[0][slot], table[1][slot] = keys[first], merged[first]
+            self.tables.append((bits, *table))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, merged, bits = keys[rest], merged[rest], max(8, bits - 3)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int, turn: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn * 0x5851F42D4C957F2D & (1 << 64) - 1 | 1)) >> np.uint64(64 - bits)).view(np.int64)
+
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The merged piece and its rank for each pair of symbols; NONE as the rank where there is none."""
         key = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        piece = np.where(hit, self.merged[at], -1)
-        return piece, np.where(hit, self.rank[piece], NONE)
-
-    def merge(self, words: list[str]) -> list[np.ndarray]:
+        piece = np.full(len(key), -1, np.int64)
+        for turn, (bits, keys, merged) in enumerate(self.tables):
+            at = self._slot(key, bits, turn)
+            hit = keys[at] == key
+            piece[hit] = merged[at[hit]]
+        return piece, np.where(piece >= 0, self.rank[piece], NONE)
+
+    def merge(self, words: list[str]) -> list[list[int]]:
         """Symbols of each word once no pair is left; symbols from ``size`` on are characters without a piece.
 
         All words lie in one flat array. In a round each word takes its pair of least rank, and all leftmost
         occurrences of it that don't overlap are merged, unless a pair so formed would come before the rest:
-        then only the first, as merging one at a time would. Finished words leave the array.
+        then only the first, as merging one at a time would. Finished words leave the array; ranks are looked up
+        anew only beside what was merged.
         """
-        done: list = [None] * len(words)
         flat = "".join(words)
-        symbol = np.array([self.chars.get(c, self.size + ord(c)) for c in flat], np.int64)
+        if not flat:
+            return [[] for _ in words]
+        code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        table = np.arange(int(code.max()) + 1) + self.size
+        for c in np.flatnonzero(np.bincount(code)).tolist():
+            table[c] = self.chars.get(chr(c), self.size + c)
+        symbol = table[code]
         word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        piece, rank = (np.append(x, y) for x, y in zip(self.pair(symbol[:-1], symbol[1:]), (-1, NONE)))
+        rank[:-1][word[:-1] != word[1:]] = NONE
+        ready = []
         while len(symbol):
-            piece, rank = self.pair(symbol[:-1], symbol[1:])
-            inside = word[:-1] == word[1:]
-            rank = np.append(np.where(inside, rank, NONE), NONE)
-            start = np.flatnonzero(np.append(True, ~inside))
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             least = np.minimum.reduceat(rank, start)
-            length = np.diff(np.append(start, len(symbol)))
-            for i in np.flatnonzero(least == NONE):
-                done[word[start[i]]] = symbol[start[i] : start[i] + length[i]]
-            live = np.repeat(least, length)
-            open_ = live != NONE
-            take = np.flatnonzero(open_ & (rank == live))
-            if len(take):
-                run = np.append(True, np.diff(take) != 1)
+            live = np.repeat(least, np.diff(np.append(start, len(symbol))))
+            keep = live != NONE
+            ready.append((word[~keep], symbol[~keep]))
+            take = np.flatnonzero(keep & (rank == live))
+            if not len(take):
+                break
+            run = np.append(True, np.diff(take) != 1)
+            if not run.all():
                 first = np.maximum.accumulate(np.where(run, np.arange(len(take)), 0))
                 take = take[(np.arange(len(take)) - first) % 2 == 0]
-                own = word[take]
-                head = np.append(True, own[1:] != own[:-1])
-                if not head.all():
-                    new, low = piece[take], live[take]
-                    before = np.where((take > 0) & (word[take - 1] == own), self.pair(symbol[take - 1], new)[1], NONE)
-                    two = np.minimum(take + 2, len(symbol) - 1)
-                    after = np.where((take + 2 < len(symbol)) & (word[two] == own), self.pair(new, symbol[two])[1], NONE)
-                    unsafe = np.minimum(np.minimum(before, after), self.pair(new, new)[1]) <= low
-                    other = new != new[np.maximum.accumulate(np.where(head, np.arange(len(take)), 0))]
-                    bad = np.zeros(len(words), bool)
-                    bad[own[unsafe | other]] = True
-                    take = take[head | ~bad[own]]
-                symbol[take] = piece[take]
-                keep = open_.copy()
-                keep[take + 1] = False
-            else:
-                keep = open_
-            symbol, word = symbol[keep], word[keep]
-        return done
-
-    def ids(self, symbols: np.ndarray) -> list[int]:
+            own = word[take]
+            head = np.append(True, own[1:] != own[:-1])
+            if not head.all():
+                take = take[head | ~self._unsafe(symbol, word, piece, live, take, own, head)]
+            symbol[take] = piece[take]
+            keep[take + 1] = False
+            at = (np.cumsum(keep) - 1)[take]
+            symbol, word, piece, rank = symbol[keep], word[keep], piece[keep], rank[keep]
+            at = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            after = np.minimum(at + 1, len(symbol) - 1)
+            piece[at], new = self.pair(symbol[at], symbol[after])
+            rank[at] = np.where((word[after] == word[at]) & (after > at), new, NONE)
+        word, symbol = (np.concatenate(x) for x in zip(*ready))
+        order = np.argsort(word, kind="stable")
+        edge, out = np.searchsorted(word[order], np.arange(len(words) + 1)).tolist(), symbol[order].tolist()
+        return [out[a:b] for a, b in zip(edge, edge[1:])]
+
+    def _unsafe(self, symbol, word, piece, live, take, own, head) -> np.ndarray:
+        """Which merges are of a word where merging all at once may differ from merging one at a time."""
+        new, two = piece[take], np.minimum(take + 2, len(symbol) - 1)
+        before = np.where((take > 0) & (word[take - 1] == own), self.pair(symbol[take - 1], new)[1], NONE)
+        after = np.where((take + 2 < len(symbol)) & (word[two] == own), self.pair(new, symbol[two])[1], NONE)
+        early = np.minimum(np.minimum(before, after), self.pair(new, new)[1]) <= live[take]
+        other = new != new[np.maximum.accumulate(np.where(head, np.arange(len(take)), 0))]
+        bad = np.zeros(int(word[-1]) + 1, bool)
+        bad[own[early | other]] = True
+        return bad[own]
+
+    def ids(self, symbols: list[int]) -> list[int]:
         """Symbols as ids; a character without a piece becomes the ids of its UTF-8 bytes."""
-        if (symbols < self.size).all():
-            return symbols.tolist()
-        return [i for s in symbols.tolist() for i in ([s] if s < self.size else [self.byte_ids[bytes([b])] for b in chr(s - self.size).encode("utf-8", "surrogatepass")])]
+        if max(symbols) < self.size:
+            return symbols
+        return [i for s in symbols for i in ([s] if s < self.size else [self.byte_ids[bytes([b])] for b in chr(s - self.size).encode("utf-8", "surrogatepass")])]
 
     def words(self, text: str | None) -> list[str]:
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
