@@ -1,19 +1,19 @@
 """Token ids in files: frequency-ranked, byte-aligned variable-length codes with separate control bytes.
 
-A file set is a Parquet folder. Each row is one document's record; rows lie in files of ascending doc_id ranges
-and in ascending doc_id order within a file:
+A file set is a folder of three Parquet tables. Each row of ``records`` is one document; rows are in ascending
+doc_id order within a shard, and the shards are ascending ranges of doc_id:
 
-* ``doc_id``; ``start``, the number of ids in all records before it; ``n``, its number of ids
+* ``doc_id``; ``shard``; ``own``, the number of ids before it in its shard; ``n``, its number of ids
 * ``control``: two bits for each id, four ids to a byte from the low bits up: the length of its code less one
 * ``data``: the codes, little-endian ranks of 1 to 4 bytes
 
-and beside it a folder ``ranks`` of (rank, id), rank 0 being the most frequent id (ties: the smaller id).
+``shards`` has the number of ids before each shard, and ``ranks`` has (rank, id), rank 0 being the most frequent id
+(ties: the smaller id).
 """
 
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 from .pieces import _iterated, groups
 
-#: Chunks a Python worker remembers before it starts afresh (about 250 bytes each).
-CACHE_WORDS = 500_000
-SPACE = re.compile(r"[ \t\n\v\f\r]+")
+#: Chunks in each of the two generations a Python worker remembers (about 200 bytes each).
+CACHE_WORDS = 350_000
 #: For each control byte: the four code lengths, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 #: The id a document ends with.
@@ -65,59 +64,91 @@ def _tokenizer(path: str):
     return t
 
 
-def encode_texts(texts: list[str | None], path: str, cache: dict[str, bytes]) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers.
+class Encoder:
+    """Encodes texts chunk by chunk, for tokenizers that lower-case, drop white space and keep letters apart from signs.
 
-    For tokenizers that drop white space, so that what stands between it can be encoded alone: each distinct chunk
-    is encoded once and remembered. The new ones go through the library together, separated by spaces, and its
-    offsets tell which ids belong to which chunk.
+    What stands between ASCII white space can then be encoded alone, and so can full stops and commas that follow
+    a letter. Each distinct chunk is encoded once and remembered, by the tasks of a worker together, in two
+    generations: chunks in use move to the younger, and the older goes when the younger is full. New chunks go
+    through the library in one call, separated by spaces; its offsets tell which ids are of which chunk.
     """
-    cut = [SPACE.split(x) if x else [] for x in texts]
-    new = list({w for words in cut for w in words if w not in cache})
-    if new:
-        part = _tokenizer(path).encode(" ".join(new), add_special_tokens=False)
-        size = np.fromiter(map(len, new), np.int64, len(new))
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _library(self, new: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "surrogatepass") for w in new]
+        part = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.cumsum(size + 1) - size - 1
         at = np.fromiter((a for a, _ in part.offsets), np.int64, len(part.ids))
-        ids, edge = np.array(part.ids, "<u4"), np.searchsorted(at, np.append(begin, np.iinfo(np.int64).max))
-        raw, edge = ids.tobytes(), (4 * edge).tolist()
-        cache.update(zip(new, (raw[a:b] for a, b in zip(edge, edge[1:]))))
-    return [b"".join(map(cache.__getitem__, words)) for words in cut]
+        raw = np.array(part.ids, self.dtype).tobytes()
+        edge = (self.dtype.itemsize * np.searchsorted(at, np.append(begin, np.iinfo(np.int64).max))).tolist()
+        self.young.update(zip(new, (raw[a:b] for a, b in zip(edge, edge[1:]))))
+
+    def _learn(self, words: set[bytes]) -> None:
+        young, old = self.young, self.old
+        words = {w for w in words if w not in young}
+        for w in words & old.keys():
+            young[w] = old[w]
+        parts = {}
+        for w in words - young.keys():
+            bare = w.rstrip(b",.")
+            ends = bare and len(bare) < len(w) and (97 <= bare[-1] <= 122 or bare[-1] > 127 and bare.decode("utf-8", "surrogatepass").lower()[-1].isalpha())
+            parts[w] = (bare, w[len(bare) :]) if ends else (w,)
+        new = {x for p in parts.values() for x in p if x not in young}
+        if new:
+            self._library(list(new))
+        for w, p in parts.items():
+            if len(p) > 1:
+                young[w] = young[p[0]] + young[p[1]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian integers of ``dtype``."""
+        raws = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+        cut = [(x if b"<|" in x else x.lower()).split() for x in raws]
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        self._learn(set().union(*cut))
+        of = self.young.__getitem__
+        return [b"".join(map(of, words)) for words in cut]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_token_files(docs: DataFrame, path: str, out: str) -> None:
     """Encode every whole ``text`` with the tokenizer at ``path``, append END, and write the file set ``out``.
 
-    Ids are encoded once, into a table in the shared folder. Their counts, taken a task at a time by numpy and
-    summed by Spark, give the ranks: the vocabulary bounds that table, so it is broadcast. Records are dealt by
-    ranges of doc_id and sorted within; starts are a running sum inside each range, after the sums of the ranges
-    before. Null texts are empty (END alone), null doc_ids come first, rows that share a doc_id are neighbours in
-    any order, an empty table gives an empty file set. Only doc_id and text are read.
+    Ids are encoded once, into a table in the shared folder. Their counts, taken a batch at a time by numpy and
+    summed by Spark, give the ranks: the vocabulary bounds that table, so it is broadcast. Documents are dealt by
+    ranges of doc_id, sorted, and coded in that order, which gives each its start within the shard. Null texts are
+    empty (END alone), null doc_ids come first, rows that share a doc_id are neighbours in any order, an empty
+    table gives empty files. Only doc_id and text are read.
     """
-    spark, version = docs.sparkSession, uuid.uuid4().hex
-    end = np.array([END], "<u4").tobytes()
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    dtype = Encoder(path).dtype
+    end = np.array([END], dtype).tobytes()
 
     def encode(batches):
-        cache: dict[str, bytes] = {}
         for texts in batches:
-            rows = []
-            for part in groups(texts):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                rows += [x + end for x in encode_texts(part, path, cache)]
-            yield pd.Series(rows, dtype=object)
-
-    raw = f"{shared_dir(spark)}/raw-ids-{version}"
+            yield pd.Series([x + end for part in groups(texts, 1 << 22) for x in encoder(path).encode(part)], dtype=object)
+
+    raw = f"{shared_dir(spark)}/raw-ids-{uuid.uuid4().hex}"
     docs.select("doc_id", _iterated(encode, "binary")("text").alias("raw")).write.parquet(raw)
-    ids = spark.read.schema("doc_id long, raw binary" if dict(docs.dtypes)["doc_id"] == "bigint" else f"doc_id {dict(docs.dtypes)['doc_id']}, raw binary").parquet(raw)
+    ids = spark.read.schema(f"doc_id {kind}, raw binary").parquet(raw)
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for pdf in batches:
-            for x in pdf["raw"]:
-                own = np.bincount(np.frombuffer(x, "<u4"))
-                total = np.pad(total, (0, max(0, len(own) - len(total))))
-                total[: len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(pdf["raw"]), dtype))
+            total = np.pad(total, (0, max(0, len(own) - len(total))))
+            total[: len(own)] += own
         yield pd.DataFrame({"id": np.flatnonzero(total), "n": total[total > 0]})
 
     ranks = ids.select("raw").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").select("id").toPandas()
@@ -127,21 +158,21 @@ def write_token_files(docs: DataFrame, path: str, out: str) -> None:
     shared = spark.sparkContext.broadcast(rank)
 
     def code(batches):
-        for raws in batches:
-            yield pd.DataFrame([(len(x) // 4, *pack(shared.value[np.frombuffer(x, "<u4")])) for x in raws], columns=["n", "control", "data"])
-
-    from collections.abc import Iterator
+        before = 0
+        for pdf in batches:
+            rows = [(len(x) // dtype.itemsize, *pack(shared.value[np.frombuffer(x, dtype)])) for x in pdf["raw"]]
+            coded = pd.DataFrame(rows, columns=["n", "control", "data"])
+            coded.insert(0, "own", before + coded["n"].cumsum() - coded["n"])
+            coded.insert(0, "shard", pdf["shard"].to_numpy())
+            coded.insert(0, "doc_id", pdf["doc_id"])
+            before += int(coded["n"].sum())
+            yield coded
 
-    code.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    coded = ids.select("doc_id", F.pandas_udf(code, "n long, control binary, data binary")("raw").alias("o")).select("doc_id", "o.*")
-    sorted_ = f"{shared_dir(spark)}/sorted-{version}"
-    coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id()).write.parquet(sorted_)
-    rows = spark.read.schema(f"doc_id {dict(docs.dtypes)['doc_id']}, n long, control binary, data binary, shard int").parquet(sorted_)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    base = rows.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.join(F.broadcast(base), "shard").withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(own), F.lit(0)))
-    starts.select("doc_id", "start", "n", "control", "data").write.parquet(f"{out}/records")
+    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id())
+    ordered.mapInPandas(code, f"doc_id {kind}, shard int, own long, n long, control binary, data binary").write.parquet(f"{out}/records")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
+    sums = spark.read.parquet(f"{out}/records").groupBy("shard").agg(F.sum("n").alias("n"))
+    sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.parquet(f"{out}/shards")
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
@@ -153,8 +184,8 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     def decode(control: pd.Series, data: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([shared.value[unpack(c, d, k)].tobytes() for c, d, k in zip(control, data, n)], dtype=object)
 
-    rows = spark.read.parquet(f"{out}/records")
-    return rows.select("doc_id", "start", F.col("n").alias("n_tokens"), decode("control", "data", "n").alias("ids"))
+    rows = spark.read.parquet(f"{out}/records").join(F.broadcast(spark.read.parquet(f"{out}/shards")), "shard")
+    return rows.select("doc_id", (F.col("base") + F.col("own")).alias("start"), F.col("n").alias("n_tokens"), decode("control", "data", "n").alias("ids"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
