@@ -73,6 +73,6 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: dict[str, int] | None = None, default: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of sums doesn't show; minus zero becomes zero."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, (digits or {}).get(c, default)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -115,7 +115,7 @@ def hmm_states(features: DataFrame, k: int = 4, rounds: int = 100, seed: int = 4
         m = hmm_fit(scaled(pdf), k, rounds, seed, kind)
         return pd.DataFrame(m["posterior"], columns=cols).assign(date=pdf["date"].to_numpy(), regime_id=m["states"])[["date", "regime_id", *cols]]
 
-    return features.groupBy(F.lit(1)).applyInPandas(fit, "date date, regime_id int, " + ", ".join(f"{c} double" for c in cols))
+    return features.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(fit, "date date, regime_id int, " + ", ".join(f"{c} double" for c in cols))
 
 
 def n_parameters(k: int, d: int, kind: str) -> int:
@@ -141,7 +141,7 @@ def regime_profile(features: DataFrame, states: DataFrame) -> DataFrame:
     rows = features.join(states.select("date", "regime_id"), "date").unpivot(["date", "regime_id"], FEATURES, "feature", "value")
     rows = rows.groupBy("regime_id", "feature").agg(F.avg("value").alias("mean"))
     w = Window.partitionBy("feature")
-    return rows.withColumn("z", ratio(F.col("mean") - F.avg("mean").over(w), F.nullif(F.stddev_samp("mean").over(w), F.lit(0.0))))
+    return rows.withColumn("z", ratio(F.col("mean") - F.avg("mean").over(w), F.when(F.stddev_samp("mean").over(w) > 1e-12, F.stddev_samp("mean").over(w))))
 
 
 def regime_labels(features: DataFrame, states: DataFrame, k: int = 4) -> DataFrame:

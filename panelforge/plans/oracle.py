@@ -146,10 +146,10 @@ SELECTS = {
     "stored_returns": ("bucket", "SELECT *, 'daily' AS freq FROM dret UNION ALL SELECT *, 'monthly' FROM mret"),
     "validate_index": ("bucket", """SELECT t AS index_ticker, c AS correlation, coalesce(c >= 0.3, false) AS valid FROM (SELECT min(t) AS t, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS c FROM
         (SELECT date, (SELECT min(ticker) FROM mret) AS t, avg(simple_return) AS a, max(CASE WHEN ticker = (SELECT min(ticker) FROM mret) THEN simple_return END) AS b FROM mret GROUP BY date) WHERE a IS NOT NULL AND b IS NOT NULL)"""),
-    "universe_membership": ("supplier", "SELECT * FROM member"),
-    "universe_size": ("supplier", "SELECT date, count(*) FILTER (in_universe) AS n_members, count(*) AS n_total, count(*) FILTER (in_universe) / count(*) AS inclusion_rate FROM member GROUP BY date"),
+    "universe_membership": ("bucket", "SELECT * FROM member"),
+    "universe_size": ("bucket", "SELECT date, count(*) FILTER (in_universe) AS n_members, count(*) AS n_total, count(*) FILTER (in_universe) / count(*) AS inclusion_rate FROM member GROUP BY date"),
     "asof_membership": ("bucket", "SELECT date, ticker, in_universe FROM mmem WHERE in_universe IS NOT NULL"),
-    "fill_gaps_drop": ("bucket", """SELECT date, ticker, value FROM dpanel WHERE ticker NOT IN (SELECT ticker FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - row_number() OVER (PARTITION BY ticker, value IS NULL ORDER BY date) AS g, value FROM dpanel) WHERE value IS NULL GROUP BY ticker, g HAVING count(*) > 5)"""),
+    "fill_gaps_drop": ("bucket", """SELECT date, ticker, value FROM dpanel WHERE ticker NOT IN (SELECT ticker FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - row_number() OVER (PARTITION BY ticker, value IS NULL ORDER BY date) AS g, value FROM dpanel) WHERE value IS NULL GROUP BY ticker, g HAVING count(*) > 14)"""),
     "trim_by_universe": ("bucket", "SELECT date, ticker, CASE WHEN in_universe THEN value END AS value FROM mpanel LEFT JOIN mmem USING (date, ticker)"),
     "xs_stats": ("supplier", f"SELECT date, {MOMENTS('median(value) AS median, ')}, avg(CASE WHEN value IS NOT NULL THEN (value > 0)::INTEGER END) AS pct_positive, nullif(count(value), 0) AS n_stocks FROM mpanel GROUP BY date"),
     "annual_stats": ("supplier", f"SELECT year(date)::INTEGER AS year, count(*) AS n_obs, {MOMENTS('')}, min(value) AS min, max(value) AS max FROM mpanel WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 10"),
@@ -171,7 +171,7 @@ SELECTS = {
     "topk_weights": ("bucket", "SELECT * FROM wts"),
     "long_short_weights": ("bucket", "SELECT backtest_name, date, ticker, CASE WHEN l THEN 0.5 / nullif(count(*) FILTER (l) OVER w, 0) ELSE -0.5 / nullif(count(*) FILTER (s) OVER w, 0) END AS weight FROM (SELECT *, top <= k AND low > k AS l, low <= k AND top > k AS s FROM rkd) WHERE l OR s WINDOW w AS (PARTITION BY backtest_name, date)"),
     "trades": ("bucket", "SELECT backtest_name, date, ticker, CASE WHEN c > 0 THEN 'buy' ELSE 'sell' END AS trade_type, c AS weight_change, abs(c) AS turnover_contribution FROM (SELECT *, round(target - drifted, 9) AS c FROM mv) WHERE c <> 0 AND i > first"),
-    "backtest_results": ("bucket", "SELECT * REPLACE (portfolio_value / 1e7 AS portfolio_value) FROM results"),
+    "backtest_results": ("bucket", "SELECT * REPLACE (ln(portfolio_value / 1e7) AS portfolio_value) FROM results"),
     "monthly_grid": ("bucket", "SELECT backtest_name, year(date)::INTEGER AS year, " + ", ".join(f"coalesce(product(1 + net_return) FILTER (month(date) = {m}) - 1, 0) AS m{m:02}" for m in range(1, 13)) + ", product(1 + net_return) - 1 AS total FROM results GROUP BY 1, 2"),
     "backtest_metrics": ("bucket", """SELECT backtest_name, metric_name, value FROM (SELECT backtest_name, cum AS cumulative_return, gcum AS cumulative_return_gross, pow(1 + cum, 12.0 / n) - 1 AS cagr, dd AS max_drawdown, win AS win_rate, tu AS avg_turnover, sd * sqrt(12.0) AS annualized_volatility,
         CASE WHEN sd <= 1e-12 THEN 0 ELSE m / sd * sqrt(12.0) END AS sharpe_ratio, coalesce(m / nullif(down, 0) * sqrt(12.0), 0) AS sortino_ratio, CASE WHEN abs(dd) > 1e-12 THEN (pow(1 + cum, 12.0 / n) - 1) / abs(dd) END AS calmar_ratio, tu * 12 AS annualized_turnover FROM
@@ -185,7 +185,7 @@ SELECTS = {
     "ic_composite": ("bucket", "SELECT date, ticker, sum(weight * score) AS composite_score FROM plong JOIN icw USING (date, factor_name) GROUP BY 1, 2"),
     "factor_corr": ("bucket", "SELECT factor_a, factor_b, correlation FROM (SELECT a.factor_name AS factor_a, b.factor_name AS factor_b, covar_samp(a.r, b.r) / nullif(stddev_samp(a.r) * stddev_samp(b.r), 0) AS correlation FROM r a JOIN r b ON a.date = b.date AND a.ticker = b.ticker AND a.factor_name <= b.factor_name GROUP BY 1, 2)"),
     "regime_features": ("bucket", "SELECT * FROM feats"),
-    "regime_profile": ("bucket", "SELECT regime_id, feature, mean, (mean - avg(mean) OVER w) / nullif(stddev_samp(mean) OVER w, 0) AS z FROM (SELECT regime_id, feature, avg(value) AS mean FROM (UNPIVOT (SELECT * FROM feats JOIN states USING (date)) ON market_vol, market_mom, vix_level, vix_change, yield_slope, credit_spread, gdp_growth INTO NAME feature VALUE value) GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature)"),
+    "regime_profile": ("bucket", "SELECT regime_id, feature, mean, (mean - avg(mean) OVER w) / CASE WHEN stddev_samp(mean) OVER w > 1e-12 THEN stddev_samp(mean) OVER w END AS z FROM (SELECT regime_id, feature, avg(value) AS mean FROM (UNPIVOT (SELECT * FROM feats JOIN states USING (date)) ON market_vol, market_mom, vix_level, vix_change, yield_slope, credit_spread, gdp_growth INTO NAME feature VALUE value) GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature)"),
     "regime_spans": ("bucket", "SELECT regime_id, min(date) AS start_date, max(date) AS end_date, count(*) AS n_dates FROM (SELECT *, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY regime_id ORDER BY date) AS g FROM states) GROUP BY regime_id, g"),
     "regime_transitions": ("bucket", "SELECT from_id, to_id, p AS probability, 1 / (1 - max(CASE WHEN from_id = to_id THEN p ELSE 0 END) OVER (PARTITION BY from_id)) AS expected_duration FROM (SELECT from_id, to_id, count(*) / sum(count(*)) OVER (PARTITION BY from_id) AS p FROM (SELECT regime_id AS from_id, lead(regime_id) OVER (ORDER BY date) AS to_id FROM states) WHERE to_id IS NOT NULL GROUP BY 1, 2)"),
     "regime_labels": ("bucket", """SELECT regime_id, CASE WHEN regime_id = bear THEN 'Bear' WHEN regime_id = bull THEN 'Bull' WHEN regime_id = shock THEN 'Rate Shock' ELSE 'Neutral' END AS regime_label FROM m CROSS JOIN (SELECT bear, bull, (SELECT regime_id FROM m WHERE regime_id NOT IN (bear, bull) ORDER BY s, regime_id LIMIT 1) AS shock FROM
@@ -198,6 +198,9 @@ SELECTS = {
     "cap_weights": ("bucket", "SELECT backtest_name, date, ticker, weight FROM wts"),
     "event_windows": ("bucket", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2"),
 }
+#: Digits that are compared; where values are exact quotients, six would end in ties.
+DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", *(f"factor_{f}" for f in FACTORS))}
+DIGITS |= {"avg_dollar_vol": 3}
 EXTRA = {
     "factor_corr": ", r AS (" + " UNION ALL ".join(f"SELECT date, ticker, '{n}' AS factor_name, rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS r FROM panel" for n in PRICE + VALUE) + ")",
     "regime_labels": ", m AS (SELECT regime_id, avg(market_vol) AS v, avg(market_mom) AS o, avg(yield_slope) AS s FROM feats JOIN states USING (date) GROUP BY 1)",
@@ -207,5 +210,5 @@ EXTRA = {
 def sql(name: str, columns: list[tuple[str, str]]) -> str:
     """The query's SQL, its doubles rounded as the query's are."""
     by, select = SELECTS[name]
-    cols = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" if t == "double" else f"CAST({c} AS BIGINT) AS {c}" if t == "bigint" else c for c, t in columns)
+    cols = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS.get(c, DIGITS.get(name, 6))}) + 0.0 AS {c}" if t == "double" else f"CAST({c} AS BIGINT) AS {c}" if t == "bigint" else c for c, t in columns)
     return f"{base(by)}{EXTRA.get(name, '')}\n    SELECT {cols} FROM ({select})"

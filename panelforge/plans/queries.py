@@ -14,6 +14,8 @@ from . import oracle
 S, X, D = "string", "double", "date"
 SCORES = ["raw_score", "winsorized_score", "z_score", "final_score"]
 BASIC = sorted(factors.PRICE + factors.VALUE)
+#: Days without a price that a ticker may have in a row in fill_gaps_drop.
+MOST = 14
 #: Name: (function of a Star, result columns)
 PLANS: dict = {}
 
@@ -79,7 +81,7 @@ plan("validate_index", "index_ticker:string correlation valid:boolean")(lambda s
 plan("universe_membership", KEY + "in_universe:boolean market_cap_proxy avg_dollar_vol days_since_first_price:int")(_member)
 plan("universe_size", "date:date n_members:bigint n_total:bigint inclusion_rate")(lambda s: returns.inclusion(_member(s)))
 plan("asof_membership", KEY + "in_universe:boolean")(lambda s: returns.asof_membership(_mpanel(s), _member(s)))
-plan("fill_gaps_drop", KEY + "value")(lambda s: returns.fill_gaps(returns.panel(returns.daily_returns(s.prices())), "drop_cols"))
+plan("fill_gaps_drop", KEY + "value")(lambda s: returns.fill_gaps(returns.panel(returns.daily_returns(s.prices())), "drop_cols", MOST))
 plan("trim_by_universe", KEY + "value")(lambda s: returns.trim_by_universe(_mpanel(s), returns.asof_membership(_mpanel(s), _member(s))))
 plan("xs_stats", "date:date mean std median skewness excess_kurtosis pct_positive n_stocks:bigint")(lambda s: returns.xs_stats(_mpanel(s)))
 plan("annual_stats", "year:int n_obs:bigint mean std skewness excess_kurtosis min max")(lambda s: returns.annual_stats(_mpanel(s)))
@@ -102,7 +104,7 @@ plan("topk_weights", "backtest_name:string date:date ticker:string weight")(lamb
 plan("long_short_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.long_short_weights(_common(s)))
 plan("cap_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.cap_weights(backtest.topk_weights(_common(s))))
 plan("trades", "backtest_name:string date:date ticker:string trade_type:string weight_change turnover_contribution")(lambda s: backtest.trades(_moves(s)))
-plan("backtest_results", "backtest_name:string date:date gross_return net_return portfolio_value drawdown turnover transaction_costs")(lambda s: backtest.backtest_results(_moves(s)).withColumn("portfolio_value", F.col("portfolio_value") / 1e7))
+plan("backtest_results", "backtest_name:string date:date gross_return net_return portfolio_value drawdown turnover transaction_costs")(lambda s: backtest.backtest_results(_moves(s)).withColumn("portfolio_value", F.ln(F.col("portfolio_value") / 1e7)))
 plan("backtest_metrics", "backtest_name:string metric_name:string value")(lambda s: backtest.backtest_metrics(backtest.backtest_results(_moves(s))))
 plan("annual_perf", "backtest_name:string year:int annual_return volatility sharpe max_drawdown")(lambda s: backtest.annual_perf(backtest.backtest_results(_moves(s))))
 plan("monthly_grid", "backtest_name:string year:int " + " ".join(f"m{m:02}" for m in range(1, 13)) + " total")(lambda s: backtest.monthly_grid(backtest.backtest_results(_moves(s))))
@@ -157,7 +159,7 @@ def _query(name: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = f(Star(spark, sf_dir, by))
-        return rounded(rows.select(*[F.col(c).cast(t).alias(c) if t not in (X, "timestamp") else F.col(c) for c, t in columns]))
+        return rounded(rows.select(*[F.col(c).cast(t).alias(c) if t not in (X, "timestamp") else F.col(c) for c, t in columns]), oracle.DIGITS, oracle.DIGITS.get(name, 6))
 
     return run
 
