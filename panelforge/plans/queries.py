@@ -40,7 +40,8 @@ def _member(s):
 
 
 def _scores(s, names=factors.FACTORS):
-    return factors.factor_scores(s, list(names))
+    """Used more than once by most queries, so kept: a few columns for each month, ticker and factor."""
+    return factors.factor_scores(s, list(names)).persist()
 
 
 def _mret(s):
