@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import learnable
-from .pieces import groups
 
 #: Bounds of what is learned: labelled rows, lexicon terms, and misspellings seen in training.
 TRAIN_ROWS, TERMS, KNOWN = 20_000, 5_000, 20_000
@@ -33,7 +32,10 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float], known: dict[str, float] | None = None):
         self.terms, self.known, self.trie = terms, known or {}, {}
-        self.reach = set()
+        self.reach, self.longest = set(), max(map(len, terms), default=0)
+        #: What a worker remembers: words met, and those of them that match.
+        self.met: set[str] = set()
+        self.marked: dict[str, tuple[float, bool]] = {}
         for term in terms:
             node = self.trie
             for c in term:
@@ -53,7 +55,7 @@ class Lexicon:
         a branch ends where no entry is within EDITS. Words that share no one-letter deletion with a term can't
         reach an end and aren't tried.
         """
-        if not any(x in self.reach for x in self.shortened(word)):
+        if not FUZZY_LENGTH - EDITS <= len(word) <= self.longest + EDITS or self.reach.isdisjoint(self.shortened(word)):
             return None
         best, stack = (EDITS + 1, ""), [(self.trie, list(range(len(word) + 1)))]
         while stack:
@@ -80,16 +82,20 @@ class Lexicon:
         weight = self.known.get(word, self.terms[term])
         return (weight, True) if weight > 0 else None
 
-    def features(self, text: str | None, cache: dict) -> list[float]:
+    def features(self, text: str | None) -> list[float]:
         """Sums over hits: abusive, misspelled, quoted; the largest weight; hits in 100 words."""
         low = (text or "").lower()
         words = WORD.findall(low)
-        for w in set(words):
-            if w not in cache:
-                cache[w] = self.match(w)
-        hits = [i for i, w in enumerate(words) if cache[w]]
-        if not hits:
+        distinct = set(words)
+        if len(self.met) > CACHE_WORDS:
+            self.met, self.marked = set(), {}
+        new = distinct - self.met
+        self.met |= new
+        self.marked.update((w, m) for w in new if (m := self.match(w)))
+        if self.marked.keys().isdisjoint(distinct):
             return [0.0] * 5
+        cache = self.marked
+        hits = [i for i, w in enumerate(words) if w in cache]
         spans = [m.span() for m in WORD.finditer(low)]
         abuse = fuzzy = quoted = top = 0.0
         for i in hits:
@@ -159,9 +165,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     shared = spark.sparkContext.broadcast(lexicon)
 
     def featured(batches):
-        cache: dict = {}
         for pdf in batches:
-            yield pd.DataFrame([[*shared.value.features(t, cache), float(y)] for t, y in zip(pdf["text"], pdf["toxic"])], columns=[*"abcde", "y"])
+            yield pd.DataFrame([[*shared.value.features(t), float(y)] for t, y in zip(pdf["text"], pdf["toxic"])], columns=[*"abcde", "y"])
 
     x = rows.mapInPandas(featured, "a double, b double, c double, d double, e double, y double").toPandas().to_numpy()
     if n1 == 0 or n0 == 0:
@@ -174,14 +179,9 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, weights))
 
     def rate(batches):
-        (lex, w), cache = shared.value, {}
+        lex, w = shared.value
         for texts in batches:
-            out = []
-            for part in groups(texts):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                out += [float(1 / (1 + math.exp(-max(-30, min(30, np.dot(w[:-1], lex.features(t, cache)) + w[-1]))))) for t in part]
-            yield pd.Series(out, dtype=float)
+            yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(w[:-1], lex.features(t)) + w[-1]))))) for t in texts], dtype=float)
 
     rate.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.select("doc_id", F.pandas_udf(rate, "double")("text").alias("score"))

@@ -225,7 +225,7 @@ def test_op8(spark):
     more = spark.createDataFrame([(1, say("blockhead")), (2, say("blokhead")), (3, say()), (4, None), (5, ""), (6, say() + ' he said "blockhead" ' + say())], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(more, lexicon, weights).collect()}
     assert "blockhead" in lexicon.terms and got[1] > 0.3 and max(got[3], got[4], got[5]) < 0.3 and got[2] > got[3]
-    plain, quote = lexicon.features(say("blockhead"), {}), lexicon.features('a "b blockhead" said', {})
+    plain, quote = lexicon.features(say("blockhead")), lexicon.features('a "b blockhead" said')
     assert plain[2] == 0 < quote[2] and quote[0] < plain[0]
     empty = docs.limit(0)
     assert toxicity.score(empty, *toxicity.train(empty, labels.limit(0))).count() == 0
