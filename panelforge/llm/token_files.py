@@ -27,7 +27,7 @@ from .common import shared_dir
 from .pieces import _iterated, groups
 
 #: Chunks in each of the two generations a Python worker remembers (about 200 bytes each).
-CACHE_WORDS = 350_000
+CACHE_WORDS = 250_000
 #: For each control byte: the four code lengths, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 #: The id a document ends with.
