@@ -51,25 +51,33 @@ class Lexicon:
     def near(self, word: str) -> str | None:
         """The nearest term within EDITS of ``word``; of equally near ones the first in order.
 
-        The states of the word's Levenshtein automaton are the rows of edit distances; they run down the trie and
-        a branch ends where no entry is within EDITS. Words that share no one-letter deletion with a term can't
+        The states of the word's Levenshtein automaton are the entries near the diagonal of the rows of edit
+        distances; they run down the trie and a branch ends where none is within EDITS. Words that share no one-letter deletion with a term can't
         reach an end and aren't tried.
         """
         if not FUZZY_LENGTH - EDITS <= len(word) <= self.longest + EDITS or self.reach.isdisjoint(self.shortened(word)):
             return None
-        best, stack = (EDITS + 1, ""), [(self.trie, list(range(len(word) + 1)))]
+        size, best = len(word), (EDITS + 1, "")
+        first = tuple(abs(k) if k >= 0 else size for k in range(-EDITS, EDITS + 1))
+        stack = [(self.trie, 0, first)]
         while stack:
-            node, row = stack.pop()
+            node, depth, row = stack.pop()
             for c, below in node.items():
                 if c == "":
-                    if row[-1] <= EDITS and len(below) >= FUZZY_LENGTH:
-                        best = min(best, (row[-1], below))
+                    k = size - depth + EDITS
+                    if 0 <= k <= 2 * EDITS and row[k] <= EDITS and len(below) >= FUZZY_LENGTH:
+                        best = min(best, (row[k], below))
                     continue
-                new = [row[0] + 1]
-                for i, x in enumerate(word):
-                    new.append(min(row[i] + (x != c), row[i + 1] + 1, new[-1] + 1))
+                new, left = [], size
+                for k in range(2 * EDITS + 1):
+                    i = depth + 1 + k - EDITS  # letters of the word; the entry's place in the full row
+                    if i < 0 or i > size:
+                        new.append(size)
+                        continue
+                    left = min(row[k + 1] + 1 if k < 2 * EDITS else size, row[k] + (i == 0 or word[i - 1] != c), left + 1)
+                    new.append(left)
                 if min(new) <= EDITS:
-                    stack.append((below, new))
+                    stack.append((below, depth + 1, new))
         return best[1] if best[0] <= EDITS else None
 
     def match(self, word: str) -> tuple[float, bool] | None:
