@@ -200,7 +200,7 @@ SELECTS = {
 }
 #: Digits that are compared; where values are exact quotients, six would end in ties.
 DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", *(f"factor_{f}" for f in FACTORS))}
-DIGITS |= {"avg_dollar_vol": 3}
+DIGITS |= {"avg_dollar_vol": 7}
 EXTRA = {
     "factor_corr": ", r AS (" + " UNION ALL ".join(f"SELECT date, ticker, '{n}' AS factor_name, rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS r FROM panel" for n in PRICE + VALUE) + ")",
     "regime_labels": ", m AS (SELECT regime_id, avg(market_vol) AS v, avg(market_mom) AS o, avg(yield_slope) AS s FROM feats JOIN states USING (date) GROUP BY 1)",
