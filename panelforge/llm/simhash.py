@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import connected_components, written
 
 SEED, BLOCK = 42, 1 << 16
+#: Similar texts share this much of their shingles of so many words.
+WORDS, SIMILARITY = 5, 0.8
+#: Wide fingerprints (two halves of 64 bits) within 2 * HALF_RADIUS + 1 bits always meet in the index; pairs that meet
+#: there and differ in more than REACH bits aren't compared by their shingles.
+HALF_RADIUS, REACH = 5, 32
+#: Ids of texts to compare are broadcast up to this many (8 bytes each), else joined by a shuffle.
+BROADCAST_NODES = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -44,8 +51,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", simhash("text").alias("fp"))
 
 
-def variants(fps: DataFrame, radius: int) -> DataFrame:
-    """The index: ``(key, fp)``, one key for each bit of each segment, with that bit left out.
+def variants(fps: DataFrame, radius: int, *keep) -> DataFrame:
+    """The index: ``key`` and the columns ``keep`` (``fp``), one key for each bit of each segment, with that bit left out.
 
     With ``radius // 2 + 1`` segments, two fingerprints within the radius differ by one bit at most in some
     segment, so they share the key that leaves out this bit (any key of the segment if they agree on it).
@@ -55,9 +62,9 @@ def variants(fps: DataFrame, radius: int) -> DataFrame:
     bits = [(lo, hi, bit) for lo, hi in zip(edges, edges[1:]) for bit in range(lo, hi)]
     of = "array({})".format
     low, mask = of(",".join(str(lo) for lo, _, _ in bits)), of(",".join(f"{(((1 << (hi - lo)) - 1) & ~(1 << (bit - lo))) & ((1 << 64) - 1)}L" for lo, hi, bit in bits) if n > 1 else ",".join(f"{~(1 << bit) if bit < 63 else (1 << 63) - 1}L" for _, _, bit in bits))
-    spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    spread = fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     kept = f"(shiftrightunsigned(fp, {low}[bit]) & {mask}[bit])"
-    return spread.select(F.expr(f"struct(cast(bit as tinyint) as bit, {kept} as rest)").alias("key"), "fp")
+    return spread.select(F.expr(f"struct(cast(bit as tinyint) as bit, {kept} as rest)").alias("key"), *(keep or ["fp"]))
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
@@ -89,5 +96,102 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """128-bit SimHash over pairs of neighbouring words (a lone word is one), as two signed longs.
+
+    One changed word changes two pairs but five shingles of five words, so similar texts stay close; single words
+    would stay closer, but bring long texts of one language together.
+    """
+    import xxhash
+
+    if not words:
+        return 0, 0
+    line, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    start, end = (end - size)[: max(1, len(words) - 1)], end[min(1, len(words) - 1) :]
+    votes = np.zeros(128, np.int64)
+    for at in range(0, len(start), BLOCK):
+        raw = b"".join([xxhash.xxh3_128_digest(line[i:j], SEED) for i, j in zip(start[at : at + BLOCK].tolist(), end[at : at + BLOCK].tolist())])
+        votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+    return tuple(np.packbits(votes * 2 > len(start)).view(np.int64).tolist())
+
+
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles of ``words`` words, hashed; a text with fewer words is one, one without words has none."""
+    import xxhash
+
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.int64)
+    runs = (b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64)).view(np.int64)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) of nodes whose shingles' Jaccard similarity reaches ``similarity``, written.
+
+    ``texts`` has the ``text`` of each ``node`` (of several the first in order); two texts without words are equal.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(x) for x in texts], dtype=object)
+
+    pairs = written(pairs, "candidates")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    few = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked, "node")
+    grams = written(few.groupBy("node").agg(F.min("text").alias("text")).select("node", hashed("text").alias("grams")), "grams")
+    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    enough = common >= F.lit(similarity) * (F.size("ga") + F.size("gb") - common)
+    return written(both.where(enough).select("a", "b"), "similar")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, text_id, component_id)`` of every row: groups of texts linked by a shingle similarity.
+
+    Texts of equal words (A-Z lower-cased) are one node, named by their smallest doc_id. Nodes get 128-bit SimHash
+    fingerprints, whose halves are indexed by deletion variants; those that meet in a key and differ in REACH bits at
+    most are compared by their shingles. A group of many copies would make all pairs there, so this goes in two
+    steps: each node with the key's least node, which gathers such groups into classes, and then, in each key,
+    the least nodes of different classes. ``component_id`` is the smallest doc_id reachable.
+
+    Null and empty texts are texts without words and equal. Rows with a null doc_id belong to the node of their words,
+    but texts that only such rows have get a null component. Columns other than doc_id and text are not read, repeated
+    rows are repeated, an empty table gives an empty table.
+    """
+    import xxhash
+
+    @F.pandas_udf("hi long, lo long, text_id binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            parts = (x or "").encode("utf-8", "surrogatepass").lower().split()
+            rows.append((*wide_fingerprint(parts), xxhash.xxh3_128_digest(b" ".join(parts))))
+        return pd.DataFrame(rows, columns=["hi", "lo", "text_id"])
+
+    rows = written(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"), "sketches")
+    nodes = written(rows.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node"), F.first("hi").alias("hi"), F.first("lo").alias("lo")), "nodes")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    point = F.struct("node", "hi", "lo").alias("p")
+    index = variants(nodes.select(point, F.col("hi").alias("fp")), HALF_RADIUS, "p", F.lit(False).alias("low"))
+    index = index.unionByName(variants(nodes.select(point, F.col("lo").alias("fp")), HALF_RADIUS, "p", F.lit(True).alias("low")))
+    index = index.select("key.bit", "key.rest", "low", "p")
+    key = ["low", "bit", "rest"]
+    close = F.bit_count(F.col("p.hi").bitwiseXOR(F.col("q.hi"))) + F.bit_count(F.col("p.lo").bitwiseXOR(F.col("q.lo"))) <= REACH
+    least = index.groupBy(key).agg(F.min("p").alias("q"), F.max("p.node").alias("last")).where("q.node < last").drop("last")
+    met = written(index.join(least, key), "met")
+    pair = [F.col("q.node").alias("a"), F.col("p.node").alias("b")]
+    first = verified(met.where((F.col("p.node") > F.col("q.node")) & close).select(*pair).distinct(), texts, similarity)
+    classes = connected_components(first)
+    apart = met.drop("q").withColumn("node", F.col("p.node")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = written(apart.groupBy(*key, "root").agg(F.min("p").alias("p")), "apart")
+    others = apart.select(*key, F.col("p").alias("q"), F.col("root").alias("other"))
+    second = verified(apart.join(others, key).where((F.col("other") < F.col("root")) & close).select(F.least("q.node", "p.node").alias("a"), F.greatest("q.node", "p.node").alias("b")).distinct(), texts, similarity)
+    roots = connected_components(first.unionByName(second))
+    found = nodes.select("text_id", "node").join(roots, "node", "left").select("text_id", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("doc_id", "text_id").join(found, "text_id", "left").select("doc_id", "text_id", "component_id")
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -94,6 +94,39 @@ def test_op1(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def brute_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def test_similar_groups(spark, docs, rows, none):
+    """Against all pairs: the table of odd cases, chains of edited copies, and a large group of them."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(900)]
+    base = [[rng.choice(vocab) for _ in range(rng.choice([40, 120, 400]))] for _ in range(12)]
+    more = []
+    for k, words in enumerate(base):
+        for n in range(60 if k == 0 else 4):
+            own = words.copy()
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            more.append((1000 * (k + 1) + n, " ".join(own).title() if n % 2 else "  ".join(own)))
+    for table, given in ((docs, rows), (spark.createDataFrame(more, "doc_id long, text string"), more)):
+        sets = [brute_shingles(t) for _, t in given]
+        root = components(len(given), [(a, b) for a in range(len(given)) for b in range(a) if alike(sets[a], sets[b])])
+        least = {}
+        for (i, _), r in zip(given, root):
+            if i is not None:
+                least[r] = min(i, least.get(r, i))
+        got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_groups(table).collect()), key=str)
+        assert got == sorted(((i, least.get(r)) for (i, _), r in zip(given, root)), key=str)
+    assert simhash.similar_groups(none).count() == 0
+
+
 def test_op2(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -282,7 +315,7 @@ def test_pipeline(spark, tmp_path):
     line = lambda k, n=60: " ".join(rng.choice(vocab[k]) for _ in range(n))
     texts = [(line("the"), "en") for _ in range(40)] + [(line("sch"), "de") for _ in range(40)]
     item = line("the", 20)
-    texts += [(texts[0][0].upper(), "en"), (None, "en"), ("12 34", "de"), (line("the") + " " + item, "en"), (texts[5][0], "en")]
+    texts += [(texts[0][0].upper(), "en"), (None, "en"), ("12 34", "de"), (line("the") + " " + item, "en"), (texts[5][0], "en"), (texts[7][0] + " tail", "en")]
     docs = [(i, t, k, "s", 1) for i, (t, k) in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -290,8 +323,8 @@ def test_pipeline(spark, tmp_path):
     left = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
     last = {d[1].lower(): d[0] for d in left}
     left = [d for d in left if last[d[1].lower()] == d[0]]
-    fps = {d[0]: brute_fp(d[1]) for d in left}
-    left = [d for d in left if not any(o < d[0] and bin(fps[o] ^ fps[d[0]]).count("1") <= 3 for o in fps)]
+    sets = {d[0]: brute_shingles(d[1]) for d in left}
+    left = [d for d in left if not any(o < d[0] and alike(sets[o], sets[d[0]]) for o in sets)]
     assert got == sorted(d[0] for d in left if item not in d[1])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
