@@ -156,6 +156,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     steps: each node with the key's least node, which gathers such groups into classes, and then, in each key,
     the least nodes of different classes. ``component_id`` is the smallest doc_id reachable.
 
+    Of different texts with one doc_id one stands for all.
     Null and empty texts are texts without words and equal. Rows with a null doc_id belong to the node of their words,
     but texts that only such rows have get a null component. Columns other than doc_id and text are not read, repeated
     rows are repeated, an empty table gives an empty table.
@@ -173,14 +174,15 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     rows = written(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"), "sketches")
     nodes = written(rows.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node"), F.first("hi").alias("hi"), F.first("lo").alias("lo")), "nodes")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    point = F.struct("node", "hi", "lo").alias("p")
-    index = variants(nodes.select(point, F.col("hi").alias("fp")), HALF_RADIUS, "p", F.lit(False).alias("low"))
-    index = index.unionByName(variants(nodes.select(point, F.col("lo").alias("fp")), HALF_RADIUS, "p", F.lit(True).alias("low")))
-    index = index.select("key.bit", "key.rest", "low", "p")
-    key = ["low", "bit", "rest"]
+    packed = [F.shiftleft(F.col("key.rest"), 7).bitwiseOR(F.col("key.bit") * 2 + F.lit(low)).alias("key") for low in (0, 1)]
+    halves = [variants(nodes.select("node", F.col(half).alias("fp")), HALF_RADIUS, "node").select(k, "node") for half, k in zip(("hi", "lo"), packed)]
+    index, key = halves[0].unionByName(halves[1]), ["key"]
+    points = nodes.groupBy("node").agg(F.min(F.struct("text_id", "hi", "lo")).alias("n")).select(F.struct("node", "n.hi", "n.lo").alias("p"))
     close = F.bit_count(F.col("p.hi").bitwiseXOR(F.col("q.hi"))) + F.bit_count(F.col("p.lo").bitwiseXOR(F.col("q.lo"))) <= REACH
-    least = index.groupBy(key).agg(F.min("p").alias("q"), F.max("p.node").alias("last")).where("q.node < last").drop("last")
-    met = written(index.join(least, key), "met")
+    # only keys and nodes go through the shuffles of the whole index; fingerprints are joined where nodes met
+    least = index.groupBy(key).agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+    met = index.join(least, key).join(points, F.col("node") == F.col("p.node"))
+    met = written(met.join(points.select(F.col("p").alias("q")), F.col("a") == F.col("q.node")).select("key", "p", "q"), "met")
     pair = [F.col("q.node").alias("a"), F.col("p.node").alias("b")]
     first = verified(met.where((F.col("p.node") > F.col("q.node")) & close).select(*pair).distinct(), texts, similarity)
     classes = connected_components(first)
