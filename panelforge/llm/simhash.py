@@ -1,7 +1,9 @@
-"""Near-duplicate detection: SimHash fingerprints joined on deletion-variant signatures."""
+"""Near-duplicate detection: SimHash fingerprints joined on deletion-variant signatures, and shingle similarity by prefixes."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,9 @@ from .common import connected_components, written
 SEED, BLOCK = 42, 1 << 16
 #: Similar texts share this much of their shingles of so many words.
 WORDS, SIMILARITY = 5, 0.8
-#: Wide fingerprints (two halves of 64 bits) within 2 * HALF_RADIUS + 1 bits always meet in the index; pairs that meet
-#: there and differ in more than REACH bits aren't compared by their shingles.
-HALF_RADIUS, REACH = 5, 32
+#: The order of shingles is learned from about so many documents and holds so many of their repeated shingles at most.
+#: It only steers the work: any order finds every pair.
+ORDER_DOCS, ORDER_SHINGLES = 10_000, 100_000
 #: Ids of texts to compare are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -96,26 +98,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
-    """128-bit SimHash over pairs of neighbouring words (a lone word is one), as two signed longs.
-
-    One changed word changes two pairs but five shingles of five words, so similar texts stay close; single words
-    would stay closer, but bring long texts of one language together.
-    """
-    import xxhash
-
-    if not words:
-        return 0, 0
-    line, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start, end = (end - size)[: max(1, len(words) - 1)], end[min(1, len(words) - 1) :]
-    votes = np.zeros(128, np.int64)
-    for at in range(0, len(start), BLOCK):
-        raw = b"".join([xxhash.xxh3_128_digest(line[i:j], SEED) for i, j in zip(start[at : at + BLOCK].tolist(), end[at : at + BLOCK].tolist())])
-        votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-    return tuple(np.packbits(votes * 2 > len(start)).view(np.int64).tolist())
-
-
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of ``words`` words, hashed; a text with fewer words is one, one without words has none."""
     import xxhash
@@ -127,6 +109,32 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64)).view(np.int64)
 
 
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes in order, counts) of the shingles that several of about ORDER_DOCS documents have."""
+
+    @F.pandas_udf("array<long>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(x) for x in texts], dtype=object)
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // ORDER_DOCS))) == 0)
+    counts = some.select(F.explode(hashed("text")).alias("gram")).groupBy("gram").count().where("count > 1")
+    top = sorted(tuple(r) for r in counts.orderBy(F.desc("count"), "gram").limit(ORDER_SHINGLES).collect())
+    return np.array([g for g, _ in top], np.int64), np.array([n for _, n in top], np.int64)
+
+
+def prefix(grams: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a text's distinct shingles, rare ones before those ``known`` to be frequent.
+
+    All but so many come first that a text similar to this one can't have only shingles of the rest: the larger
+    intersection is ``similarity`` of its size at least. So two similar texts share one of both prefixes.
+    """
+    grams = np.sort(grams)
+    if len(known) and len(grams):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        grams = grams[np.argsort(np.where(known[at] == grams, counts[at], 0), kind="stable")]
+    return grams[: len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the ``pairs`` (a, b) of nodes whose shingles' Jaccard similarity reaches ``similarity``, written.
 
@@ -147,14 +155,25 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return written(both.where(enough).select("a", "b"), "similar")
 
 
+def shingle_index(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``key, node, n, left``: a row for each prefix shingle that several nodes have, written.
+
+    ``n`` is the text's number of shingles, ``left`` how many of them come from this one on.
+    """
+    index = rows.join(nodes, "text_id").where("doc_id = node").select("node", "n", F.posexplode("prefix").alias("i", "key"))
+    index = index.select("key", "node", "n", (F.col("n") - F.col("i")).alias("left"))
+    shared = written(index.groupBy("key").count().where("count > 1").select("key"), "shared")
+    return written(index.join(shared, "key").distinct(), "index")
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, text_id, component_id)`` of every row: groups of texts linked by a shingle similarity.
 
-    Texts of equal words (A-Z lower-cased) are one node, named by their smallest doc_id. Nodes get 128-bit SimHash
-    fingerprints, whose halves are indexed by deletion variants; those that meet in a key and differ in REACH bits at
-    most are compared by their shingles. A group of many copies would make all pairs there, so this goes in two
-    steps: each node with the key's least node, which gathers such groups into classes, and then, in each key,
-    the least nodes of different classes. ``component_id`` is the smallest doc_id reachable.
+    Texts of equal words (A-Z lower-cased) are one node, named by their smallest doc_id. Every two similar texts share
+    one of their first shingles in a common order (see prefix), so nodes that do are compared by all their shingles,
+    if as many are left from there on as they have to share. A group of many copies would make all pairs there, so
+    this goes in two steps: each node with the key's least node, which gathers such groups into classes, and then,
+    in each key, the least nodes of different classes. ``component_id`` is the smallest doc_id reachable.
 
     Of different texts with one doc_id one stands for all.
     Null and empty texts are texts without words and equal. Rows with a null doc_id belong to the node of their words,
@@ -163,35 +182,33 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """
     import xxhash
 
-    @F.pandas_udf("hi long, lo long, text_id binary")
+    known, counts = frequent_shingles(docs)
+
+    @F.pandas_udf("n int, prefix array<long>, text_id binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for x in texts:
-            parts = (x or "").encode("utf-8", "surrogatepass").lower().split()
-            rows.append((*wide_fingerprint(parts), xxhash.xxh3_128_digest(b" ".join(parts))))
-        return pd.DataFrame(rows, columns=["hi", "lo", "text_id"])
+            grams = shingle_hashes(x)
+            line = b" ".join((x or "").encode("utf-8", "surrogatepass").lower().split())
+            rows.append((len(grams), prefix(grams, known, counts, similarity), xxhash.xxh3_128_digest(line)))
+        return pd.DataFrame(rows, columns=["n", "prefix", "text_id"])
 
     rows = written(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"), "sketches")
-    nodes = written(rows.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node"), F.first("hi").alias("hi"), F.first("lo").alias("lo")), "nodes")
+    nodes = written(rows.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node")), "nodes")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    packed = [F.shiftleft(F.col("key.rest"), 7).bitwiseOR(F.col("key.bit") * 2 + F.lit(low)).alias("key") for low in (0, 1)]
-    halves = [variants(nodes.select("node", F.col(half).alias("fp")), HALF_RADIUS, "node").select(k, "node") for half, k in zip(("hi", "lo"), packed)]
-    index, key = halves[0].unionByName(halves[1]), ["key"]
-    points = nodes.groupBy("node").agg(F.min(F.struct("text_id", "hi", "lo")).alias("n")).select(F.struct("node", "n.hi", "n.lo").alias("p"))
-    close = F.bit_count(F.col("p.hi").bitwiseXOR(F.col("q.hi"))) + F.bit_count(F.col("p.lo").bitwiseXOR(F.col("q.lo"))) <= REACH
-    # only keys and nodes go through the shuffles of the whole index; fingerprints are joined where nodes met
-    least = index.groupBy(key).agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    met = index.join(least, key).join(points, F.col("node") == F.col("p.node"))
-    met = written(met.join(points.select(F.col("p").alias("q")), F.col("a") == F.col("q.node")).select("key", "p", "q"), "met")
-    pair = [F.col("q.node").alias("a"), F.col("p.node").alias("b")]
-    first = verified(met.where((F.col("p.node") > F.col("q.node")) & close).select(*pair).distinct(), texts, similarity)
+    index = shingle_index(rows, nodes, similarity)
+    both = similarity / (1 + similarity) * (F.col("p.n") + F.col("q.n")) - 1e-9
+    close = F.least("p.left", "q.left") >= both
+    points = index.select("key", F.struct("node", "n", "left").alias("p"))
+    least = points.groupBy("key").agg(F.min("p").alias("q"))
+    first = verified(points.join(least, "key").where((F.col("p.node") > F.col("q.node")) & close).select(F.col("q.node").alias("a"), F.col("p.node").alias("b")).distinct(), texts, similarity)
     classes = connected_components(first)
-    apart = met.drop("q").withColumn("node", F.col("p.node")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = written(apart.groupBy(*key, "root").agg(F.min("p").alias("p")), "apart")
-    others = apart.select(*key, F.col("p").alias("q"), F.col("root").alias("other"))
-    second = verified(apart.join(others, key).where((F.col("other") < F.col("root")) & close).select(F.least("q.node", "p.node").alias("a"), F.greatest("q.node", "p.node").alias("b")).distinct(), texts, similarity)
+    apart = points.withColumn("node", F.col("p.node")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = written(apart.groupBy("key", "root").agg(F.min("p").alias("p")), "apart")
+    others = apart.select("key", F.col("p").alias("q"), F.col("root").alias("other"))
+    second = verified(apart.join(others, "key").where((F.col("other") < F.col("root")) & close).select(F.least("q.node", "p.node").alias("a"), F.greatest("q.node", "p.node").alias("b")).distinct(), texts, similarity)
     roots = connected_components(first.unionByName(second))
-    found = nodes.select("text_id", "node").join(roots, "node", "left").select("text_id", F.coalesce("root", "node").alias("component_id"))
+    found = nodes.join(roots, "node", "left").select("text_id", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "text_id").join(found, "text_id", "left").select("doc_id", "text_id", "component_id")
 
 

@@ -127,6 +127,24 @@ def test_similar_groups(spark, docs, rows, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def test_similar_groups_meet(spark):
+    """Pairs alone in their keys: texts of similarity 0.8 and more are compared, whatever the edit."""
+    rng = random.Random(12)
+    line = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    pairs = []
+    for _ in range(20):
+        text, often = line(300), line(10)
+        pairs.append((text + often, text + often * 60))
+        text = line(204)
+        pairs.append((text, text + line(50)))
+        text = line(200)
+        pairs.append((text + line(20), line(20) + text))
+    rows = [(2 * k + n, " ".join(t)) for k, pair in enumerate(pairs) for n, t in enumerate(pair)]
+    assert all(alike(brute_shingles(a[1]), brute_shingles(b[1])) for a, b in zip(rows[::2], rows[1::2]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_op2(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
