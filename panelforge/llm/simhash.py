@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, written
@@ -17,6 +17,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: The order of shingles is learned from about so many documents and holds so many of their repeated shingles at most.
 #: It only steers the work: any order finds every pair.
 ORDER_DOCS, ORDER_SHINGLES = 10_000, 100_000
+#: So many pairs for each row of the index are compared at once.
+FEW = 4
 #: Ids of texts to compare are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -166,14 +168,47 @@ def shingle_index(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     return written(index.join(shared, "key").distinct(), "index")
 
 
+def similar_links(index: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of similar nodes, whose components are those of all similar pairs that meet in the index.
+
+    Each round compares one node of each key, that with the largest share of its prefix in the index (the original of
+    edited copies), with the key's others, and is done with it there. When the rounds don't halve the pairs that are
+    in one key but not in one component, or those are few, all of them are compared.
+    """
+    whole = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    live = written(index.withColumn("share", F.count("*").over(Window.partitionBy("node")) / whole).withColumn("root", F.col("node")), "live")
+    points = lambda t, name: t.select("key", F.struct("node", "n", "left", "root").alias(name))
+    close = F.least("p.left", "q.left") >= similarity / (1 + similarity) * (F.col("p.n") + F.col("q.n")) - 1e-9
+    pair = [F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")]
+    found, before = None, None
+    while True:
+        sizes = live.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").cast("double").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
+        nodes, open_ = sizes.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("own")) / 2, F.lit(0.0))).first()
+        last = open_ <= FEW * nodes or (before is not None and open_ > before / 2)
+        before = open_
+        if last:
+            met = points(live, "p").join(points(live, "q"), "key").where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & close)
+        else:
+            hubs = written(live.groupBy("key").agg(F.max(F.struct("share", (-F.col("node")).alias("order"), "node", "n", "left", "root")).alias("q")), "hubs")
+            met = points(live, "p").join(hubs, "key").where((F.col("p.root") != F.col("q.root")) & close)
+        new = verified(met.select(*pair).distinct(), texts, similarity)
+        found = new if found is None else found.unionByName(new)
+        if last:
+            return found
+        roots = connected_components(found)
+        rest = live.drop("root").join(hubs.select("key", F.col("q.node").alias("hub")), "key").where("node <> hub").drop("hub")
+        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = rest.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+        live = written(rest.join(apart, "key"), "live")
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, text_id, component_id)`` of every row: groups of texts linked by a shingle similarity.
 
     Texts of equal words (A-Z lower-cased) are one node, named by their smallest doc_id. Every two similar texts share
     one of their first shingles in a common order (see prefix), so nodes that do are compared by all their shingles,
-    if as many are left from there on as they have to share. A group of many copies would make all pairs there, so
-    this goes in two steps: each node with the key's least node, which gathers such groups into classes, and then,
-    in each key, the least nodes of different classes. ``component_id`` is the smallest doc_id reachable.
+    if as many are left from there on as they have to share, until all that do are compared or in one group (see
+    similar_links). ``component_id`` is the smallest doc_id reachable.
 
     Of different texts with one doc_id one stands for all.
     Null and empty texts are texts without words and equal. Rows with a null doc_id belong to the node of their words,
@@ -197,17 +232,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     nodes = written(rows.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node")), "nodes")
     texts = docs.select(F.col("doc_id").alias("node"), "text")
     index = shingle_index(rows, nodes, similarity)
-    both = similarity / (1 + similarity) * (F.col("p.n") + F.col("q.n")) - 1e-9
-    close = F.least("p.left", "q.left") >= both
-    points = index.select("key", F.struct("node", "n", "left").alias("p"))
-    least = points.groupBy("key").agg(F.min("p").alias("q"))
-    first = verified(points.join(least, "key").where((F.col("p.node") > F.col("q.node")) & close).select(F.col("q.node").alias("a"), F.col("p.node").alias("b")).distinct(), texts, similarity)
-    classes = connected_components(first)
-    apart = points.withColumn("node", F.col("p.node")).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = written(apart.groupBy("key", "root").agg(F.min("p").alias("p")), "apart")
-    others = apart.select("key", F.col("p").alias("q"), F.col("root").alias("other"))
-    second = verified(apart.join(others, "key").where((F.col("other") < F.col("root")) & close).select(F.least("q.node", "p.node").alias("a"), F.greatest("q.node", "p.node").alias("b")).distinct(), texts, similarity)
-    roots = connected_components(first.unionByName(second))
+    roots = connected_components(similar_links(index, texts, similarity))
     found = nodes.join(roots, "node", "left").select("text_id", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "text_id").join(found, "text_id", "left").select("doc_id", "text_id", "component_id")
 

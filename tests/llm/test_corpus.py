@@ -145,6 +145,27 @@ def test_similar_groups_meet(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_similar_groups_stars(spark):
+    """Edited copies that are similar to their original only, which has any id, against all pairs."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, texts = [word() for _ in range(12)], []
+    for size, edits, copies in ((100, 2, 80), (100, 2, 30), (200, 4, 60)):
+        original = passage + [word() for _ in range(size - 12)]
+        texts.append(original)
+        for _ in range(copies):
+            own = original.copy()
+            for at in rng.sample(range(size), edits):
+                own[at] = word()
+            texts.append(own)
+    rows = list(zip(rng.sample(range(10**6), len(texts)), map(" ".join, texts)))
+    sets = [brute_shingles(t) for _, t in rows]
+    root = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])])
+    least = {r: min(i for (i, _), x in zip(rows, root) if x == r) for r in root}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: least[r] for (i, _), r in zip(rows, root)}
+
+
 def test_op2(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
