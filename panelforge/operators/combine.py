@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.stats import average_rank, corr, ratio, spearman
 from .evaluate import forward_returns
 
+#: Boosted models fitted at a time.
+FITS = 8
+
 
 def feature_panel(scores: DataFrame, returns: DataFrame, names: list[str], score: str = "final_score") -> DataFrame:
     """``date, ticker, fwd`` and a column for each factor in sorted order.
@@ -124,18 +129,29 @@ def boosted_fit(train: DataFrame, names: list[str], c: TreeConfig):
 def boosted_walk(panel: DataFrame, c: TreeConfig = TreeConfig()) -> DataFrame:
     """``date, ticker, composite_score`` by models refitted every ``stride`` dates on all dates before the purge.
 
-    The loop is over evaluation dates, the fits are distributed.
+    A date with too few dates before its purge has no scores; the next one that has enough is fitted. The loop is over
+    evaluation dates, the fits are distributed, FITS at a time.
     """
     names = sorted(x for x in panel.columns if x not in ("date", "ticker", "fwd"))
-    dates = [r.date for r in panel.select("date").distinct().orderBy("date").collect()]
-    out = None
-    for i in range(c.least_dates, len(dates), c.stride):
-        train = panel.where(F.col("date") <= F.add_months(F.lit(dates[i]), -c.purge_months))
-        if train.select("date").distinct().count() < c.least_dates:
+    panel = panel.persist()
+    ends = panel.select("date", F.add_months("date", -c.purge_months).alias("end")).distinct().orderBy("date").collect()
+    dates, blocks, i = [r.date for r in ends], [], c.least_dates
+    while i < len(dates):
+        if bisect.bisect_right(dates, ends[i].end) < c.least_dates:
+            i += 1
             continue
-        part = panel.where((F.col("date") >= F.lit(dates[i])) & (F.col("date") <= F.lit(dates[min(i + c.stride, len(dates)) - 1])))
-        rows = boosted_fit(train, names, c).transform(part).select("date", "ticker", "composite_score")
-        out = rows if out is None else out.unionByName(rows)
+        blocks.append((dates[i], dates[min(i + c.stride, len(dates)) - 1], ends[i].end))
+        i += c.stride
+
+    def scores(block):
+        first, last, end = block
+        model = boosted_fit(panel.where(F.col("date") <= F.lit(end)), names, c)
+        return model.transform(panel.where(F.col("date").between(F.lit(first), F.lit(last)))).select("date", "ticker", "composite_score")
+
+    with ThreadPoolExecutor(FITS) as pool:
+        out = None
+        for rows in pool.map(scores, blocks):
+            out = rows if out is None else out.unionByName(rows)
     return out if out is not None else panel.select("date", "ticker", F.lit(None).cast("double").alias("composite_score")).limit(0)
 
 

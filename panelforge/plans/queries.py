@@ -120,8 +120,8 @@ plan("regime_profile", "regime_id:int feature:string mean z")(lambda s: regime.r
 plan("regime_labels", "regime_id:int regime_label:string")(lambda s: regime.regime_labels(_features(s), _states(s)))
 plan("regime_spans", "regime_id:int start_date:date end_date:date n_dates:bigint")(lambda s: regime.regime_spans(_states(s)))
 plan("regime_transitions", "from_id:int to_id:int probability expected_duration")(lambda s: regime.transitions(_states(s)))
-plan("hmm_states", "date:date regime_id:int prob_0 prob_1 prob_2 prob_3")(lambda s: regime.hmm_states(_features(s), rounds=20))
-plan("hmm_bic", "k:bigint log_likelihood bic best:boolean")(lambda s: regime.bic_by_states(_features(s), most=4, rounds=10))
+plan("hmm_states", "date:date regime_id:int prob_0 prob_1 prob_2 prob_3")(lambda s: regime.hmm_states(_features(s)))
+plan("hmm_bic", "k:bigint log_likelihood bic best:boolean")(lambda s: regime.bic_by_states(_features(s)))
 plan("macro_unpivot", "date:date series_name:string value")(lambda s: io.macro_long(s.macro().groupBy("date").pivot("series_name", ["DGS10", "DGS2", "VIXCLS", "BAMLH0A0HYM2", "NAPM"]).agg(F.first("value"))))
 plan("macro_filled", "date:date series_name:string value")(lambda s: io.macro_filled(s.macro()))
 plan("metadata", "ticker:string sector:string industry:string shares_outstanding")(lambda s: s.metadata())
@@ -144,13 +144,13 @@ def _events(s):
 
 @plan("boosted_composite", KEY + "composite_score")
 def _boosted(s):
-    return combine.boosted_walk(_panel(s), combine.TreeConfig(trees=5, depth=3, stride=24))
+    return combine.boosted_walk(_panel(s))
 
 
 @plan("shap_importance", "factor_name:string importance")
 def _shap(s):
     panel = _panel(s)
-    model = combine.boosted_fit(panel, BASIC, combine.TreeConfig(trees=5, depth=3)).stages[-1]
+    model = combine.boosted_fit(panel, BASIC, combine.TreeConfig()).stages[-1]
     return shap.importance(shap.shap_values(panel, shap.trees_of(model), BASIC))
 
 

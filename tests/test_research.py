@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 from panelforge.config import Config, Universe
-from panelforge.operators import backtest, factors, regime, returns, shap
+from panelforge.operators import backtest, combine, factors, regime, returns, shap
 from panelforge.sources import io
 
 PATH = "/root/testdata/sf0.001"
@@ -70,6 +70,20 @@ def test_hmm_and_shapley():
     assert np.allclose(phi.sum(1) + base, want) and (phi[:, 2] == 0).all()
 
 
+def test_boosted_walk_scores_every_date_it_can(spark):
+    """A training window that is a date short costs that date only, not its block."""
+    rng = np.random.default_rng(3)
+    rows = [(day(i), t, float(rng.normal()), float(rng.normal())) for i in range(9) if i != 3 for t in "ABCDEF"]
+    panel = spark.createDataFrame(rows, "date date, ticker string, f double, fwd double")
+    got = combine.boosted_walk(panel, combine.TreeConfig(trees=1, depth=1, least_dates=4, purge_months=2, stride=3))
+    assert sorted({r.date for r in got.collect()}) == [day(i) for i in (6, 7, 8)]
+
+
+def test_hidden_states_are_tried_as_the_operator_does(spark):
+    got = {r.k: r.best for r in __spark_entry__.queries()["hmm_bic"](spark, PATH).collect()}
+    assert sorted(got) == [2, 3, 4, 5, 6] and sum(got.values()) == 1
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "f.csv").write_text("note\n,Mkt-RF,SMB,HML,RMW,CMA,RF\n20200102,1.0,2,3,4,5,0.1\n20200103,2.0,2,3,4,5,0.1\n\nannual\n20200104,9,9,9,9,9,9\n")
     got = io.read_market_factors(spark, str(tmp_path / "f.csv")).orderBy("date").collect()
