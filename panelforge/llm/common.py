@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,21 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of a side of a join that are broadcast up to this many; their columns are a few ids or digests.
+BROADCAST_ROWS = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Only a local session may leave it unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = spark.sparkContext.getCheckpointDir()
-        where = known.rsplit("/", 1)[0] if known else "file://" + tempfile.mkdtemp(prefix="panelforge-")
         if not known:
-            spark.sparkContext.setCheckpointDir(where)
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            known = "file://" + tempfile.mkdtemp(prefix="panelforge-")
+            spark.sparkContext.setCheckpointDir(known)
+        where = known if known.rsplit("/", 1)[-1].startswith("panelforge-") else known.rsplit("/", 1)[0]
     return where.rstrip("/")
 
 
@@ -27,10 +35,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Unlike ``localCheckpoint`` the table survives the loss of executors.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+class Scratch:
+    """Tables written to the shared folder, for one run of an operator; ``drop`` deletes those that are done with."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = table
+        return table
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Delete all tables but those in ``keep``: what a result still reads when it runs."""
+        for path in [p for p, t in self.paths.items() if not any(t is k for k in keep)]:
+            del self.paths[path]
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of ids or digests, to be broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def content() -> F.Column:
+    """A 128-bit digest of the column ``text``, null as empty: names a text in joins that must not carry it."""
+    text = F.coalesce("text", F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def packed(docs: DataFrame) -> F.Column:
+    """All columns of ``docs`` in one, so that a join's own columns can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ascii_lower(col) -> F.Column:
@@ -45,10 +87,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before its shuffle, and a join back that adaptive execution can split for a hub; each round is written to the
     shared folder, and only its row count and checksum reach the driver. Nulls and self-loops are ignored.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.write(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        scratch.drop(now)
         if tuple(mark) == seen or mark[0] == 0:
             break
         seen = tuple(mark)
@@ -57,8 +101,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct(), "edges")
+        star = down.join(low, "a")
+        star = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        now = scratch.write(star.where("a <> b").distinct(), "edges")
     roots = now.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
     return roots.unionByName(now.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))

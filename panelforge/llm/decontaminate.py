@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, content, written
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 15
 #: Benchmark shingles up to this many are broadcast (16 bytes each); beyond it the join is shuffled.
@@ -29,12 +29,6 @@ def shingled(rows: DataFrame, parts: str = "w") -> DataFrame:
     return rows.withColumn("grams", grams).drop("_h")
 
 
-def content() -> F.Column:
-    """A 128-bit digest of the text: rows of equal texts are searched as one."""
-    text = F.coalesce("text", F.lit(""))
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
-
-
 def fingerprints(rows: DataFrame, key: str) -> DataFrame:
     """``key`` and ``fp`` of rows with an array ``grams``, by summing the exploded shingles' bits."""
     each = rows.select(key, F.explode("grams").alias("g"))

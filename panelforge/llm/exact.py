@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import Scratch, ascii_lower
 
 BLOCK_BYTES, SALTS = 4096, 64
 
 
-def named_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def named_blocks(docs: DataFrame, block_bytes: int, scratch: Scratch) -> DataFrame:
     """Level 0: ``(rid, pos, n, name, head)``, one row per block of a normalised text; equal blocks, equal names.
 
     ``rid`` numbers the rows, ``n`` is the text's number of blocks, ``head`` its doc_id and SHA-256 (at pos 0).
@@ -26,20 +26,22 @@ def named_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = rows.select("rid", F.when(F.col("pos") == 0, F.col("head")).alias("head"), "n", "pos", F.xxhash64("block").alias("h"), F.pmod("rid", F.lit(SALTS)).cast("int").alias("salt"), "block")
     w = Window.partitionBy("h", "salt").orderBy("block")
     rows = rows.withColumn("r", F.dense_rank().over(w)).withColumn("same", F.lag("block").over(w).eqNullSafe(F.col("block")))
-    rows = written(rows.withColumn("block", F.when(~F.col("same"), F.col("block"))).drop("same"), "blocks")
+    rows = scratch.write(rows.withColumn("block", F.when(~F.col("same"), F.col("block"))).drop("same"), "blocks")
     firsts = rows.where(F.col("block").isNotNull()).select("h", "salt", "r", "block")
     firsts = firsts.withColumn("order", F.dense_rank().over(Window.partitionBy("h").orderBy("block"))).select("h", "salt", "r", "order", F.monotonically_increasing_id().alias("at"))
     names = firsts.select("h", "salt", "r", F.min("at").over(Window.partitionBy("h", "order")).alias("name"))
-    return written(rows.drop("block").join(names, ["h", "salt", "r"]).select("rid", "pos", "n", "name", "head"), "names")
+    named = scratch.write(rows.drop("block").join(names, ["h", "salt", "r"]).select("rid", "pos", "n", "name", "head"), "names")
+    scratch.drop(named)
+    return named
 
 
-def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(docs: DataFrame, block_bytes: int, scratch: Scratch) -> DataFrame:
     """``(rid, head, level, name)``, one row per row of ``docs``; (level, name) is equal exactly when the texts are.
 
     Adjacent pairs of names are named anew until a text has one name; texts of different numbers of levels differ
     in length. Every level is written to the shared folder; rows halve from level to level.
     """
-    rows, level, done = named_blocks(docs, block_bytes), 0, []
+    rows, level, done = named_blocks(docs, block_bytes, scratch), 0, []
     most = rows.agg(F.max("n")).first()[0] or 1
     while True:
         done.append(rows.where("n = 1").select("rid", "head", F.lit(level).alias("level"), "name"))
@@ -50,10 +52,10 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         pairs = rows.where("n > 1").groupBy("rid", F.floor(F.col("pos") / 2).cast("int").alias("pos")).agg(
             F.max(F.when(even, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"),
             F.max("n").alias("n"), F.max("head").alias("head"))
-        pairs = written(pairs, f"pairs{level}")
+        pairs = scratch.write(pairs, f"pairs{level}")
         names = pairs.select("left", "right").distinct().sortWithinPartitions("left", "right").withColumn("name", F.monotonically_increasing_id())
         half = F.floor((F.col("n") + 1) / 2).cast("int").alias("n")
-        rows = written(pairs.join(names, ["left", "right"]).select("rid", "pos", half, "name", "head"), f"level{level}")
+        rows = scratch.write(pairs.join(names, ["left", "right"]).select("rid", "pos", half, "name", "head"), f"level{level}")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -67,7 +69,9 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     stays; a null doc_id is the smallest, and of rows that repeat the largest doc_id exactly one stays. Only doc_id
     and text are read; an empty table gives an empty table.
     """
-    rows = written(identities(docs, block_bytes), "identities")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(identities(docs, block_bytes, scratch), "identities")
+    scratch.drop(rows)
     groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("head.doc_id", "rid")).alias("keep"))
     out = rows.join(groups, ["level", "name"])
     return out.select("head.doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("head.sha").alias("text_sha256"))

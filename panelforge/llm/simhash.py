@@ -1,26 +1,23 @@
-"""Near-duplicate detection: SimHash fingerprints joined on deletion-variant signatures, and shingle similarity by prefixes."""
+"""Near-duplicate detection: SimHash fingerprints joined on deletion-variant signatures."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import Scratch, connected_components
 
 SEED, BLOCK = 42, 1 << 16
-#: Similar texts share this much of their shingles of so many words.
-WORDS, SIMILARITY = 5, 0.8
-#: The order of shingles is learned from about so many documents and holds so many of their repeated shingles at most.
-#: It only steers the work: any order finds every pair.
-ORDER_DOCS, ORDER_SHINGLES = 10_000, 100_000
-#: So many pairs for each row of the index are compared at once.
-FEW = 4
-#: Ids of texts to compare are broadcast up to this many (8 bytes each), else joined by a shuffle.
-BROADCAST_NODES = 1_000_000
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits, as a signed integer, that are set in over half of the hashes; 0 for none."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        votes += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -38,11 +35,8 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
     start, end = (end - size)[:n], end[min(words, len(parts)) - 1 :]
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        hashed = np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(start[at : at + BLOCK].tolist(), end[at : at + BLOCK].tolist())), np.uint64)
-        votes += np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.int64)[0])
+    spans = zip(start.tolist(), end.tolist())
+    return majority(np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in spans), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -88,9 +82,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     component's id but can't name it (null if no row of it has an id); repeated rows are repeated in the result.
     Columns other than doc_id and text are not read. An empty table gives an empty table.
     """
-    rows = written(fingerprints(docs, words), "fingerprints")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(fingerprints(docs, words), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = written(links(rows, radius), "links")
+    edges = scratch.write(links(rows, radius), "links")
     root = connected_components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     named = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -100,142 +95,5 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct shingles of ``words`` words, hashed; a text with fewer words is one, one without words has none."""
-    import xxhash
-
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.int64)
-    runs = (b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64)).view(np.int64)
-
-
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes in order, counts) of the shingles that several of about ORDER_DOCS documents have."""
-
-    @F.pandas_udf("array<long>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(x) for x in texts], dtype=object)
-
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // ORDER_DOCS))) == 0)
-    counts = some.select(F.explode(hashed("text")).alias("gram")).groupBy("gram").count().where("count > 1")
-    top = sorted(tuple(r) for r in counts.orderBy(F.desc("count"), "gram").limit(ORDER_SHINGLES).collect())
-    return np.array([g for g, _ in top], np.int64), np.array([n for _, n in top], np.int64)
-
-
-def prefix(grams: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a text's distinct shingles, rare ones before those ``known`` to be frequent.
-
-    All but so many come first that a text similar to this one can't have only shingles of the rest: the larger
-    intersection is ``similarity`` of its size at least. So two similar texts share one of both prefixes.
-    """
-    grams = np.sort(grams)
-    if len(known) and len(grams):
-        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        grams = grams[np.argsort(np.where(known[at] == grams, counts[at], 0), kind="stable")]
-    return grams[: len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1]
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) of nodes whose shingles' Jaccard similarity reaches ``similarity``, written.
-
-    ``texts`` has the ``text`` of each ``node`` (of several the first in order); two texts without words are equal.
-    """
-
-    @F.pandas_udf("array<long>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(x) for x in texts], dtype=object)
-
-    pairs = written(pairs, "candidates")
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    few = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked, "node")
-    grams = written(few.groupBy("node").agg(F.min("text").alias("text")).select("node", hashed("text").alias("grams")), "grams")
-    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    enough = common >= F.lit(similarity) * (F.size("ga") + F.size("gb") - common)
-    return written(both.where(enough).select("a", "b"), "similar")
-
-
-def shingle_index(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``key, node, n, left``: a row for each prefix shingle that several nodes have, written.
-
-    ``n`` is the text's number of shingles, ``left`` how many of them come from this one on.
-    """
-    index = rows.join(nodes, "text_id").where("doc_id = node").select("node", "n", F.posexplode("prefix").alias("i", "key"))
-    index = index.select("key", "node", "n", (F.col("n") - F.col("i")).alias("left"))
-    shared = written(index.groupBy("key").count().where("count > 1").select("key"), "shared")
-    return written(index.join(shared, "key").distinct(), "index")
-
-
-def similar_links(index: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of similar nodes, whose components are those of all similar pairs that meet in the index.
-
-    Each round compares one node of each key, that with the largest share of its prefix in the index (the original of
-    edited copies), with the key's others, and is done with it there. When the rounds don't halve the pairs that are
-    in one key but not in one component, or those are few, all of them are compared.
-    """
-    whole = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    live = written(index.withColumn("share", F.count("*").over(Window.partitionBy("node")) / whole).withColumn("root", F.col("node")), "live")
-    points = lambda t, name: t.select("key", F.struct("node", "n", "left", "root").alias(name))
-    close = F.least("p.left", "q.left") >= similarity / (1 + similarity) * (F.col("p.n") + F.col("q.n")) - 1e-9
-    pair = [F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")]
-    found, before = None, None
-    while True:
-        sizes = live.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").cast("double").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
-        nodes, open_ = sizes.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("own")) / 2, F.lit(0.0))).first()
-        last = open_ <= FEW * nodes or (before is not None and open_ > before / 2)
-        before = open_
-        if last:
-            met = points(live, "p").join(points(live, "q"), "key").where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & close)
-        else:
-            hubs = written(live.groupBy("key").agg(F.max(F.struct("share", (-F.col("node")).alias("order"), "node", "n", "left", "root")).alias("q")), "hubs")
-            met = points(live, "p").join(hubs, "key").where((F.col("p.root") != F.col("q.root")) & close)
-        new = verified(met.select(*pair).distinct(), texts, similarity)
-        found = new if found is None else found.unionByName(new)
-        if last:
-            return found
-        roots = connected_components(found)
-        rest = live.drop("root").join(hubs.select("key", F.col("q.node").alias("hub")), "key").where("node <> hub").drop("hub")
-        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = rest.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-        live = written(rest.join(apart, "key"), "live")
-
-
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, text_id, component_id)`` of every row: groups of texts linked by a shingle similarity.
-
-    Texts of equal words (A-Z lower-cased) are one node, named by their smallest doc_id. Every two similar texts share
-    one of their first shingles in a common order (see prefix), so nodes that do are compared by all their shingles,
-    if as many are left from there on as they have to share, until all that do are compared or in one group (see
-    similar_links). ``component_id`` is the smallest doc_id reachable.
-
-    Of different texts with one doc_id one stands for all.
-    Null and empty texts are texts without words and equal. Rows with a null doc_id belong to the node of their words,
-    but texts that only such rows have get a null component. Columns other than doc_id and text are not read, repeated
-    rows are repeated, an empty table gives an empty table.
-    """
-    import xxhash
-
-    known, counts = frequent_shingles(docs)
-
-    @F.pandas_udf("n int, prefix array<long>, text_id binary")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in texts:
-            grams = shingle_hashes(x)
-            line = b" ".join((x or "").encode("utf-8", "surrogatepass").lower().split())
-            rows.append((len(grams), prefix(grams, known, counts, similarity), xxhash.xxh3_128_digest(line)))
-        return pd.DataFrame(rows, columns=["n", "prefix", "text_id"])
-
-    rows = written(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"), "sketches")
-    nodes = written(rows.where("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("node")), "nodes")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    index = shingle_index(rows, nodes, similarity)
-    roots = connected_components(similar_links(index, texts, similarity))
-    found = nodes.join(roots, "node", "left").select("text_id", F.coalesce("root", "node").alias("component_id"))
-    return rows.select("doc_id", "text_id").join(found, "text_id", "left").select("doc_id", "text_id", "component_id")
-
-
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

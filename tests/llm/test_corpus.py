@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from panelforge.llm import chat, decontaminate, exact, language, pieces, simhash, token_files, tokens, toxicity, urls
+from panelforge.llm import chat, decontaminate, exact, language, pieces, simhash, similar, token_files, tokens, toxicity, urls
 from panelforge.llm.common import connected_components, shared_dir
 
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "été", "漢字", "x1"]
@@ -122,9 +122,9 @@ def test_similar_groups(spark, docs, rows, none):
         for (i, _), r in zip(given, root):
             if i is not None:
                 least[r] = min(i, least.get(r, i))
-        got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_groups(table).collect()), key=str)
+        got = sorted(((r.doc_id, r.component_id) for r in similar.similar_groups(table).collect()), key=str)
         assert got == sorted(((i, least.get(r)) for (i, _), r in zip(given, root)), key=str)
-    assert simhash.similar_groups(none).count() == 0
+    assert similar.similar_groups(none).count() == 0
 
 
 def test_similar_groups_meet(spark):
@@ -141,7 +141,7 @@ def test_similar_groups_meet(spark):
         pairs.append((text + line(20), line(20) + text))
     rows = [(2 * k + n, " ".join(t)) for k, pair in enumerate(pairs) for n, t in enumerate(pair)]
     assert all(alike(brute_shingles(a[1]), brute_shingles(b[1])) for a, b in zip(rows[::2], rows[1::2]))
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
@@ -162,7 +162,7 @@ def test_similar_groups_stars(spark):
     sets = [brute_shingles(t) for _, t in rows]
     root = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])])
     least = {r: min(i for (i, _), x in zip(rows, root) if x == r) for r in root}
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: least[r] for (i, _), r in zip(rows, root)}
 
 
