@@ -13,21 +13,26 @@ doc_id order within a shard, and the shards are ascending ranges of doc_id:
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
-import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
 from .pieces import _iterated, groups
 
-#: Chunks in each of the two generations a Python worker remembers (about 200 bytes each).
-CACHE_WORDS = 250_000
+#: Bytes of each of the two generations of chunks a Python worker remembers, counting OVERHEAD for each chunk.
+CACHE_BYTES, OVERHEAD = 48 << 20, 150
+#: Longer chunks (in bytes) are not remembered. Words in a line for the library, and lines in a call.
+LONG, LINE = 100, 128
+#: Chunks with signs from here on, or with control signs, may be changed or cut in a way of the library's own.
+PLAIN = "\u0180"
 #: For each control byte: the four code lengths, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 #: The id a document ends with.
@@ -53,6 +58,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return raw.view("<u4").reshape(-1)
 
 
+#: What the Encoder relies on (fixed values): how a tokenizer file must normalise and cut texts.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: The suffix of pieces that end a word.
+SUFFIX = "</w>"
+
+
 @lru_cache(1)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,57 +77,96 @@ def _tokenizer(path: str):
     return t
 
 
+def divisible(tokenizer) -> bool:
+    """Whether texts can be encoded word by word: lower-cased, white space dropped, cut as PRETOKENS says, each word
+    ended by a piece with SUFFIX, and no added token that could lie within a text without the sign ``<|``."""
+    file = json.loads(tokenizer.to_str())
+    cut = {"type": "Split", "pattern": {"Regex": PRETOKENS}, "behavior": "Removed", "invert": True}
+    same = (file["normalizer"] or {}).get("normalizers") == NORMALIZERS and (file["pre_tokenizer"] or {}).get("pretokenizers") == [cut, BYTES]
+    model = file["model"]
+    whole = model.get("end_of_word_suffix") == SUFFIX and not any(model.get(k) for k in ("dropout", "unk_token", "fuse_unk", "continuing_subword_prefix"))
+    return same and whole and all("<|" in x["content"] for x in file["added_tokens"])
+
+
 class Encoder:
-    """Encodes texts chunk by chunk, for tokenizers that lower-case, drop white space and keep letters apart from signs.
+    """Encodes texts chunk by chunk (what stands between ASCII white space), for tokenizers that are ``divisible``.
 
-    What stands between ASCII white space can then be encoded alone, and so can full stops and commas that follow
-    a letter. Each distinct chunk is encoded once and remembered, by the tasks of a worker together, in two
-    generations: chunks in use move to the younger, and the older goes when the younger is full. New chunks go
-    through the library in one call, separated by spaces; its offsets tell which ids are of which chunk.
+    Each distinct chunk is encoded once and remembered, by the tasks of a worker together, in two generations: chunks
+    in use move to the younger, and the older goes when the younger has CACHE_BYTES. New chunks are cut into words by
+    the tokenizer's own pattern, and distinct new words go through the library in lines of LINE words; the pieces with
+    SUFFIX tell where a word ends. Chunks whose lower-casing or cutting could differ from the library's go through it
+    whole; so do all texts where the tokenizer is of another kind. Long chunks are not remembered.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer = t = _tokenizer(path)
+        self.dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
+        self.divisible = divisible(t)
+        self.ends = np.array([(t.id_to_token(i) or "").endswith(SUFFIX) for i in range(t.get_vocab_size())])
+        self.cut = regex.compile(PRETOKENS).findall
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-
-    def _library(self, new: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "surrogatepass") for w in new]
-        part = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        begin = np.cumsum(size + 1) - size - 1
-        at = np.fromiter((a for a, _ in part.offsets), np.int64, len(part.ids))
-        raw = np.array(part.ids, self.dtype).tobytes()
-        edge = (self.dtype.itemsize * np.searchsorted(at, np.append(begin, np.iinfo(np.int64).max))).tolist()
-        self.young.update(zip(new, (raw[a:b] for a, b in zip(edge, edge[1:]))))
-
-    def _learn(self, words: set[bytes]) -> None:
+        self.size = 0
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of the pattern; those of a line come apart after each piece with SUFFIX."""
+        out, width = {}, self.dtype.itemsize
+        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
+        for at in range(0, len(lines), LINE):
+            part = lines[at : at + LINE]
+            for line, found in zip(part, self.tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
+                ids = np.array(found.ids, self.dtype)
+                edge = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(edge) != len(line):
+                    out.update(zip(line, self._library(line)))
+                    continue
+                raw = ids.tobytes()
+                out.update(zip(line, (raw[width * a : width * b] for a, b in zip([0, *edge], edge))))
+        return out
+
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of ``chunks`` that aren't remembered; long ones are not from now on either."""
         young, old = self.young, self.old
-        words = {w for w in words if w not in young}
-        for w in words & old.keys():
-            young[w] = old[w]
-        parts = {}
-        for w in words - young.keys():
-            bare = w.rstrip(b",.")
-            ends = bare and len(bare) < len(w) and (97 <= bare[-1] <= 122 or bare[-1] > 127 and bare.decode("utf-8", "surrogatepass").lower()[-1].isalpha())
-            parts[w] = (bare, w[len(bare) :]) if ends else (w,)
-        new = {x for p in parts.values() for x in p if x not in young}
-        if new:
-            self._library(list(new))
-        for w, p in parts.items():
-            if len(p) > 1:
-                young[w] = young[p[0]] + young[p[1]]
+        new = chunks - young.keys()
+        for c in new & old.keys():
+            young[c] = old[c]
+            self.size += len(c) + len(old[c]) + OVERHEAD
+        new -= young.keys()
+        cuts, odd = {}, []
+        for c in new:
+            text = c.decode("utf-8", "surrogatepass").lower()
+            if c.isalpha():
+                cuts[c] = [text]
+            elif text.isprintable() and max(text) < PLAIN and b"<|" not in c:
+                cuts[c] = self.cut(text)
+            else:
+                odd.append(c)
+        ids = self._words(list({w for words in cuts.values() for w in words}))
+        of = ids.__getitem__
+        found = {c: b"".join(map(of, words)) for c, words in cuts.items()}
+        if odd:
+            found.update(zip(odd, self._library([c.decode("utf-8", "surrogatepass") for c in odd])))
+        young.update((c, x) for c, x in found.items() if len(c) <= LONG)
+        self.size += sum(len(c) + len(x) + OVERHEAD for c, x in found.items() if len(c) <= LONG)
+        return {c: x for c, x in found.items() if len(c) > LONG}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``."""
+        if not self.divisible:
+            return self._library([x or "" for x in texts])
         raws = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
         cut = [(x if b"<|" in x else x.lower()).split() for x in raws]
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        self._learn(set().union(*cut))
+        if self.size > CACHE_BYTES:
+            self.young, self.old, self.size = {}, self.young, 0
         of = self.young.__getitem__
-        return [b"".join(map(of, words)) for words in cut]
+        rest = self._learn(set().union(*cut))
+        if not rest:
+            return [b"".join(map(of, chunks)) for chunks in cut]
+        return [b"".join(rest[c] if c in rest else of(c) for c in chunks) for chunks in cut]
 
 
 @lru_cache(1)
@@ -168,7 +220,8 @@ def write_token_files(docs: DataFrame, path: str, out: str) -> None:
             before += int(coded["n"].sum())
             yield coded
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id())
+    ties = ids.withColumn("tie", F.monotonically_increasing_id())  # a doc_id that many rows share, null too, is split
+    ordered = ties.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id").drop("tie").withColumn("shard", F.spark_partition_id())
     ordered.mapInPandas(code, f"doc_id {kind}, shard int, own long, n long, control binary, data binary").write.parquet(f"{out}/records")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     sums = spark.read.parquet(f"{out}/records").groupBy("shard").agg(F.sum("n").alias("n"))

@@ -216,6 +216,28 @@ def test_op5(spark, docs, rows):
     assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got[:-1]]))
 
 
+def test_op5_empty(spark, none):
+    out = f"{shared_dir(spark)}/files-{random.random()}"
+    token_files.write_token_files(none, public_tokenizers.path("word_bpe_49k.json"), out)
+    assert token_files.read_token_files(spark, out).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_equal_the_library(name):
+    """Word by word as the whole text; a tokenizer of another kind takes whole texts; long chunks aren't remembered."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(name), random.Random(14)
+    t, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    assert encoder.divisible == (name == "word_bpe_49k.json")
+    parts = ["don't", "I'LL", "é", "É", "İ", "ſ", "ß", "\xa0", "\x1c", "\x85", " ", "\n", "<|endoftext|>", "<|", "A", "b", "3", "12", "...", "'s", "'", "œ", "漢", "e\u0301", "'T", "\u0307", "_", "\xad", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["ab,1" * 50_000, "x" * 5_000_000 if encoder.divisible else "x"]
+    for at in range(0, len(texts), 500):
+        got = encoder.encode(texts[at : at + 500])
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts[at : at + 500]]
+    assert max(map(len, encoder.young), default=0) <= token_files.LONG
+
+
 def test_codes_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 5], "<u4")
     for n in range(len(ranks) + 1):
