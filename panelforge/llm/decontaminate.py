@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, content, written
+from .common import Scratch, content, small, written
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 15
-#: Benchmark shingles up to this many are broadcast (16 bytes each); beyond it the join is shuffled.
-BROADCAST_SHINGLES = 2_000_000
+#: Among 4,000 simulated pairs of a similarity just over 0.8 for each of 12 sizes, none was more than 24 bits apart.
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 27
 
 
 def words(text) -> F.Column:
@@ -46,62 +45,102 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:])]
 
 
-def indexed(rows: DataFrame, radius: int) -> DataFrame:
-    keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit(mask).cast("long")) for lo, mask in blocks(radius)])
+def indexed(rows: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
+    """A row for each block of the fingerprint: ``block, value``."""
+    keys = F.array(*[F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit(mask).cast("long")) for lo, mask in blocks(radius)])
     return rows.select("*", F.posexplode(keys).alias("block", "value"))
 
 
-def similarity(a, b) -> F.Column:
-    """Weighted Jaccard similarity of two arrays of shingles; a shingle's weight is how often it occurs."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    return common / (F.size(a) + F.size(b) - common)
+def short_runs(sizes: list[int]) -> F.Column:
+    """Runs of words of each of the ``sizes`` under WORDS, hashed as items of that size are: (position, shingle)."""
+    w = F.col("w")
+
+    def runs(k):
+        found = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.slice(w, i + 1, k), " ")).alias("g")))
+        return F.when(F.size(w) >= k, found).otherwise(F.array().cast("array<struct<pos:int,g:bigint>>"))
+
+    return F.concat(*map(runs, sizes))
+
+
+def anchored(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``content, ref, size, m, pos, at``: shingle ``pos`` of a text is shingle ``at`` of an item with ``m`` shingles."""
+    known = items.select("ref", "size", F.size("grams").alias("m"), F.posexplode("grams").alias("at", "g"))
+    texts = docs.select(content().alias("content"), words(F.col("text")).alias("w"))
+    sizes = [r["size"] for r in items.where(F.col("size") < WORDS).select("size").distinct().collect()]  # four at most
+    # the outer form: for the inner one the optimizer adds a filter on the array and computes it there once more
+    runs = shingled(texts).select("content", F.posexplode_outer("grams").alias("pos", "g"))
+    if sizes:
+        runs = runs.unionByName(texts.select("content", F.inline(short_runs(sizes))))
+    return runs.join(small(known), "g").select("content", "ref", "size", "m", "pos", "at").distinct()
+
+
+def window_starts(anchors: DataFrame) -> DataFrame:
+    """``content, ref, size, start``: windows of the item's size that can be most similar to it.
+
+    As a window moves, each unbroken run of shared shingles adds to the similarity until it ends within the window
+    and takes from it once the window starts after the run's begin. So a most similar window starts with a run, or
+    ends with one, or is in line with the item.
+    """
+    run = Window.partitionBy("content", "ref", F.col("pos") - F.col("at")).orderBy("pos")
+    ends = F.array(
+        F.col("pos") - F.col("at"),
+        F.when(F.coalesce(F.lag("pos").over(run) != F.col("pos") - 1, F.lit(True)), F.col("pos")),
+        F.when(F.coalesce(F.lead("pos").over(run) != F.col("pos") + 1, F.lit(True)), F.col("pos") - F.col("m") + 1))
+    starts = anchors.withColumn("ends", ends).select("content", "ref", "size", F.explode("ends").alias("start")).where("start is not null")
+    return starts.select("content", "ref", "size", F.greatest("start", F.lit(0)).alias("start")).distinct()
+
+
+def similarities(pairs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
+    """``pairs`` (id, ref) with ``similarity``: weighted Jaccard, a shingle's weight being how often it occurs."""
+    left = windows.select("id", F.explode("grams").alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    right = items.select("ref", F.explode("grams").alias("g")).groupBy("ref", "g").agg(F.count("*").alias("d"))
+    common = pairs.join(left, "id").join(right, ["ref", "g"]).groupBy("id", "ref").agg(F.sum(F.least("c", "d")).alias("common"))
+    sizes = common.join(windows.select("id", F.size("grams").alias("a")), "id").join(items.select("ref", F.size("grams").alias("b")), "ref")
+    return sizes.select("id", "ref", (F.col("common") / (F.col("a") + F.col("b") - F.col("common"))).alias("similarity"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """``(content, item_id, similarity)``: digests of texts with a window that is near a benchmark item.
+    """``(content, item_id, similarity)``: digests of texts with a window that is near a benchmark item, written.
 
     Windows have as many words as the item. A window can only reach the threshold if it shares a shingle with the
-    item, so a pass over all shingles of all texts, joined with the benchmark's, tells where windows may start:
-    each shared shingle sets one start, the place where item and window align. These windows and the items of their
-    size get SimHash fingerprints; a join on the blocks of a multi-index finds every pair within the radius, and
-    the shingles' exact weighted similarity decides. Equal windows are compared once.
+    item, so a pass over all shingles of all texts, joined with the benchmark's, tells where windows may start (see
+    window_starts). These windows and the items get SimHash fingerprints; a join on the item and the blocks of a
+    multi-index finds every pair within the radius, and the shingles' exact weighted similarity decides. Equal windows
+    are compared once.
     """
-    items = shingled(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w"))).withColumn("size", F.size("w")).where("size > 0")
-    items = written(items.select("item_id", "size", "grams", F.array_join("w", " ").alias("words")), "items")
-    known = items.select("item_id", "size", F.posexplode("grams").alias("at", "g"))
-    small = known.count() <= BROADCAST_SHINGLES
-    runs = shingled(docs.select(content().alias("content"), words(F.col("text")).alias("w")))
-    # the outer form: for the inner one the optimizer adds a filter on the array and computes it there once more
-    runs = runs.select("content", F.posexplode_outer("grams").alias("pos", "g"))
-    anchors = runs.join(F.broadcast(known) if small else known, "g")
-    starts = written(anchors.select("content", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "size").distinct(), "starts")
-    spots = starts.groupBy("content").agg(F.collect_set(F.struct("start", "size")).alias("spots"))
+    scratch = Scratch(docs.sparkSession)
+    items = shingled(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).distinct()).withColumn("size", F.size("w")).where("size > 0")
+    items = scratch.write(items.select(F.monotonically_increasing_id().alias("ref"), "item_id", "size", "grams"), "items")
+    anchors = scratch.write(anchored(docs, items), "anchors")
+    starts = scratch.write(window_starts(anchors), "starts")
+    spots = scratch.write(starts.groupBy("content").agg(F.collect_set(F.struct("start", "size")).alias("spots")), "spots")
     texts = docs.select(content().alias("content"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(spots, "content").dropDuplicates(["content"]).select("content", "spots", words(F.col("text")).alias("w"))
-    cut = F.transform("spots", lambda s: F.struct(s["size"].alias("size"), F.array_join(F.slice(F.col("w"), s["start"] + 1, s["size"]), " ").alias("words")))
-    windows = written(texts.select("content", F.inline(cut)).distinct(), "windows")
-    distinct = windows.select("size", "words").distinct().select("size", F.xxhash64("words").alias("id"), F.split("words", " ").alias("w"))
-    distinct = written(shingled(distinct).select("id", "size", "grams").dropDuplicates(["id", "size"]), "distinct")
-    left = indexed(distinct.join(fingerprints(distinct.dropDuplicates(["id"]), "id"), "id").select("id", "size", "grams", "fp"), radius)
-    right = indexed(items.join(fingerprints(items, "item_id"), "item_id").select("item_id", "size", F.col("grams").alias("own"), F.col("fp").alias("other")).withColumnRenamed("other", "fp"), radius).withColumnRenamed("fp", "other")
-    near = left.join(right, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).dropDuplicates(["id", "size", "item_id"])
-    sure = near.select("id", "size", "item_id", similarity(F.col("grams"), F.col("own")).alias("similarity")).where(F.col("similarity") >= threshold)
-    found = windows.select("content", "size", F.xxhash64("words").alias("id")).join(sure, ["id", "size"])
-    return found.groupBy("content", "item_id").agg(F.max("similarity").alias("similarity"))
+    texts = texts.join(small(spots), "content").dropDuplicates(["content"]).select("content", "spots", words(F.col("text")).alias("w"))
+    cut = F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.array_join(F.slice(F.col("w"), s["start"] + 1, s["size"]), " ").alias("words")))
+    windows = texts.select("content", F.inline(cut)).where("words <> ''").withColumn("id", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b")))
+    windows = scratch.write(windows, "windows")
+    pairs = scratch.write(windows.join(starts, ["content", "start", "size"]).select("content", "id", "ref").distinct(), "pairs")
+    distinct = scratch.write(shingled(windows.dropDuplicates(["id"]).select("id", F.split("words", " ").alias("w"))).select("id", "grams"), "distinct")
+    left = indexed(pairs.select("id", "ref").distinct().join(fingerprints(distinct, "id"), "id"), radius)
+    right = indexed(fingerprints(items, "ref").withColumnRenamed("fp", "own"), radius, "own").select("ref", "own", "block", "value")
+    near = left.join(right, ["ref", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= radius).select("id", "ref").distinct()
+    sure = scratch.write(similarities(near, distinct, items).where(F.col("similarity") >= threshold - 1e-9), "sure")
+    found = pairs.join(sure, ["id", "ref"]).join(small(items.select("ref", "item_id")), "ref")
+    found = scratch.write(found.groupBy("content", "item_id").agg(F.max("similarity").alias("similarity")), "found")
+    scratch.drop(found)
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, contaminated, n_items, item_id, similarity``.
 
     ``item_id`` is the most similar item (ties: the smallest), null with similarity 0 for clean rows. Null and
-    empty texts, and items without words or with a null id, match nothing; items under five words are one shingle
-    and match texts that consist of them. Only doc_id and text, item_id and text are read; repeated rows are
+    empty texts, and items without words or with a null id, match nothing; items under five words are one shingle,
+    which matches wherever these words follow each other. Only doc_id and text, item_id and text are read; repeated rows are
     repeated; an empty table on either side gives no match.
     """
-    found = written(matches(docs, benchmark, threshold, radius), "matches")
-    best = found.groupBy("content").agg(F.count("*").alias("n_items"), F.max(F.struct("similarity", (-F.col("item_id")).alias("minus"))).alias("top"))
-    rows = docs.select("doc_id", content().alias("content")).join(best, "content", "left")
+    best = matches(docs, benchmark, threshold, radius).groupBy("content").agg(F.count("*").alias("n_items"), F.max(F.struct("similarity", (-F.col("item_id")).alias("minus"))).alias("top"))
+    rows = docs.select("doc_id", content().alias("content")).join(small(written(best, "best")), "content", "left")
     return rows.select("doc_id", F.col("top").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), (-F.col("top.minus")).alias("item_id"), F.coalesce("top.similarity", F.lit(0.0)).alias("similarity"))
 
 

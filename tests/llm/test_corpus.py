@@ -262,14 +262,53 @@ def test_op6(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, items.limit(0)).collect())
 
 
+def test_op6_all_windows(spark):
+    """Against every window of every text: quotes with words changed, inserted and left out, items of 1 to 60 words."""
+    from collections import Counter
+
+    rng = random.Random(15)
+    vocab = [f"w{i}" for i in range(2000)]
+    pad = lambda k: [rng.choice(vocab) for _ in range(k)]
+    items = [(k, pad(size)) for k, size in enumerate([1, 2, 4, 5, 6, 9, 12, 20, 33, 47, 60])] + [(11, ["a", "b"] * 12)]
+    texts = [[], ["w1"]]
+    for _, words in items:
+        for n in range(12):
+            own = words.copy()
+            for _ in range(rng.randint(0, 1 + len(words) // 18)):
+                at, kind = rng.randrange(len(own) + 1), rng.choice("cid")
+                own[at : at + (kind != "i")] = [] if kind == "d" else pad(rng.randint(1, 3))
+            texts.append(pad(rng.randint(0, 30)) + own + pad(rng.randint(0, 30)))
+    texts.append(pad(5) + items[8][1] + pad(3000) + items[9][1])
+    grams = lambda w: Counter([" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [])
+    want = {}
+    for i, text in enumerate(texts):
+        for item, words in items:
+            own, best = grams(words), 0
+            for at in range(max(1, len(text) - len(words) + 1)):
+                other = grams(text[at : at + len(words)])
+                best = max(best, (own & other).total() / (own | other).total())
+            if best >= 0.8 - 1e-9:
+                want[i, item] = best
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] * 2 + [(None, " ".join(texts[-1])), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] * 2, "item_id long, text string")
+    rows = decontaminate.contamination(docs, bench).collect()
+    assert len(rows) == 2 * len(texts) + 2
+    for r in rows:
+        i = len(texts) - 1 if r.doc_id is None and r.contaminated else r.doc_id
+        own = {k: v for (d, k), v in want.items() if d == i}
+        assert (i, r.contaminated, r.n_items) == (i, bool(own), len(own)), own
+        if own:
+            assert abs(r.similarity - max(own.values())) < 1e-9 and own[r.item_id] > max(own.values()) - 1e-9
+
+
 def test_blocks_find_all_within_radius():
     rng = random.Random(4)
     for _ in range(300):
         a = rng.getrandbits(64)
         b = a
-        for bit in rng.sample(range(64), 15):
+        for bit in rng.sample(range(64), decontaminate.RADIUS):
             b ^= 1 << bit
-        assert any((a >> lo) & mask == (b >> lo) & mask for lo, mask in decontaminate.blocks(15))
+        assert any((a >> lo) & mask == (b >> lo) & mask for lo, mask in decontaminate.blocks(decontaminate.RADIUS))
 
 
 def test_op7(spark, none):
