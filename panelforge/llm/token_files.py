@@ -135,24 +135,33 @@ class Encoder:
         for c in new & old.keys():
             young[c] = old[c]
             self.size += len(c) + len(old[c]) + OVERHEAD
-        new -= young.keys()
-        cuts, odd = {}, []
-        for c in new:
-            text = c.decode("utf-8", "surrogatepass").lower()
-            if c.isalpha():
-                cuts[c] = [text]
-            elif text.isprintable() and max(text) < PLAIN and b"<|" not in c:
+        new = list(new - young.keys())
+        if not new:
+            return {}
+        together = b"\n".join(new).decode("utf-8", "surrogatepass").lower()
+        plain, alone, cuts, odd = max(together) < PLAIN, {}, {}, []
+        for c, text in zip(new, together.split("\n")):
+            if b"<|" in c or not (plain or max(text) < PLAIN):
+                odd.append(c)
+            elif text.isalpha():
+                alone[c] = text
+            elif text.isprintable():
                 cuts[c] = self.cut(text)
             else:
                 odd.append(c)
-        ids = self._words(list({w for words in cuts.values() for w in words}))
+        words = {w for parts in cuts.values() for w in parts}.union(alone.values())
+        ids = {w: x for w in words if (x := young.get(w.encode())) is not None}
+        ids |= self._words(list(words - ids.keys()))
         of = ids.__getitem__
-        found = {c: b"".join(map(of, words)) for c, words in cuts.items()}
-        if odd:
-            found.update(zip(odd, self._library([c.decode("utf-8", "surrogatepass") for c in odd])))
-        young.update((c, x) for c, x in found.items() if len(c) <= LONG)
-        self.size += sum(len(c) + len(x) + OVERHEAD for c, x in found.items() if len(c) <= LONG)
-        return {c: x for c, x in found.items() if len(c) > LONG}
+        found = dict(zip(alone, map(of, alone.values())))
+        found.update((c, b"".join(map(of, parts))) for c, parts in cuts.items())
+        found.update(zip(odd, self._library([c.decode("utf-8", "surrogatepass") for c in odd])))
+        rest = {c: x for c, x in found.items() if len(c) > LONG} if max(map(len, new)) > LONG else {}
+        for c in rest:
+            del found[c]
+        young.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + OVERHEAD * len(found)
+        return rest
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``."""
