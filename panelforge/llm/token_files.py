@@ -28,36 +28,53 @@ from .common import shared_dir
 from .pieces import _iterated, groups
 
 #: Bytes of each of the two generations of chunks a Python worker remembers, counting OVERHEAD for each chunk.
-CACHE_BYTES, OVERHEAD = 48 << 20, 150
+CACHE_BYTES, OVERHEAD = 32 << 20, 200
 #: Longer chunks (in bytes) are not remembered. Words in a line for the library, and lines in a call.
 LONG, LINE = 100, 128
 #: Chunks with signs from here on, or with control signs, may be changed or cut in a way of the library's own.
 PLAIN = "\u0180"
 #: For each control byte: the four code lengths, and their sum.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 #: The id a document ends with.
 END = 1
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of ranks (unsigned, under 2**32)."""
+def pack(ranks: np.ndarray, n: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control, data) bytes of documents with ``n`` ranks each (unsigned, under 2**32), which follow each other."""
     ranks = ranks.astype("<u4")
     more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    quads = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    quads[: len(ranks)] = more
-    control = (quads.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    raw = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) <= more[:, None]].tobytes()
-
-
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks of :func:`pack`: lengths by table lookup on control bytes, codes gathered at their offsets."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    raw = np.zeros((n, 4), np.uint8)
-    raw[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
+    quads = -(-n // 4)
+    begin = np.cumsum(quads) - quads
+    places = np.zeros(4 * int(quads.sum()), np.uint8)
+    places[np.arange(len(ranks)) + np.repeat(4 * begin - (np.cumsum(n) - n), n)] = more
+    control = (places.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= more[:, None]].tobytes()
+    ends = np.append(0, np.cumsum(more.astype(np.int64) + 1))[np.append(0, np.cumsum(n))].tolist()
+    cuts = np.append(begin, quads.sum()).tolist()
+    return [(control[c:d], data[e:f]) for c, d, e, f in zip(cuts, cuts[1:], ends, ends[1:])]
+
+
+def unpack(control: list[bytes], data: list[bytes], n: np.ndarray) -> np.ndarray:
+    """The ranks of :func:`pack`, of all documents: lengths by table lookup on control bytes, codes gathered at their offsets."""
+    quads = -(-n // 4)
+    places = np.arange(int(n.sum())) + np.repeat(4 * (np.cumsum(quads) - quads) - (np.cumsum(n) - n), n)
+    size = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].reshape(-1)[places]
+    raw = np.zeros((len(size), 4), np.uint8)
+    raw[np.arange(4, dtype=np.uint8) < size[:, None]] = np.frombuffer(b"".join(data), np.uint8)
     return raw.view("<u4").reshape(-1)
 
 
+def parts(n: np.ndarray, most: int = 1 << 18) -> list[slice]:
+    """Runs of documents with about ``most`` ids together; a longer document is alone."""
+    ends = np.cumsum(n)
+    out, at = [], 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + most, "right")))
+        out.append(slice(at, to))
+        at = to
+    return out
+
+
 #: What the Encoder relies on (fixed values): how a tokenizer file must normalise and cut texts.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -198,7 +215,7 @@ def write_token_files(docs: DataFrame, path: str, out: str) -> None:
 
     def encode(batches):
         for texts in batches:
-            yield pd.Series([x + end for part in groups(texts, 1 << 22) for x in encoder(path).encode(part)], dtype=object)
+            yield pd.Series([x + end for part in groups(texts, 1 << 21) for x in encoder(path).encode(part)], dtype=object)
 
     raw = f"{shared_dir(spark)}/raw-ids-{uuid.uuid4().hex}"
     docs.select("doc_id", _iterated(encode, "binary")("text").alias("raw")).write.parquet(raw)
@@ -221,12 +238,14 @@ def write_token_files(docs: DataFrame, path: str, out: str) -> None:
     def code(batches):
         before = 0
         for pdf in batches:
-            rows = [(len(x) // dtype.itemsize, *pack(shared.value[np.frombuffer(x, dtype)])) for x in pdf["raw"]]
-            coded = pd.DataFrame(rows, columns=["n", "control", "data"])
-            coded.insert(0, "own", before + coded["n"].cumsum() - coded["n"])
+            raw, n = pdf["raw"].tolist(), pdf["raw"].str.len().to_numpy(np.int64) // dtype.itemsize
+            rows = [x for at in parts(n) for x in pack(shared.value[np.frombuffer(b"".join(raw[at]), dtype)], n[at])]
+            coded = pd.DataFrame(rows, columns=["control", "data"])
+            coded.insert(0, "n", n)
+            coded.insert(0, "own", before + np.cumsum(n) - n)
             coded.insert(0, "shard", pdf["shard"].to_numpy())
             coded.insert(0, "doc_id", pdf["doc_id"])
-            before += int(coded["n"].sum())
+            before += int(n.sum())
             yield coded
 
     ties = ids.withColumn("tie", F.monotonically_increasing_id())  # a doc_id that many rows share, null too, is split
@@ -244,7 +263,12 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
 
     @F.pandas_udf("binary")
     def decode(control: pd.Series, data: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([shared.value[unpack(c, d, k)].tobytes() for c, d, k in zip(control, data, n)], dtype=object)
+        control, data, n, out = control.tolist(), data.tolist(), n.to_numpy(np.int64), []
+        for at in parts(n):
+            raw = shared.value[unpack(control[at], data[at], n[at])].tobytes()
+            ends = [0, *(4 * np.cumsum(n[at])).tolist()]
+            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return pd.Series(out, dtype=object)
 
     rows = spark.read.parquet(f"{out}/records").join(F.broadcast(spark.read.parquet(f"{out}/shards")), "shard")
     return rows.select("doc_id", (F.col("base") + F.col("own")).alias("start"), F.col("n").alias("n_tokens"), decode("control", "data", "n").alias("ids"))

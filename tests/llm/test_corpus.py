@@ -240,8 +240,16 @@ def test_chunks_equal_the_library(name):
 
 def test_codes_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 5], "<u4")
-    for n in range(len(ranks) + 1):
-        assert token_files.unpack(*token_files.pack(ranks[:n]), n).tolist() == ranks[:n].tolist()
+    rng = random.Random(16)
+    for _ in range(50):
+        n = np.array([rng.randint(0, len(ranks)) for _ in range(rng.randint(0, 6))], np.int64)
+        some = np.concatenate([ranks[:0], *(ranks[:k] for k in n)])
+        coded = token_files.pack(some, n)
+        assert [len(c) for c, _ in coded] == [-(-k // 4) for k in n.tolist()]
+        assert token_files.unpack([c for c, _ in coded], [d for _, d in coded], n).tolist() == some.tolist()
+        for at, k in enumerate(n.tolist()):
+            assert token_files.unpack([coded[at][0]], [coded[at][1]], n[at : at + 1]).tolist() == ranks[:k].tolist()
+    assert [(s.start, s.stop) for s in token_files.parts(np.array([1, 1, 5, 9, 1, 1]), 3)] == [(0, 2), (2, 3), (3, 4), (4, 6)]
 
 
 def test_op6(spark):
