@@ -122,7 +122,7 @@ def backtest_metrics(results: DataFrame, per_year: int = 12) -> DataFrame:
     rows = results.withColumn("k", F.row_number().over(w)).withColumns({"net": F.when(F.col("k") > 1, F.col("net_return")), "gross": F.when(F.col("k") > 1, F.col("gross_return"))})
     rows = rows.withColumn("eq", F.product(1 + F.col("net")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("dd", F.col("eq") / F.max("eq").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    a = rows.groupBy(B).agg(F.count("net").alias("n"), (F.product(1 + F.col("net")) - 1).alias("cumulative_return"), (F.product(1 + F.col("gross")) - 1).alias("cumulative_return_gross"), F.avg("net").alias("mean"), F.coalesce(F.stddev_samp("net"), F.lit(0.0)).alias("sd"), F.sqrt(F.avg(F.pow(F.least("net", F.lit(0.0)), 2)) * F.count("net") / F.nullif(F.count_if(F.col("net") < 0), F.lit(0))).alias("down"), F.coalesce(F.min("dd"), F.lit(0.0)).alias("max_drawdown"), F.avg(F.when(F.col("net").isNotNull(), (F.col("net") > 0).cast("double"))).alias("win_rate"), F.avg("turnover").alias("avg_turnover"))
+    a = rows.groupBy(B).agg(F.count("net").alias("n"), (F.product(1 + F.col("net")) - 1).alias("cumulative_return"), (F.product(1 + F.col("gross")) - 1).alias("cumulative_return_gross"), F.avg("net").alias("mean"), F.coalesce(F.stddev_samp("net"), F.lit(0.0)).alias("sd"), F.sqrt(F.avg(F.when(F.col("net") < 0, F.col("net") * F.col("net")))).alias("down"), F.coalesce(F.min("dd"), F.lit(0.0)).alias("max_drawdown"), F.avg(F.when(F.col("net").isNotNull(), (F.col("net") > 0).cast("double"))).alias("win_rate"), F.avg("turnover").alias("avg_turnover"))
     year = F.lit(float(per_year))
     a = a.withColumn("cagr", F.when(F.col("n") > 0, F.pow(1 + F.col("cumulative_return"), year / F.col("n")) - 1))
     m = {"annualized_volatility": F.col("sd") * F.sqrt(year), "sharpe_ratio": F.when(F.col("sd") <= 1e-12, 0.0).otherwise(F.col("mean") / F.col("sd") * F.sqrt(year)), "sortino_ratio": F.coalesce(ratio(F.col("mean"), F.col("down")) * F.sqrt(year), F.lit(0.0)), "calmar_ratio": F.when(F.abs("max_drawdown") > 1e-12, F.col("cagr") / F.abs("max_drawdown")), "annualized_turnover": F.col("avg_turnover") * year}

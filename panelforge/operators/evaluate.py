@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import by_ticker, ratio, spearman
+from ..functions.stats import by_ticker, ratio, spearman, union
 from .returns import dense_grid
 
 KEYS = ["factor_name", "date"]
@@ -37,9 +37,9 @@ def buckets(scores: DataFrame, n: int = 5) -> DataFrame:
     return rows.where(F.col("m") >= n).withColumn("q", F.greatest(F.expr(f"({n} * (r - 1) + (m - 2)) div (m - 1)"), F.lit(1)) - 1).drop("r", "m")
 
 
-def quintile_returns(scores: DataFrame, returns: DataFrame) -> DataFrame:
+def quintile_returns(scores: DataFrame, returns: DataFrame, score: str = "final_score") -> DataFrame:
     """``factor_name, date, return_q1, return_q5, return_ls``, dated with the next month-end."""
-    rows = buckets(paired(scores, returns))
+    rows = buckets(paired(scores, returns, score))
     rows = rows.groupBy(*KEYS).agg(F.avg(F.when(F.col("q") == 0, F.col("fwd"))).alias("return_q1"), F.avg(F.when(F.col("q") == 4, F.col("fwd"))).alias("return_q5"))
     return rows.select("factor_name", F.last_day(F.date_add("date", 1)).alias("date"), "return_q1", "return_q5", (F.col("return_q5") - F.col("return_q1")).alias("return_ls"))
 
@@ -73,18 +73,21 @@ def half_life(autocorr: DataFrame) -> DataFrame:
     return rows.select("factor_name", F.when((F.col("n") >= 2) & (rate > 0), F.ln(F.lit(2.0)) / rate).otherwise(0.0).alias("half_life"))
 
 
+def stage_metrics(scores: DataFrame, returns: DataFrame, score: str) -> DataFrame:
+    """``factor_name, date, metric_name, value``: the dated series ic and return_q1, _q5, _ls, and at the last date with
+    scores and returns ic_mean, ic_std, icir, sharpe_q1, _q5, _ls, half_life and autocorr_lag1 to 6."""
+    key = ["factor_name", "date"]
+    ics, quintiles, decay = ic_series(scores, returns, score), quintile_returns(scores, returns, score), score_autocorr(scores, score=score)
+    series = [ics.select(*key, F.lit("ic").alias("metric_name"), F.col("ic").alias("value")), quintiles.unpivot(key, ["return_q1", "return_q5", "return_ls"], "metric_name", "value")]
+    summaries = [
+        ic_summary(ics).select("factor_name", F.col("mean_ic").alias("ic_mean"), F.col("std_ic").alias("ic_std"), "icir"),
+        quintile_sharpe(quintiles.where("return_ls is not null")), half_life(decay),
+        decay.groupBy("factor_name").pivot("lag", list(range(1, 7))).agg(F.first("autocorr")).withColumnsRenamed({str(k): f"autocorr_lag{k}" for k in range(1, 7)})]
+    tall = union([t.unpivot(["factor_name"], t.columns[1:], "metric_name", "value") for t in summaries])
+    end = paired(scores, returns, score).groupBy("factor_name").agg(F.max("date").alias("date"))
+    return union([*series, tall.join(end, "factor_name").select(*key, "metric_name", "value")])
+
+
 def factor_metrics(scores: DataFrame, returns: DataFrame) -> DataFrame:
-    """Tall ``factor_name, date, stage, metric_name, value`` of dated series and summaries."""
-    out = []
-    for stage, col in (("raw", "raw_score"), ("final", "final_score")):
-        ics = ic_series(scores, returns, col)
-        out.append(ics.select("factor_name", "date", F.lit(stage).alias("stage"), F.lit("ic").alias("metric_name"), F.col("ic").alias("value")))
-        end = ics.groupBy("factor_name").agg(F.max("date").alias("date"))
-        summary = ic_summary(ics).drop("n_dates").unpivot(["factor_name"], ["mean_ic", "std_ic", "icir"], "metric_name", "value")
-        out.append(summary.join(end, "factor_name").select("factor_name", "date", F.lit(stage).alias("stage"), "metric_name", "value"))
-    q = quintile_returns(scores, returns).unpivot(["factor_name", "date"], ["return_q1", "return_q5", "return_ls"], "metric_name", "value")
-    out.append(q.select("factor_name", "date", F.lit("final").alias("stage"), "metric_name", "value"))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+    """Tall ``factor_name, date, stage, metric_name, value`` of the raw and the final scores (see stage_metrics)."""
+    return union([stage_metrics(scores, returns, f"{stage}_score").withColumn("stage", F.lit(stage)) for stage in ("raw", "final")])

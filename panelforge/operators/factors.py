@@ -36,7 +36,7 @@ def value_factors(months: DataFrame, statements: DataFrame, metadata: DataFrame)
     assets = F.when(F.col("total_assets") != 0, F.col("total_assets"))
     leverage = change_on_union(statements.select("date", "ticker", (F.col("total_debt") / equity).alias("leverage")), "leverage")
     reports = statements.withColumn("accruals", -(F.col("net_income") - F.col("operating_cash_flow")) / assets).join(leverage, ["date", "ticker"], "full")
-    known = asof_fill(months, reports, [*STATEMENT, "accruals", "leverage"]).join(F.broadcast(metadata.select("ticker", "shares_outstanding")), "ticker", "left")
+    known = asof_fill(months, reports, [*STATEMENT, "accruals", "leverage"]).join(metadata.select("ticker", "shares_outstanding"), "ticker", "left")
     cap = F.col("px") * F.col("shares_outstanding")
     return known.select(
         "date", "ticker", ratio(F.col("book_value"), cap).alias("BookToPrice"), ratio(F.col("gross_profit"), F.col("total_assets")).alias("GrossProfitability"),
@@ -117,7 +117,7 @@ def event_factors(months: DataFrame, earnings: DataFrame, insiders: DataFrame) -
 def family(star, name: str) -> DataFrame:
     """The family of columns that holds factor ``name``, rounded to 9 digits so that equal scores tie."""
     prices = star.prices()
-    months = month_ends(prices)
+    months = star.once("months", lambda: month_ends(prices))
     if name in PRICE:
         rows = price_factors(months)
     elif name in VALUE:
@@ -176,7 +176,7 @@ def neutralize(rows: DataFrame, value: str = "z_score", keys=KEYS, size: bool =
 
 def sized(scores: DataFrame, months: DataFrame, metadata: DataFrame) -> DataFrame:
     """``scores`` with ``size`` (price times shares, else 1) and ``sector``."""
-    rows = scores.join(months.select("date", "ticker", "px"), ["date", "ticker"], "left").join(F.broadcast(metadata.select("ticker", "sector", "shares_outstanding")), "ticker", "left")
+    rows = scores.join(months.select("date", "ticker", "px"), ["date", "ticker"], "left").join(metadata.select("ticker", "sector", "shares_outstanding"), "ticker", "left")
     return rows.withColumn("size", F.coalesce(F.col("px") * F.col("shares_outstanding"), F.lit(1.0))).drop("px", "shares_outstanding")
 
 
@@ -189,6 +189,6 @@ def factor_scores(star, names: list[str] = FACTORS, active: DataFrame | None = N
     if active is not None:
         rows = rows.join(active.where("in_universe").select("date", "ticker"), ["date", "ticker"])
     rows = rows.withColumn("_n", F.count("raw_score").over(Window.partitionBy(*KEYS))).where("_n > 0").drop("_n")
-    rows = neutralize(zscore(winsorize(sized(rows, month_ends(star.prices()), star.metadata()))))
+    rows = neutralize(zscore(winsorize(sized(rows, star.once("months", lambda: month_ends(star.prices())), star.metadata()))))
     out = ["raw_score", "winsorized_score", "z_score", "final_score"]
     return rows.select("date", "ticker", "factor_name", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in out])

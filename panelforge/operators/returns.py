@@ -23,24 +23,38 @@ def with_returns(rows: DataFrame, price: str = "adj_close") -> DataFrame:
     return rows.withColumns({"log_return": F.when(change > 0, F.ln(change)), "simple_return": change - 1})
 
 
+def calendar(prices: DataFrame) -> DataFrame:
+    """``date, i``: the panel's dates, numbered."""
+    return prices.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")))  # one row for each date
+
+
 def daily_returns(prices: DataFrame) -> DataFrame:
-    """``date, ticker, log_return, simple_return`` against the previous calendar row."""
-    rows = with_returns(dense_grid(prices, ("adj_close",)))
-    return rows.select("date", "ticker", "log_return", "simple_return").dropna("all", subset=["log_return", "simple_return"])
+    """``date, ticker, log_return, simple_return`` against the previous calendar row.
+
+    A return needs both prices, so the rows there are suffice: the one before counts if its date is the one before.
+    """
+    rows = prices.select("date", "ticker", "adj_close").join(calendar(prices), "date")
+    before = F.when(F.lag("i").over(by_ticker()) == F.col("i") - 1, F.lag("adj_close").over(by_ticker()))
+    rows = rows.withColumn("change", ratio(F.col("adj_close"), before)).where("change is not null")
+    return rows.select("date", "ticker", F.when(F.col("change") > 0, F.ln("change")).alias("log_return"), (F.col("change") - 1).alias("simple_return"))
 
 
 def month_ends(prices: DataFrame) -> DataFrame:
     """``date`` (calendar month-end), ``ticker``, ``px``: the last price carried forward; an empty month is null."""
-    filled = dense_grid(prices, ("adj_close",)).withColumn("px", ffill("adj_close"))
-    last = filled.groupBy(F.last_day("date").alias("date"), "ticker").agg(F.max_by("px", "date").alias("px"))
     span = prices.agg(F.min("date").alias("a"), F.max("date").alias("b")).where("a is not null")
     months = span.select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))).alias("m")).select(F.last_day("m").alias("date"))
-    return months.crossJoin(prices.select("ticker").distinct()).join(last, ["date", "ticker"], "left")
+    months = months.join(prices.select(F.last_day("date").alias("date"), F.lit(True).alias("traded")).distinct(), "date", "left")
+    rows = asof_fill(months.crossJoin(prices.select("ticker").distinct()), prices, ["adj_close"])
+    return rows.select("date", "ticker", F.when(F.col("traded"), F.col("adj_close")).alias("px"))
+
+
+def returns_of_months(months: DataFrame) -> DataFrame:
+    """``date, ticker, log_return, simple_return`` of rows of :func:`month_ends`."""
+    return with_returns(months, "px").select("date", "ticker", "log_return", "simple_return").dropna("all", subset=["log_return", "simple_return"])
 
 
 def monthly_returns(prices: DataFrame) -> DataFrame:
-    rows = with_returns(month_ends(prices), "px")
-    return rows.select("date", "ticker", "log_return", "simple_return").dropna("all", subset=["log_return", "simple_return"])
+    return returns_of_months(month_ends(prices))
 
 
 def stored_returns(prices: DataFrame) -> DataFrame:

@@ -20,6 +20,20 @@ def asof(target: str, source: str, cols: list[str], extra: str = "") -> str:
         WINDOW w AS (PARTITION BY ticker ORDER BY date, t ROWS UNBOUNDED PRECEDING)) WHERE t = 1"""
 
 
+def stage(x: str, col: str) -> str:
+    """Evaluation of the scores in ``col``; ``x`` ends the tables' names."""
+    return f"""pairs{x} AS (SELECT factor_name, date, ticker, {col} AS score, fwd FROM scores JOIN fwd USING (date, ticker)),
+    rk{x} AS (SELECT *, rank() OVER (PARTITION BY factor_name, date ORDER BY score) + (count(*) OVER (PARTITION BY factor_name, date, score) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor_name, date ORDER BY fwd) + (count(*) OVER (PARTITION BY factor_name, date, fwd) - 1) / 2.0 AS ry FROM pairs{x} WHERE score IS NOT NULL AND fwd IS NOT NULL),
+    ics{x} AS (SELECT factor_name, date, count(*) AS n, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS ic FROM rk{x} GROUP BY 1, 2 HAVING count(*) >= 3),
+    qs{x} AS (SELECT factor_name, date, fwd, greatest((5 * (r - 1) + m - 2) // (m - 1), 1) - 1 AS q FROM (SELECT *, row_number() OVER (PARTITION BY factor_name, date ORDER BY score, ticker) AS r, count(*) OVER (PARTITION BY factor_name, date) AS m FROM pairs{x} WHERE score IS NOT NULL) WHERE m >= 5),
+    qret{x} AS (SELECT factor_name, last_day(date + 1) AS date, q1 AS return_q1, q5 AS return_q5, q5 - q1 AS return_ls FROM (SELECT factor_name, date, avg(fwd) FILTER (q = 0) AS q1, avg(fwd) FILTER (q = 4) AS q5 FROM qs{x} GROUP BY 1, 2)),
+    sidx{x} AS (SELECT *, dense_rank() OVER (PARTITION BY factor_name ORDER BY date) AS i FROM scores),
+    acp{x} AS (SELECT a.factor_name, a.i, l.lag, a.{col} AS x, b.{col} AS y FROM sidx{x} a CROSS JOIN (SELECT unnest(range(1, 7)) AS lag) l JOIN sidx{x} b ON a.factor_name = b.factor_name AND a.ticker = b.ticker AND b.i = a.i + l.lag WHERE a.{col} IS NOT NULL AND b.{col} IS NOT NULL),
+    acr{x} AS (SELECT factor_name, i, lag, rank() OVER (PARTITION BY factor_name, i, lag ORDER BY x) + (count(*) OVER (PARTITION BY factor_name, i, lag, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor_name, i, lag ORDER BY y) + (count(*) OVER (PARTITION BY factor_name, i, lag, y) - 1) / 2.0 AS ry FROM acp{x}),
+    ace{x} AS (SELECT factor_name, i, lag, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS ac FROM acr{x} GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+    ac{x} AS (SELECT factor_name, lag::INTEGER AS lag, coalesce(autocorr, 0) AS autocorr FROM (SELECT DISTINCT factor_name FROM scores) CROSS JOIN (SELECT unnest(range(1, 7)) AS lag) LEFT JOIN (SELECT factor_name, lag, avg(ac) AS autocorr FROM ace{x} GROUP BY 1, 2) USING (factor_name, lag))"""
+
+
 def base(by: str) -> str:
     ticker = (lambda c: f"'S' || lpad(CAST({c} AS VARCHAR), 5, '0')") if by == "supplier" else (lambda c: f"'B' || lpad(CAST({c} % 15 AS VARCHAR), 2, '0')")
     t = ticker("l_suppkey")
@@ -88,16 +102,7 @@ def base(by: str) -> str:
     scores AS (SELECT date, ticker, factor_name, round(raw_score, 9) + 0.0 AS raw_score, round(winsorized_score, 9) + 0.0 AS winsorized_score, round(z_score, 9) + 0.0 AS z_score,
         round(CASE WHEN n <= 1 + k THEN y ELSE yd - coalesce(sum(xd * yd) OVER w / nullif(sum(round(xd * xd, 12)) OVER w, 0), 0) * xd END, 9) + 0.0 AS final_score FROM dm WINDOW w AS (PARTITION BY date, factor_name)),
     fwd AS (SELECT date, ticker, lead(simple_return) OVER (PARTITION BY ticker ORDER BY date) AS fwd FROM (SELECT DISTINCT date FROM mret) CROSS JOIN (SELECT DISTINCT ticker FROM mret) LEFT JOIN mret USING (date, ticker)),
-    pairs AS (SELECT factor_name, date, ticker, final_score AS score, fwd FROM scores JOIN fwd USING (date, ticker)),
-    rk AS (SELECT *, rank() OVER (PARTITION BY factor_name, date ORDER BY score) + (count(*) OVER (PARTITION BY factor_name, date, score) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor_name, date ORDER BY fwd) + (count(*) OVER (PARTITION BY factor_name, date, fwd) - 1) / 2.0 AS ry FROM pairs WHERE score IS NOT NULL AND fwd IS NOT NULL),
-    ics AS (SELECT factor_name, date, count(*) AS n, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS ic FROM rk GROUP BY 1, 2 HAVING count(*) >= 3),
-    qs AS (SELECT factor_name, date, fwd, greatest((5 * (r - 1) + m - 2) // (m - 1), 1) - 1 AS q FROM (SELECT *, row_number() OVER (PARTITION BY factor_name, date ORDER BY score, ticker) AS r, count(*) OVER (PARTITION BY factor_name, date) AS m FROM pairs WHERE score IS NOT NULL) WHERE m >= 5),
-    qret AS (SELECT factor_name, last_day(date + 1) AS date, q1 AS return_q1, q5 AS return_q5, q5 - q1 AS return_ls FROM (SELECT factor_name, date, avg(fwd) FILTER (q = 0) AS q1, avg(fwd) FILTER (q = 4) AS q5 FROM qs GROUP BY 1, 2)),
-    sidx AS (SELECT *, dense_rank() OVER (PARTITION BY factor_name ORDER BY date) AS i FROM scores),
-    acp AS (SELECT a.factor_name, a.i, l.lag, a.final_score AS x, b.final_score AS y FROM sidx a CROSS JOIN (SELECT unnest(range(1, 7)) AS lag) l JOIN sidx b ON a.factor_name = b.factor_name AND a.ticker = b.ticker AND b.i = a.i + l.lag WHERE a.final_score IS NOT NULL AND b.final_score IS NOT NULL),
-    acr AS (SELECT factor_name, i, lag, rank() OVER (PARTITION BY factor_name, i, lag ORDER BY x) + (count(*) OVER (PARTITION BY factor_name, i, lag, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor_name, i, lag ORDER BY y) + (count(*) OVER (PARTITION BY factor_name, i, lag, y) - 1) / 2.0 AS ry FROM acp),
-    ace AS (SELECT factor_name, i, lag, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS ac FROM acr GROUP BY 1, 2, 3 HAVING count(*) >= 3),
-    ac AS (SELECT factor_name, lag::INTEGER AS lag, coalesce(autocorr, 0) AS autocorr FROM (SELECT DISTINCT factor_name FROM scores) CROSS JOIN (SELECT unnest(range(1, 7)) AS lag) LEFT JOIN (SELECT factor_name, lag, avg(ac) AS autocorr FROM ace GROUP BY 1, 2) USING (factor_name, lag)),
+    {stage("", "final_score")},
     bt AS (SELECT factor_name AS backtest_name, date, ticker, final_score AS score FROM scores WHERE final_score IS NOT NULL AND date IN (SELECT date FROM mret)),
     rkd AS (SELECT *, row_number() OVER (PARTITION BY backtest_name, date ORDER BY score DESC, ticker) AS top, row_number() OVER (PARTITION BY backtest_name, date ORDER BY score, ticker DESC) AS low, greatest(1, CAST(ceil(round(count(*) OVER (PARTITION BY backtest_name, date) * 0.2, 9)) AS INTEGER)) AS k FROM bt),
     wts AS (SELECT backtest_name, date, ticker, 1.0::DOUBLE / k AS weight FROM rkd WHERE top <= k),
@@ -137,6 +142,20 @@ def base(by: str) -> str:
     """
 
 
+def _metrics(x: str, name: str) -> str:
+    """All metrics of one stage."""
+    sharpe = ", ".join(f"CASE WHEN count(return_{c}) = count(*) AND stddev_pop(return_{c}) > 0 THEN sqrt(12.0) * avg(return_{c}) / stddev_pop(return_{c}) ELSE 0 END AS sharpe_{c}" for c in ("q1", "q5", "ls"))
+    life = "CASE WHEN count(*) FILTER (autocorr > 0) >= 2 AND sum(CASE WHEN autocorr > 0 THEN -lag * ln(autocorr) END) > 0 THEN ln(2.0) * sum(CASE WHEN autocorr > 0 THEN lag * lag END) / sum(CASE WHEN autocorr > 0 THEN -lag * ln(autocorr) END) ELSE 0 END"
+    lags = ", ".join(f"max(autocorr) FILTER (lag = {k}) AS autocorr_lag{k}" for k in range(1, 7))
+    each = ["ic_mean", "ic_std", "icir", "sharpe_q1", "sharpe_q5", "sharpe_ls", "half_life", *(f"autocorr_lag{k}" for k in range(1, 7))]
+    return f"""SELECT factor_name, date, '{name}' AS stage, 'ic' AS metric_name, ic AS value FROM ics{x}
+        UNION ALL SELECT factor_name, date, '{name}', metric_name, value FROM qret{x} UNPIVOT INCLUDE NULLS (value FOR metric_name IN (return_q1, return_q5, return_ls))
+        UNION ALL SELECT factor_name, date, '{name}', metric_name, value FROM (SELECT * FROM (SELECT factor_name, ic_mean::DOUBLE AS ic_mean, ic_std::DOUBLE AS ic_std, icir::DOUBLE AS icir, {", ".join(f"{c}::DOUBLE AS {c}" for c in each[3:])} FROM
+            (SELECT factor_name, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, CASE WHEN stddev_samp(ic) = 0 THEN 0 ELSE avg(ic) / stddev_samp(ic) END AS icir FROM ics{x} GROUP BY 1)
+            FULL JOIN (SELECT factor_name, {sharpe} FROM qret{x} WHERE return_ls IS NOT NULL GROUP BY 1) USING (factor_name) FULL JOIN (SELECT factor_name, {life} AS half_life, {lags} FROM ac{x} GROUP BY 1) USING (factor_name)) UNPIVOT INCLUDE NULLS (value FOR metric_name IN ({", ".join(each)})))
+            JOIN (SELECT factor_name, max(date) AS date FROM pairs{x} GROUP BY 1) USING (factor_name)"""
+
+
 MOMENTS = "avg(value) AS mean, stddev_samp(value) AS std, {}skewness(value) AS skewness, CASE WHEN count(value) >= 4 THEN kurtosis(value) END AS excess_kurtosis".format
 #: Name: (kind of ticker, digits, columns and types as in the query, SELECT)
 SELECTS = {
@@ -167,6 +186,7 @@ SELECTS = {
     "quintile_sharpe": ("bucket", "SELECT factor_name, " + ", ".join(f"CASE WHEN count(return_{c}) = count(*) AND stddev_pop(return_{c}) > 0 THEN sqrt(12.0) * avg(return_{c}) / stddev_pop(return_{c}) ELSE 0 END AS sharpe_{c}" for c in ("q1", "q5", "ls")) + " FROM qret WHERE return_ls IS NOT NULL GROUP BY 1"),
     "score_autocorr": ("bucket", "SELECT * FROM ac"),
     "half_life": ("bucket", "SELECT factor_name, CASE WHEN n >= 2 AND xy / xx > 0 THEN ln(2.0) / (xy / xx) ELSE 0 END AS half_life FROM (SELECT factor_name, count(*) FILTER (autocorr > 0) AS n, sum(CASE WHEN autocorr > 0 THEN -lag * ln(autocorr) END) AS xy, sum(CASE WHEN autocorr > 0 THEN lag * lag END) AS xx FROM ac GROUP BY 1)"),
+    "factor_metrics": ("bucket", f"{_metrics('_raw', 'raw')} UNION ALL {_metrics('', 'final')}"),
     "rebalance_schedule": ("bucket", "SELECT max(date) AS date FROM px GROUP BY date_trunc('month', date)"),
     "topk_weights": ("bucket", "SELECT * FROM wts"),
     "long_short_weights": ("bucket", "SELECT backtest_name, date, ticker, CASE WHEN l THEN 0.5 / nullif(count(*) FILTER (l) OVER w, 0) ELSE -0.5 / nullif(count(*) FILTER (s) OVER w, 0) END AS weight FROM (SELECT *, top <= k AND low > k AS l, low <= k AND top > k AS s FROM rkd) WHERE l OR s WINDOW w AS (PARTITION BY backtest_name, date)"),
@@ -192,16 +212,17 @@ SELECTS = {
         (SELECT bear, (SELECT regime_id FROM m WHERE regime_id <> bear ORDER BY o DESC, regime_id LIMIT 1) AS bull FROM (SELECT regime_id AS bear FROM m ORDER BY v DESC, regime_id LIMIT 1)))"""),
     "macro_unpivot": ("bucket", "SELECT date, series_name, value FROM macro"),
     "macro_filled": ("bucket", "SELECT date, series_name, last_value(value IGNORE NULLS) OVER (PARTITION BY series_name ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT DISTINCT date FROM macro) CROSS JOIN (SELECT DISTINCT series_name FROM macro) LEFT JOIN macro USING (date, series_name)"),
-    "upsert_merge": ("supplier", "SELECT date, ticker, CASE WHEN month(date) = 12 THEN simple_return + 1 ELSE simple_return END AS simple_return FROM mret WHERE month(date) <> 6"),
+    "upsert_merge": ("supplier", "SELECT date, ticker, CASE WHEN month(date) IN (6, 12) THEN simple_return + 1 ELSE simple_return END AS simple_return FROM mret"),
     "metadata": ("supplier", "SELECT * FROM meta"),
     "fundamentals": ("supplier", "SELECT * FROM fund"),
     "cap_weights": ("bucket", "SELECT backtest_name, date, ticker, weight FROM wts"),
     "event_windows": ("bucket", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2"),
 }
 #: Digits that are compared; where values are exact quotients, six would end in ties.
-DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", *(f"factor_{f}" for f in FACTORS))}
+DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", "factor_metrics", *(f"factor_{f}" for f in FACTORS))}
 DIGITS |= {"avg_dollar_vol": 7}
 EXTRA = {
+    "factor_metrics": ", " + stage("_raw", "raw_score"),
     "factor_corr": ", r AS (" + " UNION ALL ".join(f"SELECT date, ticker, '{n}' AS factor_name, rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS r FROM panel" for n in PRICE + VALUE) + ")",
     "regime_labels": ", m AS (SELECT regime_id, avg(market_vol) AS v, avg(market_mom) AS o, avg(yield_slope) AS s FROM feats JOIN states USING (date) GROUP BY 1)",
 }

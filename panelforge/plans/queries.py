@@ -16,6 +16,8 @@ SCORES = ["raw_score", "winsorized_score", "z_score", "final_score"]
 BASIC = sorted(factors.PRICE + factors.VALUE)
 #: Days without a price that a ticker may have in a row in fill_gaps_drop.
 MOST = 14
+#: The latest query's tables, with the panels it keeps.
+STARS: list[Star] = []
 #: Name: (function of a Star, result columns)
 PLANS: dict = {}
 
@@ -31,8 +33,12 @@ def plan(name: str, columns: str):
     return add
 
 
+def _mret(s):
+    return s.once("mret", lambda: returns.returns_of_months(s.once("months", lambda: returns.month_ends(s.prices()))))
+
+
 def _mpanel(s):
-    return returns.panel(returns.monthly_returns(s.prices()))
+    return returns.panel(_mret(s))
 
 
 def _member(s):
@@ -40,12 +46,8 @@ def _member(s):
 
 
 def _scores(s, names=factors.FACTORS):
-    """Used more than once by most queries, so kept: a few columns for each month, ticker and factor."""
-    return factors.factor_scores(s, list(names)).persist()
-
-
-def _mret(s):
-    return returns.monthly_returns(s.prices())
+    """Used more than once by most queries: a few columns for each month, ticker and factor."""
+    return s.once(f"scores{len(names)}", lambda: factors.factor_scores(s, list(names)))
 
 
 def _bt(s):
@@ -130,9 +132,9 @@ plan("fundamentals", KEY + " ".join(factors.STATEMENT))(lambda s: s.fundamentals
 
 @plan("upsert_merge", KEY + "simple_return")
 def _upsert(s):
-    rows = _mret(s).select("date", "ticker", "simple_return").where(F.month("date") != 6)
-    changed = rows.where(F.month("date") == 12).withColumn("simple_return", F.col("simple_return") + 1)
-    return io.upsert(rows, changed, ["date", "ticker"])
+    rows = _mret(s).select("date", "ticker", "simple_return")
+    changed = rows.where(F.month("date").isin(6, 12)).withColumn("simple_return", F.col("simple_return") + 1)
+    return io.upsert(rows.where(F.month("date") != 6), changed, ["date", "ticker"])  # June comes in, December changes
 
 
 @plan("event_windows", "window_start:timestamp event_type:string n:bigint total")
@@ -159,7 +161,10 @@ def _query(name: str):
     by = oracle.SELECTS.get(name, ("bucket",))[0]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = f(Star(spark, sf_dir, by))
+        while STARS:  # what the query before has kept
+            STARS.pop().release()
+        STARS.append(star := Star(spark, sf_dir, by))
+        rows = f(star)
         return rounded(rows.select(*[F.col(c).cast(t).alias(c) if t not in (X, "timestamp") else F.col(c) for c, t in columns]), oracle.DIGITS, oracle.DIGITS.get(name, 6))
 
     return run

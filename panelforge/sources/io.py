@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 PRICE_COLUMNS = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adj_close", "Volume": "volume", "Date": "date"}
 VALUES = ["open", "high", "low", "close", "adj_close"]
 #: Statement labels in order of preference (fixed values).
-LABELS = {"book_value": ["stockholders equity", "total stockholder equity"], "gross_profit": ["gross profit"], "total_assets": ["total assets"], "eps": ["diluted eps", "basic eps", "net income"], "ebitda": ["ebitda"], "total_debt": ["total debt"], "operating_cash_flow": ["operating cash flow"], "capital_expenditures": ["capital expenditure"], "net_income": ["net income"]}
+LABELS = {
+    "book_value": ["stockholders equity", "total stockholders equity", "common stock equity", "stockholders_equity"],
+    "gross_profit": ["gross profit", "grossprofit", "gross_profit"],
+    "total_assets": ["total assets", "totalassets", "total_assets"],
+    "eps": ["diluted eps", "basic eps", "diluted_eps", "basic_eps", "eps", "net income"],
+    "ebitda": ["ebitda", "normalized ebitda", "normalized_ebitda"],
+    "total_debt": ["total debt", "total_debt"],
+    "operating_cash_flow": ["operating cash flow", "operating_cash_flow", "cash flow from continuing operating activities"],
+    "capital_expenditures": ["capital expenditure", "capital_expenditures", "capital_expenditure", "purchase of ppe", "purchase of property plant and equipment"],
+    "net_income": ["net income", "net_income", "net income from continuing operations"],
+}
 
 
 def normalize_prices(raw: DataFrame) -> DataFrame:
@@ -38,16 +48,19 @@ def statement_fields(items: DataFrame) -> DataFrame:
 
 
 def read_market_factors(spark: SparkSession, path: str) -> DataFrame:
-    """Daily factors from a text file: rows after the header with Mkt-RF, up to the first short line, in fractions."""
+    """Daily factors from a text file: rows after the header with Mkt-RF, up to the first short line, in fractions.
+
+    Blank lines are skipped. Lines are numbered by Spark in the order of the file, which one task reads: such a file
+    has one line for each trading day.
+    """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    rows = lines.withColumn("f", F.transform(F.split("line", ","), lambda x: F.trim(x)))
+    rows = lines.where(F.trim("line") != "").withColumn("f", F.transform(F.split("line", ","), lambda x: F.trim(x)))
     head = rows.where(F.col("line").contains("Mkt-RF")).agg(F.min("i").alias("head"))
     rows = rows.crossJoin(F.broadcast(head)).where(F.col("i") > F.col("head"))
     data = (F.size("f") >= 7) & F.col("f")[0].rlike(r"^\d{8}$")
-    begun = F.max(data.cast("int")).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"data": data, "begun": begun})
-    stop = rows.where("begun = 1").agg(F.min(F.when(F.size("f") < 7, F.col("i"))).alias("stop"))
-    rows = rows.crossJoin(F.broadcast(stop)).where(F.col("data") & (F.col("stop").isNull() | (F.col("i") < F.col("stop"))))
+    first = rows.where(data).agg(F.min("i").alias("first"))
+    stop = rows.crossJoin(F.broadcast(first)).where((F.size("f") < 7) & (F.col("i") > F.col("first"))).agg(F.min("i").alias("stop"))
+    rows = rows.crossJoin(F.broadcast(stop)).where(data & (F.col("stop").isNull() | (F.col("i") < F.col("stop"))))
     return rows.select(F.to_date(F.col("f")[0], "yyyyMMdd").alias("date"), *[(F.col("f")[k + 1].cast("double") / 100).alias(c) for k, c in enumerate(("mkt_rf", "smb", "hml", "rmw", "cma", "rf"))])
 
 
@@ -72,16 +85,30 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions below ``path``, in order: those whose writer has left its mark of success."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop(path))] if fs.exists(hadoop(path)) else []
+    return sorted(n for n in names if fs.exists(hadoop(f"{path}/{n}/_SUCCESS")))
+
+
 def write_upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Write ``path/version`` with ``new`` upserted into the newest version below ``path``; versions sort by name."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = sorted(s.getPath().toString() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
-    rows = upsert(spark.read.parquet(done[-1]), new, keys) if done else new.dropDuplicates(keys)
+    """Write ``path/version`` with ``new`` upserted into the newest complete version before it; versions sort by name.
+
+    A version never reads itself, so writing it once more, after a failure or a replay, gives the same table.
+    """
+    before = [v for v in versions(spark, path) if v < version]
+    rows = upsert(spark.read.parquet(f"{path}/{before[-1]}"), new, keys) if before else new.dropDuplicates(keys)
     rows.write.mode("overwrite").parquet(f"{path}/{version}")
     return spark.read.parquet(f"{path}/{version}")
 
 
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version below ``path``."""
+    return spark.read.parquet(f"{path}/{versions(spark, path)[-1]}")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """One CSV file of a small result."""
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -87,12 +87,42 @@ def test_hidden_states_are_tried_as_the_operator_does(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "f.csv").write_text("note\n,Mkt-RF,SMB,HML,RMW,CMA,RF\n20200102,1.0,2,3,4,5,0.1\n20200103,2.0,2,3,4,5,0.1\n\nannual\n20200104,9,9,9,9,9,9\n")
     got = io.read_market_factors(spark, str(tmp_path / "f.csv")).orderBy("date").collect()
-    assert [round(r.mkt_rf, 6) for r in got] == [0.01, 0.02]
+    assert [round(r.mkt_rf, 6) for r in got] == [0.01, 0.02]  # the blank line is skipped, the short one ends the data
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     for version, batch in (("v1", old), ("v2", new), ("v3", new)):
         out = io.write_upsert(spark, str(tmp_path / "t"), batch, ["k"], version)
     assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    again = io.write_upsert(spark, str(tmp_path / "t"), new, ["k"], "v3")  # a replay
+    assert sorted(map(tuple, again.collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    (tmp_path / "t" / "v4").mkdir()  # a version that wasn't finished
+    assert io.versions(spark, str(tmp_path / "t")) == ["v1", "v2", "v3"]
+    assert io.read_newest(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_statements_and_prices(spark):
+    d = dt.date(2020, 3, 31)
+    rows = [(d, "A", " Total Stockholders Equity", 5.0), (d, "A", "Common Stock Equity", 4.0), (d, "A", "Normalized EBITDA", 3.0), (d, "A", "Purchase of PPE", -2.0), (d, "A", "Net Income", 1.0), (d, "A", "other", 9.0)]
+    got = io.statement_fields(spark.createDataFrame(rows, "date date, ticker string, label string, value double")).collect()
+    assert [(r.book_value, r.ebitda, r.capital_expenditures, r.net_income, r.eps, r.total_debt) for r in got] == [(5.0, 3.0, 2.0, 1.0, 1.0, None)]
+    raw = spark.createDataFrame([("2020-01-02", "A", 1.0, float("nan"), None), ("2020-01-03", "A", None, None, 5)], "Date string, ticker string, Open double, Close double, Volume long")
+    assert [(r.open, r.close, r.high, r.volume) for r in io.normalize_prices(raw).collect()] == [(1.0, None, None, 0)]
+
+
+def test_sortino_leaves_the_first_period_out(spark):
+    nets = [-0.001, 0.02, -0.01, 0.03, -0.02]
+    rows = [("b", day(i), 0.0, x, 0.1) for i, x in enumerate(nets)]
+    got = {r.metric_name: r.value for r in backtest.backtest_metrics(spark.createDataFrame(rows, "backtest_name string, date date, gross_return double, net_return double, turnover double")).collect()}
+    own = np.array(nets[1:])
+    assert abs(got["sortino_ratio"] - own.mean() / np.sqrt(np.mean(own[own < 0] ** 2)) * np.sqrt(12)) < 1e-9
+
+
+def test_month_ends_and_daily_returns_skip_gaps(spark):
+    rows = [(dt.date(2020, 1, 30), "A", 1.0), (dt.date(2020, 1, 31), "B", 2.0), (dt.date(2020, 2, 3), "A", 3.0), (dt.date(2020, 2, 3), "B", 3.0), (dt.date(2020, 4, 1), "A", 6.0)]
+    prices = spark.createDataFrame(rows, "date date, ticker string, adj_close double")
+    got = {(r.ticker, r.date.month): r.px for r in returns.month_ends(prices).collect()}
+    assert got == {("A", 1): 1.0, ("A", 2): 3.0, ("A", 3): None, ("A", 4): 6.0, ("B", 1): 2.0, ("B", 2): 3.0, ("B", 3): None, ("B", 4): 3.0}
+    assert [(r.ticker, r.simple_return) for r in returns.daily_returns(prices).orderBy("date", "ticker").collect()] == [("B", 0.5), ("A", 1.0)]
 
 
 def test_config():
