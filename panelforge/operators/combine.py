@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, corr, ratio, spearman
+from . import boost, shap
 from .evaluate import forward_returns
 
-#: Boosted models fitted at a time.
-FITS = 8
+#: Boosted models fitted at a time by Spark's trees, and rows of a training window up to which one task fits a model.
+FITS, TASK_ROWS = 8, 1_000_000
 
 
 def feature_panel(scores: DataFrame, returns: DataFrame, names: list[str], score: str = "final_score") -> DataFrame:
@@ -126,14 +127,29 @@ def boosted_fit(train: DataFrame, names: list[str], c: TreeConfig):
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(train)
 
 
+def boosted_trees(panel: DataFrame, names: list[str], c: TreeConfig = TreeConfig()) -> list[tuple]:
+    """One model of the whole panel, as nested tuples (see boost.grow); fitted as boosted_walk's are."""
+    if panel.count() > TASK_ROWS:
+        return shap.trees_of(boosted_fit(panel, names, c).stages[-1])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["date", "ticker"])
+        trees = boost.fit(pdf[names].to_numpy(float), pdf["fwd"].to_numpy(float), c)
+        return pd.DataFrame({"tree": [json.dumps(t) for t in trees]})
+
+    rows = panel.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "tree string").collect()  # a row for each tree
+    tuples = lambda t: tuple(tuples(x) if isinstance(x, list) else x for x in t)
+    return [tuples(json.loads(r.tree)) for r in rows]
+
+
 def boosted_walk(panel: DataFrame, c: TreeConfig = TreeConfig()) -> DataFrame:
     """``date, ticker, composite_score`` by models refitted every ``stride`` dates on all dates before the purge.
 
-    A date with too few dates before its purge has no scores; the next one that has enough is fitted. The loop is over
-    evaluation dates, the fits are distributed, FITS at a time.
+    A date with too few dates before its purge has no scores; the next one that has enough is fitted. Up to TASK_ROWS
+    rows of panel, each window is fitted by one task (see boost.walk); larger ones by Spark's own trees, in a loop over
+    evaluation dates, FITS at a time.
     """
     names = sorted(x for x in panel.columns if x not in ("date", "ticker", "fwd"))
-    panel = panel.persist()
     ends = panel.select("date", F.add_months("date", -c.purge_months).alias("end")).distinct().orderBy("date").collect()
     dates, blocks, i = [r.date for r in ends], [], c.least_dates
     while i < len(dates):
@@ -143,6 +159,9 @@ def boosted_walk(panel: DataFrame, c: TreeConfig = TreeConfig()) -> DataFrame:
         blocks.append((dates[i], dates[min(i + c.stride, len(dates)) - 1], ends[i].end))
         i += c.stride
 
+    if blocks and panel.count() <= TASK_ROWS:
+        return boost.walk(panel, blocks, names, c)
+
     def scores(block):
         first, last, end = block
         model = boosted_fit(panel.where(F.col("date") <= F.lit(end)), names, c)

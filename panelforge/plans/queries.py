@@ -63,7 +63,7 @@ def _common(s):
 
 
 def _panel(s):
-    return combine.feature_panel(_scores(s, BASIC), _mret(s), BASIC)
+    return s.once("panel", lambda: combine.feature_panel(_scores(s, BASIC), _mret(s), BASIC))
 
 
 def _features(s):
@@ -152,8 +152,7 @@ def _boosted(s):
 @plan("shap_importance", "factor_name:string importance")
 def _shap(s):
     panel = _panel(s)
-    model = combine.boosted_fit(panel, BASIC, combine.TreeConfig()).stages[-1]
-    return shap.importance(shap.shap_values(panel, shap.trees_of(model), BASIC))
+    return shap.importance(shap.shap_values(panel, combine.boosted_trees(panel, BASIC), BASIC))
 
 
 def _query(name: str):

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 from panelforge.config import Config, Universe
-from panelforge.operators import backtest, combine, factors, regime, returns, shap
+from panelforge.operators import backtest, boost, combine, factors, regime, returns, shap
 from panelforge.sources import io
 
 PATH = "/root/testdata/sf0.001"
@@ -70,6 +70,19 @@ def test_hmm_and_shapley():
     assert np.allclose(phi.sum(1) + base, want) and (phi[:, 2] == 0).all()
 
 
+def test_boosted_trees_learn_and_explain(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 1, (600, 4))
+    y = np.where(x[:, 1] > 0.5, 1.0, -1.0) * np.where(x[:, 2] > 0.3, 1.0, 0.2)
+    trees = boost.fit(x, y, combine.TreeConfig(trees=150, step=0.1))
+    assert np.mean((boost.predict(trees, x) - y) ** 2) < 0.02 * y.var()
+    phi, base = shap.shapley(trees[:30], x[:50])
+    assert np.allclose(phi.sum(1) + base, boost.predict(trees[:30], x[:50]))
+    panel = spark.createDataFrame([(day(i % 9), f"T{i:03}", *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "date date, ticker string, a double, b double, c double, d double, fwd double")
+    got = combine.boosted_trees(panel, list("abcd"), combine.TreeConfig(trees=20))
+    assert len(got) == 21 and np.abs(shap.shapley(got, x)[0]).mean(0).argmax() == 1
+
+
 def test_boosted_walk_scores_every_date_it_can(spark):
     """A training window that is a date short costs that date only, not its block."""
     rng = np.random.default_rng(3)
