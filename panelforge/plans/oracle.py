@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from ..operators.factors import EVENT, FACTORS, PRICE, RISK, VALUE
 
 N = "/ nullif({}, 0)".format
@@ -200,6 +202,13 @@ SELECTS = {
         (SELECT *, CASE WHEN k > 1 THEN net_return END AS net, CASE WHEN k > 1 THEN gross_return END AS gr FROM (SELECT *, row_number() OVER (PARTITION BY backtest_name ORDER BY date) AS k FROM results)))) GROUP BY 1)) UNPIVOT INCLUDE NULLS (value FOR metric_name IN (cumulative_return, cumulative_return_gross, cagr, max_drawdown, win_rate, avg_turnover, annualized_volatility, sharpe_ratio, sortino_ratio, calmar_ratio, annualized_turnover))"""),
     "annual_perf": ("bucket", """SELECT backtest_name, year, annual_return, sd * sqrt(12.0) AS volatility, CASE WHEN sd > 1e-12 THEN m / sd * sqrt(12.0) ELSE 0 END AS sharpe, dd AS max_drawdown FROM (SELECT backtest_name, year, count(*) AS n, min(k) AS k, product(1 + net_return) - 1 AS annual_return, coalesce(stddev_samp(net_return), 0) AS sd, avg(net_return) AS m, min(eq / pk - 1) AS dd FROM
         (SELECT *, max(eq) OVER (PARTITION BY backtest_name, year ORDER BY date ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT *, row_number() OVER (PARTITION BY backtest_name ORDER BY date) AS k, product(1 + net_return) OVER (PARTITION BY backtest_name, year(date) ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq, year(date)::INTEGER AS year FROM results)) GROUP BY 1, 2) WHERE NOT (n = 1 AND k = 1)"""),
+    "method_comparison": ("bucket", "SELECT backtest_name, " + ", ".join(f"CASE WHEN count(net) FILTER ({w}) > 0 THEN CASE WHEN coalesce(stddev_samp(net) FILTER ({w}), 0) <= 1e-12 THEN 0 ELSE avg(net) FILTER ({w}) / stddev_samp(net) FILTER ({w}) * sqrt(12.0) END END AS {n}_sharpe, min(\"{n}\" / {n}m - 1) FILTER ({w}) AS {n}_max_dd" for n, w in (("full", "true"), ("oos", "date >= '1996-01-01'"))) + """ FROM
+        (SELECT *, max("full") OVER (PARTITION BY backtest_name ORDER BY date) AS fullm, max(oos) OVER (PARTITION BY backtest_name ORDER BY date) AS oosm FROM (SELECT backtest_name, date, net_return AS net, product(1 + net_return) OVER (PARTITION BY backtest_name ORDER BY date) AS "full",
+        CASE WHEN date >= '1996-01-01' THEN product(CASE WHEN date >= '1996-01-01' THEN 1 + net_return ELSE 1 END) OVER (PARTITION BY backtest_name ORDER BY date) END AS oos FROM (SELECT *, row_number() OVER (PARTITION BY backtest_name ORDER BY date) AS k FROM results) WHERE k > 1)) GROUP BY 1"""),
+    "drawdown_spans": ("bucket", "SELECT backtest_name, min(date) AS start_date, max(date) AS end_date, count(*) AS n_dates, min(drawdown) AS depth FROM (SELECT *, count(*) FILTER (drawdown >= -1e-12) OVER (PARTITION BY backtest_name ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM results) WHERE drawdown < -1e-12 GROUP BY backtest_name, g"),
+    "return_histogram": ("bucket", "SELECT bin::INTEGER AS bin, a + bin * (b - a) / 50 AS low, a + (bin + 1) * (b - a) / 50 AS high, count(*) AS n FROM (SELECT a, b, least(coalesce(floor((value - a) / nullif(b - a, 0) * 50), 0), 49) AS bin FROM mpanel CROSS JOIN (SELECT min(value) AS a, max(value) AS b FROM mpanel) WHERE value IS NOT NULL) GROUP BY bin, a, b"),
+    "normal_quantiles": ("bucket", "SELECT p, m + s * z AS theoretical, o AS observed FROM (VALUES " + ", ".join(f"({(i + 1) / 20}::DOUBLE, {NormalDist().inv_cdf((i + 1) / 20)!r}::DOUBLE, {i + 1})" for i in range(19)) + ") v(p, z, i) JOIN (SELECT unnest(q) AS o, unnest(range(1, 20)) AS i, m, s FROM (SELECT avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, [" + ", ".join(str((i + 1) / 20) for i in range(19)) + "]) AS q FROM mpanel)) USING (i)"),
+    "member_any_by_month": ("bucket", "SELECT last_day(date) AS month, ticker, coalesce(bool_or(in_universe), false) AS any_true FROM member GROUP BY 1, 2"),
     "feature_panel": ("bucket", "SELECT * FROM panel"),
     "ic_weights": ("bucket", "SELECT * FROM icw"),
     "ic_composite": ("bucket", "SELECT date, ticker, sum(weight * score) AS composite_score FROM plong JOIN icw USING (date, factor_name) GROUP BY 1, 2"),

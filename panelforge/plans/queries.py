@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
-from ..operators import backtest, combine, evaluate, factors, regime, returns, shap
+from ..operators import backtest, combine, evaluate, factors, regime, report, returns, shap
 from ..sources import io
 from ..sources.starschema import Star
 from . import oracle
@@ -111,6 +111,11 @@ plan("backtest_results", "backtest_name:string date:date gross_return net_return
 plan("backtest_metrics", "backtest_name:string metric_name:string value")(lambda s: backtest.backtest_metrics(backtest.backtest_results(_moves(s))))
 plan("annual_perf", "backtest_name:string year:int annual_return volatility sharpe max_drawdown")(lambda s: backtest.annual_perf(backtest.backtest_results(_moves(s))))
 plan("monthly_grid", "backtest_name:string year:int " + " ".join(f"m{m:02}" for m in range(1, 13)) + " total")(lambda s: backtest.monthly_grid(backtest.backtest_results(_moves(s))))
+plan("method_comparison", "backtest_name:string full_sharpe full_max_dd oos_sharpe oos_max_dd")(lambda s: report.comparison(backtest.backtest_results(_moves(s)), "1996-01-01"))
+plan("drawdown_spans", "backtest_name:string start_date:date end_date:date n_dates:bigint depth")(lambda s: report.drawdown_spans(backtest.backtest_results(_moves(s))))
+plan("return_histogram", "bin:int low high n:bigint")(lambda s: report.histogram(_mpanel(s)))
+plan("normal_quantiles", "p theoretical observed")(lambda s: report.normal_quantiles(_mpanel(s)))
+plan("member_any_by_month", "month:date ticker:string any_true:boolean")(lambda s: report.any_by_month(_member(s), "in_universe"))
 plan("feature_panel", KEY + " ".join(BASIC) + " fwd")(_panel)
 plan("ic_weights", "date:date factor_name:string weight")(lambda s: combine.ic_weights(_panel(s)))
 plan("ic_composite", KEY + "composite_score")(lambda s: combine.composite(_panel(s), combine.ic_weights(_panel(s))))
