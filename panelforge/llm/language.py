@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import packed
 from .pieces import groups
 
 #: Character trigrams are hashed to so many buckets; the bound of the model is BUCKETS x languages.
-BUCKETS = 1 << 15
+BITS = 15
+BUCKETS = 1 << BITS
 ROUNDS, SMOOTHING, PENALTY = 12, 0.5, 3.0
 
 
@@ -44,7 +46,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     mixed = (code[:-2] * np.uint64(0x9E3779B1) + code[1:-1] * np.uint64(0x85EBCA77) + code[2:] * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
     inside = (owner[:-2] == owner[2:]) & (letter[:-2] | letter[1:-1] | letter[2:])
-    key = owner[:-2][inside] * BUCKETS + (mixed[inside] >> np.uint64(64 - 15)).astype(np.int64)
+    key = owner[:-2][inside] * BUCKETS + (mixed[inside] >> np.uint64(64 - BITS)).astype(np.int64)
     key, n = np.unique(key, return_counts=True)
     return key // BUCKETS, key % BUCKETS, n
 
@@ -133,7 +135,11 @@ def train(docs: DataFrame) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (of whole texts; columns of these names are replaced)."""
+    """``docs`` with ``lang_pred`` and ``score`` of whole texts; columns of these names are replaced, all others stay.
+
+    Null texts and those without a letter are ``und`` with 0. Rows are judged one by one: repeated rows are repeated,
+    an empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(batches):
@@ -141,7 +147,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame([x for part in groups(texts, 1 << 18) for x in shared.value.predict(part)], columns=["lang_pred", "score"])
 
     guess.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return docs.drop("lang_pred", "score").withColumn("_l", F.pandas_udf(guess, "lang_pred string, score double")("text")).withColumns({"lang_pred": F.col("_l.lang_pred"), "score": F.col("_l.score")}).drop("_l")
+    kept = docs.drop("lang_pred", "score")
+    rows = kept.select(packed(kept).alias("row"), F.pandas_udf(guess, "lang_pred string, score double")("text").alias("l"))
+    return rows.select("row.*", "l.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str) -> DataFrame:
     committer makes the append whole or absent, so a lost executor repeats a task but never a row. Should two runs
     append the same content at once, the counts are equal and are merged on reading. Content is normalised from
     null to the empty text only, as the tokenizers tell all other texts apart. Texts are encoded in groups of about
-    a million characters. Only doc_id and text are read.
+    a million characters. Only doc_id and text are read. Repeated rows are repeated (and their text encoded once), an
+    empty table gives an empty table.
     """
     spark, version = docs.sparkSession, tokenizer_digest(path)
     text = F.coalesce("text", F.lit(""))

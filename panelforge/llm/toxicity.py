@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .language import learnable
 
-#: Bounds of what is learned: labelled rows, lexicon terms, and misspellings seen in training.
-TRAIN_ROWS, TERMS, KNOWN = 20_000, 5_000, 20_000
+#: Labelled documents to learn from; they bound the lexicon and the misspellings seen in training too.
+TRAIN_ROWS = 20_000
 #: A term occurs in so many toxic documents at least, and its log odds are so high at least.
 LEAST_DOCS, LEAST_ODDS = 3, 2.5
 #: Terms from this length on may be misspelled, by one edit.
@@ -45,15 +46,20 @@ class Lexicon:
                 self.reach.update(self.shortened(term))
 
     @staticmethod
-    def shortened(word: str) -> list[str]:
-        return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+    def shortened(word: str) -> set[str]:
+        """The word with up to EDITS letters left out. Words within EDITS of each other share one of these."""
+        out = last = {word}
+        for _ in range(EDITS):
+            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+            out = out | last
+        return out
 
     def near(self, word: str) -> str | None:
         """The nearest term within EDITS of ``word``; of equally near ones the first in order.
 
         The states of the word's Levenshtein automaton are the entries near the diagonal of the rows of edit
-        distances; they run down the trie and a branch ends where none is within EDITS. Words that share no one-letter deletion with a term can't
-        reach an end and aren't tried.
+        distances; they run down the trie and a branch ends where none is within EDITS. Words that share no
+        shortened form with a term can't reach an end and aren't tried.
         """
         if not FUZZY_LENGTH - EDITS <= len(word) <= self.longest + EDITS or self.reach.isdisjoint(self.shortened(word)):
             return None
@@ -134,16 +140,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon and weights learned from at most TRAIN_ROWS labelled rows, the ones of least hash.
+    """The lexicon and weights learned from at most TRAIN_ROWS labelled documents, the ones of least hash.
 
-    ``labels`` has doc_id and toxic (rows with a null in either are left out; of repeated ids the larger label
-    counts). Words are counted by documents; counts over the sample come back only for words that can be terms or
-    are within EDITS of one, and no more than TERMS and KNOWN. Without labels the lexicon is empty and scores are 0.5
-    below any threshold in use: the intercept is set to -3.
+    ``labels`` has doc_id and toxic; rows with a null, or with a label other than 0 and 1, are left out, of repeated
+    ids the larger label counts. Of documents that share a doc_id one text, the first in order, is taken, so repeated
+    rows count once. Words are counted by documents; counts come back only for words that can be terms or are within
+    EDITS of one. Empty tables on either side, or labels of one kind only, give an empty lexicon's weights: an
+    intercept of -3, below any threshold in use. Columns other than doc_id, text and toxic are not read.
     """
     spark = docs.sparkSession
-    picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    picked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # TRAIN_ROWS ids at most
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    scratch = Scratch(spark)
+    rows = scratch.write(rows, "labelled")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
 
@@ -160,15 +170,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     words = rows.mapInPandas(count, "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     words = words.withColumn("odds", odds)
-    found = words.where((F.col("n1") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "word").limit(TERMS).collect()
-    lexicon = Lexicon({r.word: r.odds for r in found})
+    found = words.where((F.col("n1") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).collect()
+    lexicon = Lexicon({r.word: r.odds for r in sorted(found)})
     shared = spark.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("boolean")
     def close(ws: pd.Series) -> pd.Series:
         return pd.Series([w not in shared.value.terms and shared.value.near(w) is not None for w in ws], dtype=bool)
 
-    near = words.where(close("word")).orderBy(F.desc(F.col("n1") + F.col("n0")), "word").limit(KNOWN).collect()
+    near = words.where(close("word")).collect()
     lexicon = Lexicon(lexicon.terms, {r.word: r.odds for r in near})
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -177,13 +187,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
             yield pd.DataFrame([[*shared.value.features(t), float(y)] for t, y in zip(pdf["text"], pdf["toxic"])], columns=[*"abcde", "y"])
 
     x = rows.mapInPandas(featured, "a double, b double, c double, d double, e double, y double").toPandas().to_numpy()
+    scratch.drop()
     if n1 == 0 or n0 == 0:
         return lexicon, np.array([0, 0, 0, 0, 0, -3.0])
     return lexicon, logistic(x[np.lexsort(x.T)][:, :5], x[np.lexsort(x.T)][:, 5])
 
 
 def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) of every row's whole text; null and empty texts have no hit, as clean ones."""
+    """``doc_id`` and ``score`` (0 to 1) of every row's whole text; null and empty texts have no hit, as clean ones.
+
+    Rows are scored one by one: repeated rows are repeated, an empty table gives an empty table, other columns are not
+    read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, weights))
 
     def rate(batches):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -272,8 +273,6 @@ def test_op6(spark):
 
 def test_op6_all_windows(spark):
     """Against every window of every text: quotes with words changed, inserted and left out, items of 1 to 60 words."""
-    from collections import Counter
-
     rng = random.Random(15)
     vocab = [f"w{i}" for i in range(2000)]
     pad = lambda k: [rng.choice(vocab) for _ in range(k)]
@@ -372,6 +371,26 @@ def test_op8(spark):
     assert toxicity.score(empty, *toxicity.train(empty, labels.limit(0))).count() == 0
 
 
+def test_op8_odd_tables(spark):
+    """Other labels, repeated rows and ids, clashing columns, very long texts; the lexicon against a plain count."""
+    import math
+
+    rng = random.Random(18)
+    say = lambda *bad: " ".join([rng.choice(WORDS) for _ in range(20)] + list(bad))
+    rows = [(i, say("blockhead", "numskull") if i % 4 == 0 else say()) for i in range(200)]
+    docs = spark.createDataFrame([(*r, 0.5, "w", 3) for r in rows * 2 + [(None, None)]], "doc_id long, text string, score double, word string, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(5, 7), (6, -1)], "doc_id long, toxic int")
+    lexicon, weights = toxicity.train(docs, labels)
+    n = {True: Counter(w for i, t in rows for w in set(t.lower().split()) if i % 4 == 0), False: Counter(w for i, t in rows for w in set(t.lower().split()) if i % 4)}
+    odds = {w: math.log((n[True][w] + 0.5) / 51) - math.log((n[False][w] + 0.5) / 151) for w in n[True]}
+    want = {w: o for w, o in odds.items() if n[True][w] >= toxicity.LEAST_DOCS and o >= toxicity.LEAST_ODDS}
+    assert set(lexicon.terms) == set(want) == {"blockhead", "numskull"} and all(abs(lexicon.terms[w] - o) < 1e-9 for w, o in want.items())
+    long = spark.createDataFrame([(1, say() * 20_000), (2, say("blockhead")), (2, say("blockhead")), (3, "x" * 1_000_000)], "doc_id long, text string")
+    got = toxicity.score(long, lexicon, weights).collect()
+    assert len(got) == 4 and [r.score > 0.3 for r in sorted(got)] == [False, True, True, False]
+    assert toxicity.score(docs, lexicon, weights).columns == ["doc_id", "score"]
+
+
 @pytest.mark.parametrize("block", [4, 4096])
 def test_op9(docs, rows, none, block):
     norm = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
