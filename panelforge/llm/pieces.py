@@ -16,8 +16,23 @@ NONE = np.iinfo(np.int64).max
 #: Space becomes this mark; words are cut before it.
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-#: Words a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+#: Bytes of words a task remembers before it starts afresh, counting OVERHEAD and 8 for each letter of a word.
+CACHE_BYTES, OVERHEAD = 48 << 20, 300
+
+
+class Cache(dict):
+    """Words with their ids; ``trim`` forgets all once they take CACHE_BYTES."""
+
+    size = 0
+
+    def learn(self, words: list[str], ids) -> None:
+        self.update(zip(words, ids))
+        self.size += 8 * sum(map(len, words)) + OVERHEAD * len(words)
+
+    def trim(self) -> None:
+        if self.size > CACHE_BYTES:
+            self.clear()
+            self.size = 0
 
 
 class Pieces:
@@ -143,12 +158,12 @@ class Pieces:
     def words(self, text: str | None) -> list[str]:
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, texts: list[str | None], cache: dict | None = None) -> list[list[int]]:
+    def encode(self, texts: list[str | None], cache: Cache | None = None) -> list[list[int]]:
         """Ids of each text, without begin or end; a null or empty text has none."""
-        cache = {} if cache is None else cache
+        cache = Cache() if cache is None else cache
         cut = [self.words(x) for x in texts]
         new = list({w for words in cut for w in words if w not in cache})
-        cache.update(zip(new, map(self.ids, self.merge(new))))
+        cache.learn(new, map(self.ids, self.merge(new)))
         return [list(chain.from_iterable(map(cache.__getitem__, words))) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
@@ -162,7 +177,7 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def groups(texts, most: int = 1 << 20):
+def groups(texts, most: int = 1 << 19):
     """Lists of texts of about ``most`` characters together; a longer text is alone."""
     part, n = [], 0
     for x in texts:
@@ -182,12 +197,11 @@ def encoded(docs: DataFrame, path: str, end: bool = True) -> DataFrame:
     """
 
     def encode(batches):
-        model, cache = pieces(path), {}
+        model, cache = pieces(path), Cache()
         for texts in batches:
             out = []
             for part in groups(texts):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
+                cache.trim()
                 out += [x + [model.eos] * end for x in model.encode(part, cache)]
             yield pd.Series(out)
 
@@ -215,17 +229,16 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` (see op10's contract).
 
     Encodes, adds the end id, decodes those ids, and keeps only digests, in one pass of bounded memory: texts go
-    in groups of about a million characters. Null and empty texts have the end id alone. Works on rows alone, so
+    in groups of about half a million characters. Null and empty texts have the end id alone. Works on rows alone, so
     repeated rows are repeated and an empty table gives an empty table.
     """
 
     def digest(batches):
-        model, cache, names = pieces(path), {}, list(map(str, range(pieces(path).size)))
+        model, cache, names = pieces(path), Cache(), list(map(str, range(pieces(path).size)))
         for texts in batches:
             rows = []
             for part in groups(texts):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
+                cache.trim()
                 for ids in model.encode(part, cache):
                     ids.append(model.eos)
                     line = " ".join(map(names.__getitem__, ids)).encode()
