@@ -84,21 +84,24 @@ def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumns({"rule": rule, "by_rule": pick})
 
 
-def grams(host, path) -> F.Column:
-    """Array of the character n-grams of host and path, each marked with where it is from."""
+def with_grams(rows: DataFrame, host, path) -> DataFrame:
+    """``rows`` with ``grams``: the character n-grams of host and path, each marked with where it is from.
 
-    def of(mark, col, n):
-        at = F.when(F.length(col) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(col) - n + 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.concat(F.lit(mark), F.substring(col, i, F.lit(n))))
+    Texts are split into characters once, in columns of their own, so the work grows with their length.
+    """
+
+    def of(mark, chars, n):
+        at = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - n + 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(F.lit(mark), *[F.element_at(chars, i + k) for k in range(n)]))
 
-    ends = {"h": F.concat(F.lit("^"), host, F.lit("$")), "p": F.concat(F.lit("^"), path, F.lit("$"))}
-    return F.concat(*(of(mark, col, n) for mark, col in ends.items() for n in GRAMS))
+    rows = rows.withColumns({f"_{mark}": F.split(F.concat(F.lit("^"), text, F.lit("$")), "") for mark, text in (("h", host), ("p", path))})
+    return rows.withColumn("grams", F.concat(*(of(mark, F.col(f"_{mark}"), n) for mark in "hp" for n in GRAMS))).drop("_h", "_p")
 
 
 def train(spark: SparkSession, labelled: str = LABELLED):
     """The regression fitted to ``label url`` lines. The table is a constant, so what it takes is bounded."""
     rows = spark.sql("SELECT * FROM VALUES " + ", ".join("({0}D, 'http://{1}')".format(*line.split()) for line in labelled.strip().splitlines()) + " AS t(label, url)")
-    data = hashed(parsed(rows.coalesce(1)).withColumn("grams", grams(F.col("host"), F.col("path"))))
+    data = hashed(with_grams(parsed(rows.coalesce(1)), F.col("host"), F.col("path")))
     return LogisticRegression(maxIter=100, regParam=0.01, featuresCol="features", labelCol="label", predictionCol="p", rawPredictionCol="r", probabilityCol="q").fit(data)
 
 
@@ -116,7 +119,8 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """
     rows = ruled(parsed(pages.select("page_id", "url")), rules)
     model = train(pages.sparkSession)
-    scored = model.transform(hashed(rows.withColumn("grams", F.when(F.col("by_rule").isNull(), grams(F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>")))))
+    free = F.col("by_rule").isNull()  # the others need no n-grams
+    scored = model.transform(hashed(with_grams(rows, F.when(free, F.col("host")).otherwise(""), F.when(free, F.col("path")).otherwise(""))))
     verdict = F.coalesce("by_rule", F.when(F.col("p") == 1, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 

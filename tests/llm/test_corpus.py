@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import chat, decontaminate, exact, language, pieces, simhash, similar, token_files, tokens, toxicity, urls
 from panelforge.llm.common import connected_components, shared_dir
@@ -190,6 +191,27 @@ def test_op3(spark):
         assert (r.path, r.rule) == (path, rule) and r.verdict in ("allow", "block") and verdict in (None, r.verdict)
 
 
+def test_op3_odd_tables(spark):
+    """Empty table, very long urls, repeated rows, clashing columns; n-grams and the decision against plain loops."""
+    schema = "page_id long, url string, grams string, features string, p double, by_rule string"
+    assert urls.filter_urls(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "http://x.example.com/" + "a/" * 20_000, "g", "f", 0.5, "b")] + [(2, "http://spam-farm.example.com/en/1", "g", "f", 0.5, "b")] * 2
+    got = urls.filter_urls(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r.page_id for r in got) == [1, 2, 2] and all(r.verdict == "block" for r in got if r.page_id == 2)
+    model = urls.train(spark)
+    hosts = [("therin.example.com", "/en/2"), ("best-casino.example.org", "/slots"), ("", ""), ("a", "/")]
+    table = urls.with_grams(spark.createDataFrame(hosts, "host string, path string"), F.col("host"), F.col("path"))
+    for r in model.transform(urls.hashed(table)).collect():
+        plain = [m + t[i : i + n] for m, t in (("h", f"^{r.host}$"), ("p", f"^{r.path}$")) for n in urls.GRAMS for i in range(len(t) - n + 1)]
+        assert r.grams == plain
+        score = model.intercept + sum(model.coefficients[int(i)] * v for i, v in zip(r.features.indices, r.features.values))
+        assert (r.p == 1) == (score > 0)
+
+
+def test_op4_empty(spark):
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string, h string")).count() == 0
+
+
 def test_op4(spark):
     logs = {1: "ab", 2: "abc", 3: "abcd", 4: "abx", 5: "abx", 6: "b", 7: "", 8: "a" * 1500, 9: "a" * 700}
     turns = [(c, 10 * k, "user" if k % 2 == 0 else None, x, "extra") for c, s in logs.items() for k, x in enumerate(s)] + [(None, None, "user", None, "")]
@@ -444,15 +466,19 @@ def test_pipeline(spark, tmp_path):
     item = line("the", 20)
     texts += [(texts[0][0].upper(), "en"), (None, "en"), ("12 34", "de"), (line("the") + " " + item, "en"), (texts[5][0], "en"), (texts[7][0] + " tail", "en")]
     docs = [(i, t, k, "s", 1) for i, (t, k) in enumerate(texts)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs += [docs[10], (None, line("the"), "en", "s", 1)]  # a repeated row and one without an id
+    clash = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, sha string, found string, content string, kept boolean, own string"
+    spark.createDataFrame([(*d, "x", 7, "x", "x", "x", False, "x") for d in docs], clash).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}").collect())
-    left = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])]
+    got = sorted((r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}").collect()), key=str)
+    left = [d for d in dict.fromkeys(docs) if d[1] and any(c.isalpha() for c in d[1])]
     last = {d[1].lower(): d[0] for d in left}
     left = [d for d in left if last[d[1].lower()] == d[0]]
     sets = {d[0]: brute_shingles(d[1]) for d in left}
-    left = [d for d in left if not any(o < d[0] and alike(sets[o], sets[d[0]]) for o in sets)]
-    assert got == sorted(d[0] for d in left if item not in d[1])
+    left = [d for d in left if d[0] is None or not any(o is not None and o < d[0] and alike(sets[o], sets[d[0]]) for o in sets)]
+    assert got == sorted((d[0] for d in left if item not in d[1]), key=str)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
-        assert stage(spark, empty, f"{tmp_path}").columns == empty.columns
+        none = stage(spark, empty, f"{tmp_path}")
+        assert none.columns == empty.columns and none.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, f"{tmp_path}").count() == 0
