@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact
+from . import chat, exact, runs
 from .chat import op4_chat_format
 from .decontaminate import op6_decontaminate
 from .exact import op9_exact_dedup
 from .language import op7_language_id
 from .pieces import op10_sentencepiece
+from .runs import op11_periodic_runs
 from .simhash import op1_simhash_dedup
 from .token_files import op5_token_files
 from .tokens import op2_token_counts
@@ -16,6 +17,6 @@ from .urls import op3_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_dedup, op2_token_counts, op3_url_filter, op4_chat_format, op5_token_files, op6_decontaminate, op7_language_id, op8_toxicity, op9_exact_dedup, op10_sentencepiece)
+    for f in (op1_simhash_dedup, op2_token_counts, op3_url_filter, op4_chat_format, op5_token_files, op6_decontaminate, op7_language_id, op8_toxicity, op9_exact_dedup, op10_sentencepiece, op11_periodic_runs)
 }
-SQL = exact.SQL | chat.SQL
+SQL = exact.SQL | chat.SQL | runs.SQL
