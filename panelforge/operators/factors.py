@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import asof_fill, by_ticker, ffill, ratio, rolling
-from .returns import dense_grid, month_ends
+from .returns import dense_grid
 
 YEAR = 252
 PRICE = ["PriceMomentum", "ThreeMonthMomentum", "OneMonthReversal"]
@@ -74,13 +74,13 @@ def exposures(prices: DataFrame, market: DataFrame, macro: DataFrame) -> DataFra
     return rows.select("date", F.last(F.when(F.col("there"), F.col("m0")).otherwise(F.col("mean")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("m"), "slope", "spread", "pmi")
 
 
-def risk_factors(prices: DataFrame, market: DataFrame, macro: DataFrame) -> DataFrame:
+def risk_factors(prices: DataFrame, exposed: DataFrame) -> DataFrame:
     """Volatility and betas over the last 252 calendar rows, at month-ends.
 
     Covariances take the days on which both sides are known, variances all days of the other side.
     """
     rows = dense_grid(prices, ("adj_close",)).withColumn("r", ratio(F.col("adj_close"), F.lag("adj_close").over(by_ticker())) - 1)
-    rows = rows.join(F.broadcast(exposures(prices, market, macro)), "date")  # one row for each date
+    rows = rows.join(F.broadcast(exposed), "date")  # one row for each date
     w = by_ticker().rowsBetween(-YEAR + 1, 0)
     both = lambda x: F.covar_samp(F.when(F.col(x).isNotNull(), F.col("r")), F.when(F.col("r").isNotNull(), F.col(x))).over(w)
     beta = lambda x: ratio(both(x), F.nullif(F.var_samp(x).over(w), F.lit(0.0)))
@@ -114,29 +114,15 @@ def event_factors(months: DataFrame, earnings: DataFrame, insiders: DataFrame) -
     return known.join(insider_ratio(months, insiders), ["date", "ticker"])
 
 
-def family(star, name: str) -> DataFrame:
-    """The family of columns that holds factor ``name``, rounded to 9 digits so that equal scores tie."""
-    prices = star.prices()
-    months = star.once("months", lambda: month_ends(prices))
-    if name in PRICE:
-        rows = price_factors(months)
-    elif name in VALUE:
-        rows = value_factors(months, star.fundamentals(), star.metadata())
-    elif name in RISK:
-        rows = risk_factors(prices, star.market(), star.macro())
-    else:
-        rows = event_factors(months, star.earnings(), star.insiders())
-    return rows.select("date", "ticker", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in rows.columns if c not in ("date", "ticker")])
+def raw_scores(families: list[DataFrame], names: list[str]) -> DataFrame:
+    """``date, ticker, factor_name, raw_score`` of the columns ``names`` of all families, by one unpivot.
 
-
-def raw_scores(star, names: list[str] = FACTORS) -> DataFrame:
-    """``date, ticker, factor_name, raw_score`` of all factors: one pass for each family, then one unpivot."""
+    Scores are rounded to 9 digits, so that equal ones tie.
+    """
     wide = None
-    for group in (PRICE, VALUE, RISK, EVENT):
-        own = [n for n in names if n in group]
-        if own:
-            rows = family(star, own[0]).select("date", "ticker", *own)
-            wide = rows if wide is None else wide.join(rows, ["date", "ticker"], "full")
+    for rows in families:
+        rows = rows.select("date", "ticker", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in names if c in rows.columns])
+        wide = rows if wide is None else wide.join(rows, ["date", "ticker"], "full")
     return wide.unpivot(["date", "ticker"], list(names), "factor_name", "raw_score")
 
 
@@ -180,15 +166,15 @@ def sized(scores: DataFrame, months: DataFrame, metadata: DataFrame) -> DataFram
     return rows.withColumn("size", F.coalesce(F.col("px") * F.col("shares_outstanding"), F.lit(1.0))).drop("px", "shares_outstanding")
 
 
-def factor_scores(star, names: list[str] = FACTORS, active: DataFrame | None = None) -> DataFrame:
-    """``date, ticker, factor_name, raw_score, winsorized_score, z_score, final_score`` of all factors.
+def factor_scores(raw: DataFrame, months: DataFrame, metadata: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """``date, ticker, factor_name, raw_score, winsorized_score, z_score, final_score`` of :func:`raw_scores`.
 
     ``active`` (date, ticker, in_universe) limits the cross-sections; a cross-section without a score is left out.
     """
-    rows = raw_scores(star, names)
+    rows = raw
     if active is not None:
         rows = rows.join(active.where("in_universe").select("date", "ticker"), ["date", "ticker"])
     rows = rows.withColumn("_n", F.count("raw_score").over(Window.partitionBy(*KEYS))).where("_n > 0").drop("_n")
-    rows = neutralize(zscore(winsorize(sized(rows, star.once("months", lambda: month_ends(star.prices())), star.metadata()))))
+    rows = neutralize(zscore(winsorize(sized(rows, months, metadata))))
     out = ["raw_score", "winsorized_score", "z_score", "final_score"]
     return rows.select("date", "ticker", "factor_name", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in out])

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.stats import rounded
 from ..operators import backtest, combine, evaluate, factors, regime, report, returns, shap
 from ..sources import io
-from ..sources.starschema import Star
 from . import oracle
+from .catalog import BASIC, standard
+from .panels import leased, opened
 
 S, X, D = "string", "double", "date"
 SCORES = ["raw_score", "winsorized_score", "z_score", "final_score"]
-BASIC = sorted(factors.PRICE + factors.VALUE)
 #: Days without a price that a ticker may have in a row in fill_gaps_drop.
 MOST = 14
-#: The latest query's tables, with the panels it keeps.
-STARS: list[Star] = []
-#: Name: (function of a Star, result columns)
+#: The panels the queries are made of.
+CATALOG = standard()
+#: Name: (function of a lease on the panels, result columns)
 PLANS: dict = {}
 
 
 def plan(name: str, columns: str):
-    """Registers a function of a Star; ``columns`` are 'name:type' by spaces, double where no type is given."""
+    """Registers a function of a lease; ``columns`` are 'name:type' by spaces, double where no type is given."""
     pairs = [(c.split(":") + [X])[:2] for c in columns.split()]
 
     def add(f):
@@ -34,7 +34,7 @@ def plan(name: str, columns: str):
 
 
 def _mret(s):
-    return s.once("mret", lambda: returns.returns_of_months(s.once("months", lambda: returns.month_ends(s.prices()))))
+    return s("returns")
 
 
 def _mpanel(s):
@@ -42,12 +42,11 @@ def _mpanel(s):
 
 
 def _member(s):
-    return returns.universe_membership(s.prices())
+    return returns.universe_membership(s("prices"))
 
 
-def _scores(s, names=factors.FACTORS):
-    """Used more than once by most queries: a few columns for each month, ticker and factor."""
-    return s.once(f"scores{len(names)}", lambda: factors.factor_scores(s, list(names)))
+def _scores(s):
+    return s.scores(factors.FACTORS)
 
 
 def _bt(s):
@@ -63,11 +62,11 @@ def _common(s):
 
 
 def _panel(s):
-    return s.once("panel", lambda: combine.feature_panel(_scores(s, BASIC), _mret(s), BASIC))
+    return s("feature panel")
 
 
 def _features(s):
-    return regime.regime_features(s.prices(), s.macro())
+    return regime.regime_features(s("prices"), s("macro"))
 
 
 def _states(s):
@@ -76,22 +75,22 @@ def _states(s):
 
 
 KEY = "date:date ticker:string "
-plan("dense_grid", KEY + "adj_close volume:bigint")(lambda s: returns.dense_grid(s.prices()))
-plan("daily_returns", KEY + "log_return simple_return")(lambda s: returns.daily_returns(s.prices()))
+plan("dense_grid", KEY + "adj_close volume:bigint")(lambda s: returns.dense_grid(s("prices")))
+plan("daily_returns", KEY + "log_return simple_return")(lambda s: returns.daily_returns(s("prices")))
 plan("monthly_returns", KEY + "log_return simple_return")(_mret)
-plan("stored_returns", KEY + "log_return simple_return freq:string")(lambda s: returns.stored_returns(s.prices()))
+plan("stored_returns", KEY + "log_return simple_return freq:string")(lambda s: returns.stored_returns(s("prices")))
 plan("validate_index", "index_ticker:string correlation valid:boolean")(lambda s: returns.validate_index(_mret(s)))
 plan("universe_membership", KEY + "in_universe:boolean market_cap_proxy avg_dollar_vol days_since_first_price:int")(_member)
 plan("universe_size", "date:date n_members:bigint n_total:bigint inclusion_rate")(lambda s: returns.inclusion(_member(s)))
 plan("asof_membership", KEY + "in_universe:boolean")(lambda s: returns.asof_membership(_mpanel(s), _member(s)))
-plan("fill_gaps_drop", KEY + "value")(lambda s: returns.fill_gaps(returns.panel(returns.daily_returns(s.prices())), "drop_cols", MOST))
+plan("fill_gaps_drop", KEY + "value")(lambda s: returns.fill_gaps(returns.panel(returns.daily_returns(s("prices"))), "drop_cols", MOST))
 plan("trim_by_universe", KEY + "value")(lambda s: returns.trim_by_universe(_mpanel(s), returns.asof_membership(_mpanel(s), _member(s))))
 plan("xs_stats", "date:date mean std median skewness excess_kurtosis pct_positive n_stocks:bigint")(lambda s: returns.xs_stats(_mpanel(s)))
 plan("annual_stats", "year:int n_obs:bigint mean std skewness excess_kurtosis min max")(lambda s: returns.annual_stats(_mpanel(s)))
 plan("distribution_tests", "n:bigint jarque_bera p_value p01 p25 p50 p75 p99")(lambda s: returns.distribution_tests(_mpanel(s)))
 plan("panel_summary", "n_dates:bigint n_tickers:bigint n_values:bigint first_date:date last_date:date n_years:bigint")(lambda s: returns.panel_summary(_mpanel(s)))
 for _n in factors.FACTORS:
-    plan(f"factor_{_n}", KEY + "raw_score")(lambda s, n=_n: factors.family(s, n).select("date", "ticker", F.col(n).alias("raw_score")))
+    plan(f"factor_{_n}", KEY + "raw_score")(lambda s, n=_n: s.family(n).select("date", "ticker", (F.round(n, 9) + F.lit(0.0)).alias("raw_score")))
 for _q, _c in (("winsorize", "winsorized_score"), ("zscore", "z_score"), ("neutralize", "final_score")):
     plan(_q, KEY + f"factor_name:string {_c}")(lambda s, c=_c: _scores(s).select("date", "ticker", "factor_name", c))
 plan("factor_scores_long", KEY + "factor_name:string " + " ".join(SCORES))(_scores)
@@ -102,7 +101,7 @@ plan("quintile_sharpe", "factor_name:string sharpe_q1 sharpe_q5 sharpe_ls")(lamb
 plan("score_autocorr", "factor_name:string lag:int autocorr")(lambda s: evaluate.score_autocorr(_scores(s)))
 plan("half_life", "factor_name:string half_life")(lambda s: evaluate.half_life(evaluate.score_autocorr(_scores(s))))
 plan("factor_metrics", "factor_name:string date:date stage:string metric_name:string value")(lambda s: evaluate.factor_metrics(_scores(s), _mret(s)))
-plan("rebalance_schedule", "date:date")(lambda s: backtest.rebalance_schedule(s.prices()))
+plan("rebalance_schedule", "date:date")(lambda s: backtest.rebalance_schedule(s("prices")))
 plan("topk_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.topk_weights(_common(s)))
 plan("long_short_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.long_short_weights(_common(s)))
 plan("cap_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.cap_weights(backtest.topk_weights(_common(s))))
@@ -129,10 +128,10 @@ plan("regime_spans", "regime_id:int start_date:date end_date:date n_dates:bigint
 plan("regime_transitions", "from_id:int to_id:int probability expected_duration")(lambda s: regime.transitions(_states(s)))
 plan("hmm_states", "date:date regime_id:int prob_0 prob_1 prob_2 prob_3")(lambda s: regime.hmm_states(_features(s)))
 plan("hmm_bic", "k:bigint log_likelihood bic best:boolean")(lambda s: regime.bic_by_states(_features(s)))
-plan("macro_unpivot", "date:date series_name:string value")(lambda s: io.macro_long(s.macro().groupBy("date").pivot("series_name", ["DGS10", "DGS2", "VIXCLS", "BAMLH0A0HYM2", "NAPM"]).agg(F.first("value"))))
-plan("macro_filled", "date:date series_name:string value")(lambda s: io.macro_filled(s.macro()))
-plan("metadata", "ticker:string sector:string industry:string shares_outstanding")(lambda s: s.metadata())
-plan("fundamentals", KEY + " ".join(factors.STATEMENT))(lambda s: s.fundamentals())
+plan("macro_unpivot", "date:date series_name:string value")(lambda s: io.macro_long(s("macro").groupBy("date").pivot("series_name", ["DGS10", "DGS2", "VIXCLS", "BAMLH0A0HYM2", "NAPM"]).agg(F.first("value"))))
+plan("macro_filled", "date:date series_name:string value")(lambda s: io.macro_filled(s("macro")))
+plan("metadata", "ticker:string sector:string industry:string shares_outstanding")(lambda s: s("metadata"))
+plan("fundamentals", KEY + " ".join(factors.STATEMENT))(lambda s: s("fundamentals"))
 
 
 @plan("upsert_merge", KEY + "simple_return")
@@ -165,11 +164,9 @@ def _query(name: str):
     by = oracle.SELECTS.get(name, ("bucket",))[0]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        while STARS:  # what the query before has kept
-            STARS.pop().release()
-        STARS.append(star := Star(spark, sf_dir, by))
-        rows = f(star)
-        return rounded(rows.select(*[F.col(c).cast(t).alias(c) if t not in (X, "timestamp") else F.col(c) for c, t in columns]), oracle.DIGITS, oracle.DIGITS.get(name, 6))
+        lease = opened(spark, CATALOG, sf_dir, by).lease()
+        rows = f(lease)
+        return leased(rounded(rows.select(*[F.col(c).cast(t).alias(c) if t not in (X, "timestamp") else F.col(c) for c, t in columns]), oracle.DIGITS, oracle.DIGITS.get(name, 6)), lease)
 
     return run
 

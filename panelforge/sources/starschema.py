@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-
 BUCKETS = 15
 #: Order priorities standing in for macro series (fixed values).
 SERIES = {"1-URGENT": "DGS10", "2-HIGH": "DGS2", "3-MEDIUM": "VIXCLS", "4-NOT SPECIFIED": "BAMLH0A0HYM2", "5-LOW": "NAPM"}
@@ -20,17 +18,12 @@ class Star:
 
     def __init__(self, spark: SparkSession, path: str, by: str = "bucket"):
         self.spark, self.path, self.by = spark, path, by
-        self.made, self.scratch = {}, Scratch(spark)
-
-    def once(self, name: str, make) -> DataFrame:
-        """The panel ``make`` gives, written once for all that use it; ``release`` deletes it."""
-        if name not in self.made:
-            self.made[name] = self.scratch.write(make(), name)
-        return self.made[name]
 
-    def release(self) -> None:
-        self.scratch.drop()
-        self.made = {}
+    def stamp(self) -> tuple:
+        """Names, lengths and times of what lies in the folder: other files, another stamp."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(hadoop)))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -46,13 +39,9 @@ class Star:
 
     def prices(self) -> DataFrame:
         """``date, ticker, adj_close, close, volume``: mean unit price and quantity of a day."""
-
-        def make():
-            rows = self.table("lineitem").groupBy(F.to_date("l_shipdate").alias("date"), self._ticker().alias("ticker"))
-            rows = rows.agg((self._sum(F.col("l_extendedprice")) / F.sum("l_quantity")).alias("adj_close"), F.sum("l_quantity").cast("long").alias("volume"))
-            return rows.select("date", "ticker", "adj_close", F.col("adj_close").alias("close"), "volume")
-
-        return self.once("prices", make)
+        rows = self.table("lineitem").groupBy(F.to_date("l_shipdate").alias("date"), self._ticker().alias("ticker"))
+        rows = rows.agg((self._sum(F.col("l_extendedprice")) / F.sum("l_quantity")).alias("adj_close"), F.sum("l_quantity").cast("long").alias("volume"))
+        return rows.select("date", "ticker", "adj_close", F.col("adj_close").alias("close"), "volume")
 
     def metadata(self) -> DataFrame:
         """``ticker, sector, industry, shares_outstanding``."""
