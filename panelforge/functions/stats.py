@@ -1,4 +1,4 @@
-"""Column and frame helpers: as-of fill, guarded moments and correlations, average ranks."""
+"""Column and frame helpers: as-of fill, guarded moments and correlations, ranks and quantiles of groups of any size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 
 def by_ticker(*more: str):
     return Window.partitionBy("ticker", *more).orderBy("date")
@@ -57,6 +59,39 @@ def spearman(rows: DataFrame, x: str, y: str, keys: list[str], least: int = 3, n
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), corr("_x", "_y").alias(name)).where(F.col("n") >= least)
 
 
+def ordered_counts(rows: DataFrame, value: str, keys: list[str], scratch: Scratch) -> DataFrame:
+    """``keys, value, c, before, n``: each distinct non-null value of a group, how often it occurs, how many values of the
+    group are less, and how many there are; written.
+
+    Distinct values are sorted by ranges, so no task orders a whole group; sums of the ranges (a row for each range and
+    group) give each its offset.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    parts = scratch.write(counts.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy(*keys, "part").agg(F.sum("c").alias("own"))
+    w = Window.partitionBy(*keys)
+    earlier = w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("offset"), F.sum("own").over(w).alias("n"))
+    within = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("less", F.coalesce(F.sum("c").over(within), F.lit(0))).join(sums, [*keys, "part"])
+    return scratch.write(placed.select(*keys, value, "c", (F.col("offset") + F.col("less")).alias("before"), "n"), "placed")
+
+
+def pooled_ranks(rows: DataFrame, value: str, keys: list[str], scratch: Scratch, name: str = "rank") -> DataFrame:
+    """``rows`` with the average rank of ``value`` in its group of any size; rows without a value are left out."""
+    ranks = ordered_counts(rows, value, keys, scratch)
+    return rows.join(ranks.select(*keys, value, (F.col("before") + (F.col("c") + 1) / 2).alias(name)), [*keys, value])
+
+
+def pooled_quantiles(rows: DataFrame, value: str, shares: list[float], scratch: Scratch) -> DataFrame:
+    """``i, quantile`` of all values, exactly, for each of ``shares`` (i counts them); between values it lies in proportion."""
+    place = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)]), lambda a: F.struct(a["i"].alias("i"), (a["p"] * (F.col("n") - 1)).alias("at")))
+    holds = lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("c"))
+    found = ordered_counts(rows, value, [], scratch).withColumn("a", F.explode(F.filter(place, lambda a: holds(F.floor(a["at"])) | holds(F.ceil(a["at"])))))
+    low, high = (F.max(F.when(holds(f("a.at")), F.col(value))) for f in (F.floor, F.ceil))
+    return found.groupBy("a.i", "a.at").agg(low.alias("low"), high.alias("high")).select("i", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("quantile"))
+
+
 def skew(col) -> Column:
     """Bias-corrected skewness; null under three values or without spread."""
     n = F.count(col)

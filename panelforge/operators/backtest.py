@@ -6,6 +6,9 @@ portfolio's value is a running product.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,12 @@ def topk_weights(scores: DataFrame, net: float = 1.0) -> DataFrame:
     return ranked(scores).where("top <= k").select(B, "date", "ticker", (F.lit(net) / F.col("k")).alias("weight"))
 
 
+def rank_weights(scores: DataFrame) -> DataFrame:
+    """``backtest_name, date, ticker, weight``: the best fifth, weighted by place: the best of k names has k parts, the last one."""
+    parts = F.col("k") * (F.col("k") + 1) / 2
+    return ranked(scores).where("top <= k").select(B, "date", "ticker", ((F.col("k") - F.col("top") + 1) / parts).alias("weight"))
+
+
 def long_short_weights(scores: DataFrame, net: float = 0.0, gross: float = 1.0) -> DataFrame:
     """The best fifth long and the worst short; a ticker in both is in neither."""
     rows = ranked(scores).withColumns({"l": F.col("top") <= F.col("k"), "s": F.col("low") <= F.col("k")})
@@ -97,19 +106,37 @@ def trades(moves: DataFrame) -> DataFrame:
     return rows.select(B, "date", "ticker", F.when(F.col("c") > 0, "buy").otherwise("sell").alias("trade_type"), F.col("c").alias("weight_change"), F.abs("c").alias("turnover_contribution"))
 
 
-def cost(turnover, commission_bps: float = 5.0, spread_bps: float = 10.0):
-    return turnover * (commission_bps + spread_bps / 2) / 1e4
+class CostModel(ABC):
+    """What trading costs, as a share of the portfolio; one's own model overrides either part, as columns."""
+
+    def of_trade(self, change: F.Column) -> F.Column:
+        """Of one name's change of weight; summed over a date's trades."""
+        return F.lit(0.0)
+
+    @abstractmethod
+    def of_turnover(self, turnover: F.Column) -> F.Column:
+        """Of the sum of a date's absolute changes."""
+
+
+@dataclass(frozen=True)
+class LinearCost(CostModel):
+    commission_bps: float = 5.0
+    spread_bps: float = 10.0
+
+    def of_turnover(self, turnover: F.Column) -> F.Column:
+        return turnover * (self.commission_bps + self.spread_bps / 2) / 1e4
 
 
-def backtest_results(moves: DataFrame, capital: float = 1e7) -> DataFrame:
+def backtest_results(moves: DataFrame, capital: float = 1e7, costs: CostModel = LinearCost()) -> DataFrame:
     """``backtest_name, date, gross_return, net_return, portfolio_value, drawdown, turnover, transaction_costs``.
 
     The first period's cost counts in the value at the start and again in the next period.
     """
-    rows = moves.groupBy(B, "date", "i", "first").agg(F.max("g").alias("g"), F.sum(F.abs(F.col("target") - F.col("drifted"))).alias("turnover"))
+    change = F.col("target") - F.col("drifted")
+    rows = moves.groupBy(B, "date", "i", "first").agg(F.max("g").alias("g"), F.sum(F.abs(change)).alias("turnover"), F.sum(costs.of_trade(change)).alias("traded"))
     first = F.col("i") == F.col("first")
     w = Window.partitionBy(B).orderBy("date")
-    rows = rows.withColumn("tc", cost(F.col("turnover")))
+    rows = rows.withColumn("tc", costs.of_turnover(F.col("turnover")) + F.col("traded"))
     net = F.when(first, -F.col("tc")).otherwise((1 + F.col("g")) * (1 - F.lag("tc").over(w)) - 1)
     rows = rows.withColumn("net", net).withColumn("value", capital * F.product(1 + F.col("net")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     peak = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -122,11 +149,11 @@ def backtest_metrics(results: DataFrame, per_year: int = 12) -> DataFrame:
     rows = results.withColumn("k", F.row_number().over(w)).withColumns({"net": F.when(F.col("k") > 1, F.col("net_return")), "gross": F.when(F.col("k") > 1, F.col("gross_return"))})
     rows = rows.withColumn("eq", F.product(1 + F.col("net")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("dd", F.col("eq") / F.max("eq").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    a = rows.groupBy(B).agg(F.count("net").alias("n"), (F.product(1 + F.col("net")) - 1).alias("cumulative_return"), (F.product(1 + F.col("gross")) - 1).alias("cumulative_return_gross"), F.avg("net").alias("mean"), F.coalesce(F.stddev_samp("net"), F.lit(0.0)).alias("sd"), F.sqrt(F.avg(F.when(F.col("net") < 0, F.col("net") * F.col("net")))).alias("down"), F.coalesce(F.min("dd"), F.lit(0.0)).alias("max_drawdown"), F.avg(F.when(F.col("net").isNotNull(), (F.col("net") > 0).cast("double"))).alias("win_rate"), F.avg("turnover").alias("avg_turnover"))
+    a = rows.groupBy(B).agg(F.count("net").alias("n"), (F.product(1 + F.col("net")) - 1).alias("cumulative_return_net"), (F.product(1 + F.col("gross")) - 1).alias("cumulative_return_gross"), F.avg("net").alias("mean"), F.coalesce(F.stddev_samp("net"), F.lit(0.0)).alias("sd"), F.sqrt(F.avg(F.when(F.col("net") < 0, F.col("net") * F.col("net")))).alias("down"), F.coalesce(F.min("dd"), F.lit(0.0)).alias("max_drawdown"), F.avg(F.when(F.col("net").isNotNull(), (F.col("net") > 0).cast("double"))).alias("win_rate"), F.avg("turnover").alias("average_turnover"))
     year = F.lit(float(per_year))
-    a = a.withColumn("cagr", F.when(F.col("n") > 0, F.pow(1 + F.col("cumulative_return"), year / F.col("n")) - 1))
-    m = {"annualized_volatility": F.col("sd") * F.sqrt(year), "sharpe_ratio": F.when(F.col("sd") <= 1e-12, 0.0).otherwise(F.col("mean") / F.col("sd") * F.sqrt(year)), "sortino_ratio": F.coalesce(ratio(F.col("mean"), F.col("down")) * F.sqrt(year), F.lit(0.0)), "calmar_ratio": F.when(F.abs("max_drawdown") > 1e-12, F.col("cagr") / F.abs("max_drawdown")), "annualized_turnover": F.col("avg_turnover") * year}
-    names = ["cumulative_return", "cumulative_return_gross", "cagr", "max_drawdown", "win_rate", "avg_turnover", *m]
+    a = a.withColumn("cagr_net", F.when(F.col("n") > 0, F.pow(1 + F.col("cumulative_return_net"), year / F.col("n")) - 1))
+    m = {"annualized_volatility": F.col("sd") * F.sqrt(year), "sharpe_ratio": F.when(F.col("sd") <= 1e-12, 0.0).otherwise(F.col("mean") / F.col("sd") * F.sqrt(year)), "sortino_ratio": F.coalesce(ratio(F.col("mean"), F.col("down")) * F.sqrt(year), F.lit(0.0)), "calmar_ratio": F.when(F.abs("max_drawdown") > 1e-12, F.col("cagr_net") / F.abs("max_drawdown")), "annualized_turnover": F.col("average_turnover") * year}
+    names = ["cumulative_return_net", "cumulative_return_gross", "cagr_net", "max_drawdown", "win_rate", "average_turnover", *m]
     return a.withColumns(m).unpivot([B], names, "metric_name", "value")
 
 

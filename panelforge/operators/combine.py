@@ -6,6 +6,7 @@ import bisect
 import hashlib
 import json
 import uuid
+from abc import ABC, abstractmethod
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -14,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, corr, ratio, spearman
+from ..functions.stats import corr, pooled_ranks, ratio, spearman, union
+from ..sources.scratch import Scratch
 from . import boost, shap
 from .evaluate import forward_returns
 
@@ -63,22 +65,39 @@ def ic_weights(panel: DataFrame, lookback: int = 36, lag: int = 0, least: int =
     return rows.select("date", "factor_name", F.when(F.col("total") > 0, F.coalesce("m", F.lit(0.0)) / F.col("total")).otherwise(1 / F.col("k")).alias("weight"))
 
 
+def solved(system: F.Column, k: int, least: float = 1e-10) -> F.Column:
+    """The unknowns of ``k`` linear equations: rows of k + 1 numbers, the last one the right side, of a symmetric positive
+    semidefinite matrix with ones on its diagonal. An unknown whose pivot is ``least`` or less depends on others and is 0."""
+
+    def eliminate(m, i):
+        pivot = m[i][i]
+        own = lambda r, j: F.when(j == i, F.transform(r, lambda x: x / pivot)).otherwise(F.zip_with(r, m[i], lambda x, y: x - y * r[i] / pivot))
+        none = lambda r, j: F.when(j == i, F.transform(r, lambda x: x * 0)).otherwise(r)
+        return F.when(pivot > least, F.transform(m, own)).otherwise(F.transform(m, none))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), system, eliminate)
+    return F.transform(done, lambda r: r[k])
+
+
 def regressions(panel: DataFrame) -> DataFrame:
     """``date, factor_name, beta`` of each date's regression of forward returns on all factors and an intercept.
 
-    Dates with fewer than K + 2 rows, or a factor without spread, are skipped. One small group for each date.
+    A date's correlations are one grouped sum, and elimination over them gives the coefficients; no date is gathered.
+    Dates with fewer than K + 2 rows, or a factor without spread, are skipped; a factor that others determine gets 0.
     """
     names = [c for c in panel.columns if c not in ("date", "ticker", "fwd")]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ticker")
-        x, y = pdf[names].to_numpy(float), pdf["fwd"].to_numpy(float)
-        if len(y) < len(names) + 2 or (np.ptp(x, axis=0) == 0).any():
-            return pd.DataFrame({"date": [], "factor_name": [], "beta": []})
-        beta = np.linalg.lstsq(np.c_[np.ones(len(y)), x], y, rcond=None)[0][1:]
-        return pd.DataFrame({"date": pdf["date"].iloc[0], "factor_name": names, "beta": beta})
-
-    return panel.groupBy("date").applyInPandas(fit, "date date, factor_name string, beta double")
+    k, of = len(names), {n: f"s{i}" for i, n in enumerate([*names, "fwd"])}
+    pairs = [(a, b) for i, a in enumerate(names) for b in [*names[i + 1 :], "fwd"]]
+    name = lambda a, b: f"{of[a]}_{of[b]}" if (a, b) in pairs else f"{of[b]}_{of[a]}"
+    flat = [F.bool_or(F.lit(False)), *[F.max(n) == F.min(n) for n in names]]
+    sums = panel.groupBy("date").agg(F.count("*").alias("n"), F.greatest(*flat).alias("flat"), *[F.stddev_pop(n).alias(of[n]) for n in of], *[F.covar_pop(a, b).alias(name(a, b)) for a, b in pairs])
+    sums = sums.where(~F.col("flat") & (F.col("n") >= k + 2)).withColumn("y", F.when(F.col(of["fwd"]) > 0, F.col(of["fwd"])).otherwise(1.0))
+    scale = lambda n: F.col("y") if n == "fwd" else F.col(of[n])
+    cell = lambda a, b: F.lit(1.0) if a == b else ratio(F.col(name(a, b)), scale(a) * scale(b))
+    system = F.array(*[F.array(*[cell(a, b) for b in [*names, "fwd"]]) for a in names])
+    beta = F.zip_with(solved(system, k), F.array(*[F.col(of[n]) for n in names]), lambda x, sd: ratio(x * F.col("y"), sd))
+    rows = sums.select("date", F.arrays_zip(F.array(*map(F.lit, names)).alias("f"), beta.alias("b")).alias("z"))
+    return rows.select("date", F.inline("z").alias("factor_name", "beta"))
 
 
 def fama_macbeth_weights(betas: DataFrame, lookback: int = 36, lag: int = 0) -> DataFrame:
@@ -96,9 +115,10 @@ def composite(panel: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def factor_corr(panel: DataFrame) -> DataFrame:
-    """``factor_a, factor_b, correlation``: pooled rank correlations of all pairs of factors."""
+    """``factor_a, factor_b, correlation``: rank correlations of all pairs of factors, ranked over the whole panel."""
     names = [c for c in panel.columns if c not in ("date", "ticker", "fwd")]
-    rows = panel.select(F.lit(0).alias("g"), *names).select(*[average_rank(c, ["g"]).alias(c) for c in names])
+    ranks = pooled_ranks(long_panel(panel).drop("fwd"), "score", ["factor_name"], Scratch(panel.sparkSession))
+    rows = ranks.groupBy("date", "ticker").pivot("factor_name", names).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     row = rows.agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     tall = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "correlation")
@@ -178,3 +198,65 @@ def run_id(method: str, config: dict) -> tuple[str, str]:
     """(run id, configuration hash) of a run: the hash depends on the configuration alone."""
     digest = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
     return f"{method}_{digest}_{uuid.uuid4().hex[:8]}", digest
+
+
+class Composite(ABC):
+    """A way to combine factors, to be named beside the library's own. ``fit`` learns from a feature panel (date, ticker, a
+    column for each factor, fwd), ``predict`` scores one; a date may only use what was known by then."""
+
+    method: str
+
+    @abstractmethod
+    def fit(self, panel: DataFrame):
+        """What ``predict`` needs."""
+
+    @abstractmethod
+    def predict(self, panel: DataFrame, fitted) -> DataFrame:
+        """``date, ticker, composite_score``"""
+
+
+@dataclass(frozen=True)
+class ICWeighted(Composite):
+    lookback: int = 36
+    lag: int = 0
+    method = "ic_weighted"
+
+    def fit(self, panel: DataFrame) -> DataFrame:
+        return ic_weights(panel, self.lookback, self.lag)
+
+    def predict(self, panel: DataFrame, fitted: DataFrame) -> DataFrame:
+        return composite(panel, fitted)
+
+
+@dataclass(frozen=True)
+class FamaMacBeth(Composite):
+    lookback: int = 36
+    lag: int = 0
+    method = "fama_macbeth"
+
+    def fit(self, panel: DataFrame) -> DataFrame:
+        return fama_macbeth_weights(regressions(panel), self.lookback, self.lag)
+
+    def predict(self, panel: DataFrame, fitted: DataFrame) -> DataFrame:
+        return composite(panel, fitted)
+
+
+@dataclass(frozen=True)
+class Boosted(Composite):
+    """Refits on past dates as it goes, so there is nothing to fit before."""
+
+    trees: TreeConfig = TreeConfig()
+    method = "xgboost"
+
+    def fit(self, panel: DataFrame) -> None:
+        return None
+
+    def predict(self, panel: DataFrame, fitted: None) -> DataFrame:
+        return boosted_walk(panel, self.trees)
+
+
+def composites(panel: DataFrame, methods: list[Composite]) -> DataFrame:
+    """``date, ticker, method, composite_score`` of each of ``methods``."""
+    if len({m.method for m in methods}) < len(methods):
+        raise ValueError("two methods of one name")
+    return union([m.predict(panel, m.fit(panel)).select("date", "ticker", F.lit(m.method).alias("method"), "composite_score") for m in methods])

@@ -144,6 +144,10 @@ def regime_profile(features: DataFrame, states: DataFrame) -> DataFrame:
     return rows.withColumn("z", ratio(F.col("mean") - F.avg("mean").over(w), F.when(F.stddev_samp("mean").over(w) > 1e-12, F.stddev_samp("mean").over(w))))
 
 
+#: Labels of four states (fixed values).
+BEAR, BULL, SHOCK, NEUTRAL = "Bear / High-Vol", "Bull Market", "Rate Shock / Stagnation", "Neutral / Transition"
+
+
 def regime_labels(features: DataFrame, states: DataFrame, k: int = 4) -> DataFrame:
     """``regime_id, regime_label``: with four states bear (most volatile), bull (best momentum of the rest), rate
     shock (lowest slope of the rest) and neutral; else numbered."""
@@ -156,7 +160,7 @@ def regime_labels(features: DataFrame, states: DataFrame, k: int = 4) -> DataFra
     rows = means.withColumn("bear", rank([F.desc("market_vol"), F.col("regime_id")]) == 1)
     rows = rows.withColumn("bull", ~F.col("bear") & (rank([F.col("bear"), F.desc("market_mom"), F.col("regime_id")]) == 1))
     rows = rows.withColumn("shock", ~F.col("bear") & ~F.col("bull") & (rank([F.col("bear") | F.col("bull"), F.col("yield_slope"), F.col("regime_id")]) == 1))
-    return rows.select("regime_id", F.when(F.col("bear"), "Bear").when(F.col("bull"), "Bull").when(F.col("shock"), "Rate Shock").otherwise("Neutral").alias("regime_label"))
+    return rows.select("regime_id", F.when(F.col("bear"), BEAR).when(F.col("bull"), BULL).when(F.col("shock"), SHOCK).otherwise(NEUTRAL).alias("regime_label"))
 
 
 def transitions(states: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio, union
+from ..functions.stats import pooled_quantiles, ratio, union
+from ..sources.scratch import Scratch
 
 B = "backtest_name"
 
@@ -44,8 +45,9 @@ def normal_quantiles(panel: DataFrame, points: int = 19) -> DataFrame:
     """``p, theoretical, observed``: quantiles of the panel's ``value`` against the normal of its mean and deviation."""
     ps = [(i + 1) / (points + 1) for i in range(points)]
     z = panel.sparkSession.createDataFrame([(i, p, NormalDist().inv_cdf(p)) for i, p in enumerate(ps)], "i int, p double, z double")
-    one = panel.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.percentile("value", F.array(*map(F.lit, ps))).alias("q"))
-    return z.crossJoin(F.broadcast(one)).select("p", (F.col("m") + F.col("s") * F.col("z")).alias("theoretical"), F.col("q")[F.col("i")].alias("observed"))
+    one = panel.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    rows = z.crossJoin(F.broadcast(one)).join(F.broadcast(pooled_quantiles(panel, "value", ps, Scratch(panel.sparkSession))), "i", "left")  # a row for each point
+    return rows.select("p", (F.col("m") + F.col("s") * F.col("z")).alias("theoretical"), F.col("quantile").alias("observed"))
 
 
 def drawdown_spans(results: DataFrame) -> DataFrame:

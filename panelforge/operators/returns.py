@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import asof_fill, by_ticker, corr, ffill, kurt, ratio, rolling, skew
+from ..functions.stats import asof_fill, by_ticker, corr, ffill, kurt, pooled_quantiles, ratio, rolling, skew
+from ..sources.scratch import Scratch
 
 
 def dense_grid(prices: DataFrame, cols=("adj_close", "volume")) -> DataFrame:
@@ -143,8 +144,11 @@ def distribution_tests(rows: DataFrame) -> DataFrame:
     """Jarque-Bera statistic with its p-value, and pooled percentiles."""
     rows = rows.where("value is not null")
     jb = F.count("*") / 6 * (F.pow(F.skewness("value"), 2) + F.pow(F.kurtosis("value"), 2) / 4)
-    out = rows.agg(F.count("*").alias("n"), jb.alias("jarque_bera"), F.percentile("value", F.array(*map(F.lit, (0.01, 0.25, 0.5, 0.75, 0.99)))).alias("q"))
-    return out.select("n", "jarque_bera", F.exp(-F.col("jarque_bera") / 2).alias("p_value"), *[F.col("q")[i].alias(c) for i, c in enumerate(("p01", "p25", "p50", "p75", "p99"))])
+    shares = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+    points = pooled_quantiles(rows, "value", list(shares.values()), Scratch(rows.sparkSession))
+    points = points.agg(*[F.max(F.when(F.col("i") == i, F.col("quantile"))).alias(c) for i, c in enumerate(shares)])
+    out = rows.agg(F.count("*").alias("n"), jb.alias("jarque_bera")).crossJoin(F.broadcast(points))  # one row each
+    return out.select("n", "jarque_bera", F.exp(-F.col("jarque_bera") / 2).alias("p_value"), *shares)
 
 
 def panel_summary(rows: DataFrame) -> DataFrame:

@@ -158,6 +158,20 @@ def _metrics(x: str, name: str) -> str:
             JOIN (SELECT factor_name, max(date) AS date FROM pairs{x} GROUP BY 1) USING (factor_name)"""
 
 
+def fama_macbeth(names: list[str]) -> str:
+    """Cross-sectional regressions: correlations of each date, and Gauss-Jordan elimination over lists."""
+    k, y = len(names), "CASE WHEN stddev_pop(fwd) > 0 THEN stddev_pop(fwd) ELSE 1 END"
+    cell = lambda a, b: "1.0" if a == b else f"covar_pop({a}, {b}) / (stddev_pop({a}) * {y if b == 'fwd' else f'stddev_pop({b})'})"
+    rows = ", ".join(f"[{', '.join(cell(a, b) for b in [*names, 'fwd'])}]" for a in names)
+    flat = " OR ".join(f"max({n}) = min({n})" for n in names)
+    return f""", fm0 AS (SELECT date, {y} AS y, [{", ".join(f"stddev_pop({n})" for n in names)}] AS sd, [{rows}] AS m FROM panel GROUP BY date HAVING count(*) >= {k + 2} AND NOT ({flat})),
+    fm1 AS (SELECT date, y, sd, list_reduce(list_prepend(m, list_transform(range(1, {k + 1}), lambda i: [[i::DOUBLE]])), lambda m, s: CASE WHEN m[s[1][1]::INT][s[1][1]::INT] > 1e-10 THEN
+        list_transform(m, lambda r, j: list_transform(range(1, {k + 2}), lambda c: CASE WHEN j = s[1][1]::INT THEN r[c] / m[s[1][1]::INT][s[1][1]::INT] ELSE r[c] - m[s[1][1]::INT][c] * r[s[1][1]::INT] / m[s[1][1]::INT][s[1][1]::INT] END))
+        ELSE list_transform(m, lambda r, j: list_transform(r, lambda x: CASE WHEN j = s[1][1]::INT THEN 0 ELSE x END)) END) AS m FROM fm0),
+    fmb AS (SELECT date, names[i] AS factor_name, m[i][{k + 1}] * y / sd[i] AS beta FROM (SELECT *, {names!r} AS names, unnest(range(1, {k + 1})) AS i FROM fm1)),
+    fmw AS (SELECT date, factor_name, coalesce(mean / nullif(sum(abs(mean)) OVER (PARTITION BY date), 0), 1.0 / count(*) OVER (PARTITION BY date)) AS weight FROM (SELECT date, factor_name, avg(beta) OVER (PARTITION BY factor_name ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS mean FROM fmb))"""
+
+
 MOMENTS = "avg(value) AS mean, stddev_samp(value) AS std, {}skewness(value) AS skewness, CASE WHEN count(value) >= 4 THEN kurtosis(value) END AS excess_kurtosis".format
 #: Name: (kind of ticker, digits, columns and types as in the query, SELECT)
 SELECTS = {
@@ -195,11 +209,11 @@ SELECTS = {
     "trades": ("bucket", "SELECT backtest_name, date, ticker, CASE WHEN c > 0 THEN 'buy' ELSE 'sell' END AS trade_type, c AS weight_change, abs(c) AS turnover_contribution FROM (SELECT *, round(target - drifted, 9) AS c FROM mv) WHERE c <> 0 AND i > first"),
     "backtest_results": ("bucket", "SELECT * REPLACE (ln(portfolio_value / 1e7) AS portfolio_value) FROM results"),
     "monthly_grid": ("bucket", "SELECT backtest_name, year(date)::INTEGER AS year, " + ", ".join(f"coalesce(product(1 + net_return) FILTER (month(date) = {m}) - 1, 0) AS m{m:02}" for m in range(1, 13)) + ", product(1 + net_return) - 1 AS total FROM results GROUP BY 1, 2"),
-    "backtest_metrics": ("bucket", """SELECT backtest_name, metric_name, value FROM (SELECT backtest_name, cum AS cumulative_return, gcum AS cumulative_return_gross, pow(1 + cum, 12.0 / n) - 1 AS cagr, dd AS max_drawdown, win AS win_rate, tu AS avg_turnover, sd * sqrt(12.0) AS annualized_volatility,
+    "backtest_metrics": ("bucket", """SELECT backtest_name, metric_name, value FROM (SELECT backtest_name, cum AS cumulative_return_net, gcum AS cumulative_return_gross, pow(1 + cum, 12.0 / n) - 1 AS cagr_net, dd AS max_drawdown, win AS win_rate, tu AS average_turnover, sd * sqrt(12.0) AS annualized_volatility,
         CASE WHEN sd <= 1e-12 THEN 0 ELSE m / sd * sqrt(12.0) END AS sharpe_ratio, coalesce(m / nullif(down, 0) * sqrt(12.0), 0) AS sortino_ratio, CASE WHEN abs(dd) > 1e-12 THEN (pow(1 + cum, 12.0 / n) - 1) / abs(dd) END AS calmar_ratio, tu * 12 AS annualized_turnover FROM
         (SELECT backtest_name, count(net) AS n, product(1 + net) - 1 AS cum, product(1 + gr) - 1 AS gcum, avg(net) AS m, coalesce(stddev_samp(net), 0) AS sd, sqrt(avg(net * net) FILTER (net < 0)) AS down, coalesce(min(eq / pk - 1), 0) AS dd, avg(CASE WHEN net IS NOT NULL THEN (net > 0)::INTEGER END) AS win, avg(turnover) AS tu FROM
         (SELECT *, max(eq) OVER (PARTITION BY backtest_name ORDER BY date ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT *, product(1 + net) OVER (PARTITION BY backtest_name ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM
-        (SELECT *, CASE WHEN k > 1 THEN net_return END AS net, CASE WHEN k > 1 THEN gross_return END AS gr FROM (SELECT *, row_number() OVER (PARTITION BY backtest_name ORDER BY date) AS k FROM results)))) GROUP BY 1)) UNPIVOT INCLUDE NULLS (value FOR metric_name IN (cumulative_return, cumulative_return_gross, cagr, max_drawdown, win_rate, avg_turnover, annualized_volatility, sharpe_ratio, sortino_ratio, calmar_ratio, annualized_turnover))"""),
+        (SELECT *, CASE WHEN k > 1 THEN net_return END AS net, CASE WHEN k > 1 THEN gross_return END AS gr FROM (SELECT *, row_number() OVER (PARTITION BY backtest_name ORDER BY date) AS k FROM results)))) GROUP BY 1)) UNPIVOT INCLUDE NULLS (value FOR metric_name IN (cumulative_return_net, cumulative_return_gross, cagr_net, max_drawdown, win_rate, average_turnover, annualized_volatility, sharpe_ratio, sortino_ratio, calmar_ratio, annualized_turnover))"""),
     "annual_perf": ("bucket", """SELECT backtest_name, year, annual_return, sd * sqrt(12.0) AS volatility, CASE WHEN sd > 1e-12 THEN m / sd * sqrt(12.0) ELSE 0 END AS sharpe, dd AS max_drawdown FROM (SELECT backtest_name, year, count(*) AS n, min(k) AS k, product(1 + net_return) - 1 AS annual_return, coalesce(stddev_samp(net_return), 0) AS sd, avg(net_return) AS m, min(eq / pk - 1) AS dd FROM
         (SELECT *, max(eq) OVER (PARTITION BY backtest_name, year ORDER BY date ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT *, row_number() OVER (PARTITION BY backtest_name ORDER BY date) AS k, product(1 + net_return) OVER (PARTITION BY backtest_name, year(date) ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq, year(date)::INTEGER AS year FROM results)) GROUP BY 1, 2) WHERE NOT (n = 1 AND k = 1)"""),
     "method_comparison": ("bucket", "SELECT backtest_name, " + ", ".join(f"CASE WHEN count(net) FILTER ({w}) > 0 THEN CASE WHEN coalesce(stddev_samp(net) FILTER ({w}), 0) <= 1e-12 THEN 0 ELSE avg(net) FILTER ({w}) / stddev_samp(net) FILTER ({w}) * sqrt(12.0) END END AS {n}_sharpe, min(\"{n}\" / {n}m - 1) FILTER ({w}) AS {n}_max_dd" for n, w in (("full", "true"), ("oos", "date >= '1996-01-01'"))) + """ FROM
@@ -217,20 +231,28 @@ SELECTS = {
     "regime_profile": ("bucket", "SELECT regime_id, feature, mean, (mean - avg(mean) OVER w) / CASE WHEN stddev_samp(mean) OVER w > 1e-12 THEN stddev_samp(mean) OVER w END AS z FROM (SELECT regime_id, feature, avg(value) AS mean FROM (UNPIVOT (SELECT * FROM feats JOIN states USING (date)) ON market_vol, market_mom, vix_level, vix_change, yield_slope, credit_spread, gdp_growth INTO NAME feature VALUE value) GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature)"),
     "regime_spans": ("bucket", "SELECT regime_id, min(date) AS start_date, max(date) AS end_date, count(*) AS n_dates FROM (SELECT *, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY regime_id ORDER BY date) AS g FROM states) GROUP BY regime_id, g"),
     "regime_transitions": ("bucket", "SELECT from_id, to_id, p AS probability, 1 / (1 - max(CASE WHEN from_id = to_id THEN p ELSE 0 END) OVER (PARTITION BY from_id)) AS expected_duration FROM (SELECT from_id, to_id, count(*) / sum(count(*)) OVER (PARTITION BY from_id) AS p FROM (SELECT regime_id AS from_id, lead(regime_id) OVER (ORDER BY date) AS to_id FROM states) WHERE to_id IS NOT NULL GROUP BY 1, 2)"),
-    "regime_labels": ("bucket", """SELECT regime_id, CASE WHEN regime_id = bear THEN 'Bear' WHEN regime_id = bull THEN 'Bull' WHEN regime_id = shock THEN 'Rate Shock' ELSE 'Neutral' END AS regime_label FROM m CROSS JOIN (SELECT bear, bull, (SELECT regime_id FROM m WHERE regime_id NOT IN (bear, bull) ORDER BY s, regime_id LIMIT 1) AS shock FROM
+    "regime_labels": ("bucket", """SELECT regime_id, CASE WHEN regime_id = bear THEN 'Bear / High-Vol' WHEN regime_id = bull THEN 'Bull Market' WHEN regime_id = shock THEN 'Rate Shock / Stagnation' ELSE 'Neutral / Transition' END AS regime_label FROM m CROSS JOIN (SELECT bear, bull, (SELECT regime_id FROM m WHERE regime_id NOT IN (bear, bull) ORDER BY s, regime_id LIMIT 1) AS shock FROM
         (SELECT bear, (SELECT regime_id FROM m WHERE regime_id <> bear ORDER BY o DESC, regime_id LIMIT 1) AS bull FROM (SELECT regime_id AS bear FROM m ORDER BY v DESC, regime_id LIMIT 1)))"""),
     "macro_unpivot": ("bucket", "SELECT date, series_name, value FROM macro"),
     "macro_filled": ("bucket", "SELECT date, series_name, last_value(value IGNORE NULLS) OVER (PARTITION BY series_name ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT DISTINCT date FROM macro) CROSS JOIN (SELECT DISTINCT series_name FROM macro) LEFT JOIN macro USING (date, series_name)"),
     "upsert_merge": ("supplier", "SELECT date, ticker, CASE WHEN month(date) IN (6, 12) THEN simple_return + 1 ELSE simple_return END AS simple_return FROM mret"),
     "metadata": ("supplier", "SELECT * FROM meta"),
     "fundamentals": ("supplier", "SELECT * FROM fund"),
-    "cap_weights": ("bucket", "SELECT backtest_name, date, ticker, weight FROM wts"),
+    "cap_weights": ("bucket", """SELECT backtest_name, date, ticker, CASE WHEN j < cut THEN cap ELSE a * scale_at END AS weight FROM (SELECT *, min(j) FILTER (fits) OVER w AS cut, min(scale) FILTER (fits AND first_fit) OVER w AS scale_at FROM
+        (SELECT *, fits AND count(*) FILTER (fits) OVER (PARTITION BY backtest_name, date ORDER BY j ROWS UNBOUNDED PRECEDING) = 1 AS first_fit FROM (SELECT *, (1 - j * cap) / (1 - above) AS scale, a * ((1 - j * cap) / (1 - above)) <= cap + 1e-12 AS fits FROM capped)) WINDOW w AS (PARTITION BY backtest_name, date))"""),
+    "fama_macbeth_coef": ("bucket", "SELECT date, factor_name, beta FROM fmb"),
+    "fama_macbeth_weights": ("bucket", "SELECT date, factor_name, weight FROM fmw"),
+    "composite_scores": ("bucket", """SELECT date, ticker, 'ic_weighted' AS method, sum(weight * score) AS composite_score FROM plong JOIN icw USING (date, factor_name) GROUP BY 1, 2
+        UNION ALL SELECT date, ticker, 'fama_macbeth', sum(weight * score) FROM plong JOIN fmw USING (date, factor_name) GROUP BY 1, 2"""),
     "event_windows": ("bucket", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2"),
 }
 #: Digits that are compared; where values are exact quotients, six would end in ties.
-DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", "factor_metrics", *(f"factor_{f}" for f in FACTORS))}
+DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", "factor_metrics", "score_autocorr", *(f"factor_{f}" for f in FACTORS))}
 DIGITS |= {"avg_dollar_vol": 7}
 EXTRA = {
+    "cap_weights": """, capped AS (SELECT *, row_number() OVER (PARTITION BY backtest_name, date ORDER BY a DESC, ticker) - 1 AS j, coalesce(sum(a) OVER (PARTITION BY backtest_name, date ORDER BY a DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+        greatest(0.4, 1.0 / count(*) OVER (PARTITION BY backtest_name, date)) AS cap FROM (SELECT backtest_name, date, ticker, (k - top + 1) / (k * (k + 1) / 2.0) AS a FROM rkd WHERE top <= k))""",
+    **{n: fama_macbeth(sorted(PRICE + VALUE)) for n in ("fama_macbeth_coef", "fama_macbeth_weights", "composite_scores")},
     "factor_metrics": ", " + stage("_raw", "raw_score"),
     "factor_corr": ", r AS (" + " UNION ALL ".join(f"SELECT date, ticker, '{n}' AS factor_name, rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS r FROM panel" for n in PRICE + VALUE) + ")",
     "regime_labels": ", m AS (SELECT regime_id, avg(market_vol) AS v, avg(market_mom) AS o, avg(yield_slope) AS s FROM feats JOIN states USING (date) GROUP BY 1)",

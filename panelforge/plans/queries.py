@@ -104,7 +104,7 @@ plan("factor_metrics", "factor_name:string date:date stage:string metric_name:st
 plan("rebalance_schedule", "date:date")(lambda s: backtest.rebalance_schedule(s("prices")))
 plan("topk_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.topk_weights(_common(s)))
 plan("long_short_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.long_short_weights(_common(s)))
-plan("cap_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.cap_weights(backtest.topk_weights(_common(s))))
+plan("cap_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.cap_weights(backtest.rank_weights(_common(s)), 0.4))
 plan("trades", "backtest_name:string date:date ticker:string trade_type:string weight_change turnover_contribution")(lambda s: backtest.trades(_moves(s)))
 plan("backtest_results", "backtest_name:string date:date gross_return net_return portfolio_value drawdown turnover transaction_costs")(lambda s: backtest.backtest_results(_moves(s)).withColumn("portfolio_value", F.ln(F.col("portfolio_value") / 1e7)))
 plan("backtest_metrics", "backtest_name:string metric_name:string value")(lambda s: backtest.backtest_metrics(backtest.backtest_results(_moves(s))))
@@ -120,6 +120,7 @@ plan("ic_weights", "date:date factor_name:string weight")(lambda s: combine.ic_w
 plan("ic_composite", KEY + "composite_score")(lambda s: combine.composite(_panel(s), combine.ic_weights(_panel(s))))
 plan("fama_macbeth_coef", "date:date factor_name:string beta")(lambda s: combine.regressions(_panel(s)))
 plan("fama_macbeth_weights", "date:date factor_name:string weight")(lambda s: combine.fama_macbeth_weights(combine.regressions(_panel(s))))
+plan("composite_scores", KEY + "method:string composite_score")(lambda s: combine.composites(_panel(s), [combine.ICWeighted(), combine.FamaMacBeth()]))
 plan("factor_corr", "factor_a:string factor_b:string correlation")(lambda s: combine.factor_corr(_panel(s)))
 plan("regime_features", "date:date " + " ".join(regime.FEATURES))(_features)
 plan("regime_profile", "regime_id:int feature:string mean z")(lambda s: regime.regime_profile(_features(s), _states(s)))
