@@ -19,14 +19,24 @@ def ratio(a, b) -> Column:
     return F.try_divide(a, b)
 
 
-def ffill(col: str, *more: str) -> Column:
-    return F.last(col, ignorenulls=True).over(by_ticker(*more).rowsBetween(Window.unboundedPreceding, 0))
+def with_gaps(rows: DataFrame, value: str, n: int, least: int, last: DataFrame) -> DataFrame:
+    """``rows`` (ticker, i, ...) and a row for each place of the calendar without one where still ``least`` of the last
+    ``n`` places have a ``value``; what else the added rows have is null. ``last`` (last) is the calendar's last place.
+
+    A window over the last n places needs no other rows than these: where fewer have values its result is null. There
+    are at most n / least of them for each value, however long and sparse the calendar is.
+    """
+    w = Window.partitionBy("ticker").orderBy("i")
+    full = F.count(value).over(w.rangeBetween(-n + 1, 0)) >= least
+    marked = rows.select("ticker", "i", full.alias("full"), F.lead("i").over(w).alias("next")).crossJoin(F.broadcast(last))  # one row
+    end = F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("i") + n - least)
+    gaps = marked.where(F.col("full") & (end > F.col("i"))).select("ticker", F.explode(F.sequence(F.col("i") + 1, end)).alias("i"))
+    return rows.unionByName(gaps, allowMissingColumns=True)
 
 
-def rolling(expr, count_of, n: int, least: int, *more: str) -> Column:
-    """An aggregate over the last ``n`` rows of a ticker; null with under ``least`` values."""
-    w = by_ticker(*more).rowsBetween(-n + 1, 0)
-    return F.when(F.count(count_of).over(w) >= least, expr.over(w))
+def recent(n: int):
+    """The window of a ticker's last ``n`` places of the calendar, by the places' numbers ``i``."""
+    return Window.partitionBy("ticker").orderBy("i").rangeBetween(-n + 1, 0)
 
 
 def asof_fill(target: DataFrame, source: DataFrame, cols: list[str], key: str = "ticker") -> DataFrame:

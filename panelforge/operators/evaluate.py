@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import by_ticker, ratio, spearman, union
-from .returns import dense_grid
+from ..functions.stats import ratio, spearman, union
+from .returns import calendar
 
 KEYS = ["factor_name", "date"]
 
 
 def forward_returns(returns: DataFrame) -> DataFrame:
-    """``date, ticker, fwd``: the return of the next date of the panel."""
-    return dense_grid(returns, ("simple_return",)).select("date", "ticker", F.lead("simple_return").over(by_ticker()).alias("fwd"))
+    """``date, ticker, fwd``: returns, put on the panel's date before."""
+    dates = calendar(returns)
+    then = returns.join(dates, "date").select("ticker", (F.col("i") - 1).alias("i"), F.col("simple_return").alias("fwd"))
+    return then.join(dates, "i").select("date", "ticker", "fwd")
 
 
 def paired(scores: DataFrame, returns: DataFrame, score: str = "final_score") -> DataFrame:
-    return scores.select("factor_name", "date", "ticker", F.col(score).alias("score")).join(forward_returns(returns), ["date", "ticker"])
+    """``factor_name, date, ticker, score, fwd`` of the dates and tickers that have returns; fwd may be null."""
+    rows = scores.select("factor_name", "date", "ticker", F.col(score).alias("score"))
+    for key in ("date", "ticker"):
+        rows = rows.join(returns.select(key).distinct(), key, "left_semi")
+    return rows.join(forward_returns(returns), ["date", "ticker"], "left")
 
 
 def ic_series(scores: DataFrame, returns: DataFrame, score: str = "final_score", least: int = 3) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import asof_fill, by_ticker, ffill, ratio, rolling
-from .returns import dense_grid
+from ..functions.stats import asof_fill, by_ticker, ratio, recent, with_gaps
+from .returns import calendar, changes
 
 YEAR = 252
 PRICE = ["PriceMomentum", "ThreeMonthMomentum", "OneMonthReversal"]
@@ -26,8 +26,9 @@ def price_factors(months: DataFrame, long: int = 12, short: int = 3) -> DataFram
 
 def change_on_union(rows: DataFrame, value: str) -> DataFrame:
     """``date, ticker, value`` less the ticker's value on the previous of all dates in ``rows``."""
-    grid = dense_grid(rows, (value,))
-    return grid.select("date", "ticker", (F.col(value) - F.lag(value).over(by_ticker())).alias(value))
+    rows = rows.select("date", "ticker", value).join(calendar(rows), "date")
+    before = F.when(F.lag("i").over(by_ticker()) == F.col("i") - 1, F.lag(value).over(by_ticker()))
+    return rows.select("date", "ticker", (F.col(value) - before).alias(value))
 
 
 def value_factors(months: DataFrame, statements: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def exposures(prices: DataFrame, market: DataFrame, macro: DataFrame) -> DataFra
     rows = rows.withColumns({"s": curve, "h": F.col("BAMLH0A0HYM2")}).join(then, "i", "left").withColumn("mom", F.col("NAPM") - F.col("was"))
     rows = rows.select("date", *[(F.col(c) - F.lag(c).over(w)).alias(n) for c, n in (("s", "slope"), ("h", "spread"), ("mom", "pmi"))])
     own = market.select("date", (F.col("mkt_rf") + F.col("rf")).alias("m0"))
-    mean = prices.select("date", "ticker", "adj_close").transform(lambda p: dense_grid(p, ("adj_close",))).withColumn("r", ratio(F.col("adj_close"), F.lag("adj_close").over(by_ticker())) - 1).groupBy("date").agg(F.avg("r").alias("mean"))
+    mean = changes(prices, calendar(prices)).groupBy("date").agg(F.avg(F.col("change") - 1).alias("mean"))
     there = market.agg((F.count("mkt_rf") > 0).alias("there"))
     rows = rows.join(own, "date", "left").join(mean, "date", "left").crossJoin(F.broadcast(there))
     return rows.select("date", F.last(F.when(F.col("there"), F.col("m0")).otherwise(F.col("mean")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("m"), "slope", "spread", "pmi")
@@ -79,15 +80,21 @@ def risk_factors(prices: DataFrame, exposed: DataFrame) -> DataFrame:
 
     Covariances take the days on which both sides are known, variances all days of the other side.
     """
-    rows = dense_grid(prices, ("adj_close",)).withColumn("r", ratio(F.col("adj_close"), F.lag("adj_close").over(by_ticker())) - 1)
-    rows = rows.join(F.broadcast(exposed), "date")  # one row for each date
-    w = by_ticker().rowsBetween(-YEAR + 1, 0)
+    dates, sides = calendar(prices), ("m", "slope", "spread", "pmi")
+    span = Window.orderBy("i").rowsBetween(-YEAR + 1, 0)  # one row for each date
+    market = exposed.join(dates, "date").withColumns({f"var_{x}": F.var_samp(x).over(span) for x in sides})
+    rows = changes(prices, dates).select("ticker", "i", (F.col("change") - 1).alias("r"))
+    ends = dates.groupBy(F.last_day("date").alias("date")).agg(F.max("i").alias("i"))
+    asked = ends.crossJoin(prices.select("ticker").distinct()).withColumn("asked", F.lit(True))  # the result's rows
+    rows = with_gaps(rows, "r", YEAR, YEAR // 2, dates.agg(F.max("i").alias("last"))).unionByName(asked, allowMissingColumns=True)
+    rows = rows.join(F.broadcast(market.drop("date")), "i")  # one row for each date
+    w = recent(YEAR)
+    vol = F.when(F.count("r").over(w) >= YEAR // 2, F.stddev_samp("r").over(w))
     both = lambda x: F.covar_samp(F.when(F.col(x).isNotNull(), F.col("r")), F.when(F.col("r").isNotNull(), F.col(x))).over(w)
-    beta = lambda x: ratio(both(x), F.nullif(F.var_samp(x).over(w), F.lit(0.0)))
-    rows = rows.withColumns({"vol": rolling(F.stddev_samp("r"), "r", YEAR, YEAR // 2), "var": F.var_samp("r").over(w), "var_m": F.var_samp("m").over(w), **{f"b_{x}": beta(x) for x in ("m", "slope", "spread", "pmi")}})
-    rows = rows.withColumn("vol", ffill("vol"))
-    names = ["vol", "var", "var_m", "b_m", "b_slope", "b_spread", "b_pmi"]
-    last = rows.groupBy(F.last_day("date").alias("date"), "ticker").agg(*[F.max_by(c, F.col("date")).alias(c) for c in names])
+    beta = lambda x: ratio(both(x), F.nullif(F.col(f"var_{x}"), F.lit(0.0)))
+    rows = rows.withColumns({"vol": vol, "var": F.var_samp("r").over(w), **{f"b_{x}": beta(x) for x in sides}})
+    known = Window.partitionBy("ticker").orderBy("i").rangeBetween(Window.unboundedPreceding, 0)
+    last = rows.withColumn("vol", F.last("vol", ignorenulls=True).over(known)).where("asked")
     idio = -F.sqrt(F.greatest(F.lit(0.0), F.col("var") - F.col("b_m") * F.col("b_m") * F.col("var_m")))
     return last.select("date", "ticker", (-F.col("vol")).alias("LowVolatility"), F.col("b_m").alias("MarketBeta"), F.when(F.col("b_m").isNotNull() & F.col("var").isNotNull(), idio).alias("IdiosyncraticVolatility"), F.col("b_slope").alias("YieldCurveSlopeBeta"), F.col("b_spread").alias("CreditSpreadBeta"), F.col("b_pmi").alias("PMIMomentumBeta"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import asof_fill, by_ticker, corr, ffill, kurt, pooled_quantiles, ratio, rolling, skew
+from ..functions.stats import asof_fill, by_ticker, corr, kurt, pooled_quantiles, ratio, recent, skew, with_gaps
 from ..sources.scratch import Scratch
 
 
@@ -29,14 +29,19 @@ def calendar(prices: DataFrame) -> DataFrame:
     return prices.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")))  # one row for each date
 
 
-def daily_returns(prices: DataFrame) -> DataFrame:
-    """``date, ticker, log_return, simple_return`` against the previous calendar row.
+def changes(prices: DataFrame, dates: DataFrame) -> DataFrame:
+    """``date, ticker, i, adj_close, change``: the price over that of the calendar's date before; null where either is absent.
 
-    A return needs both prices, so the rows there are suffice: the one before counts if its date is the one before.
+    The rows there are suffice: the one before counts if its date is the one before.
     """
-    rows = prices.select("date", "ticker", "adj_close").join(calendar(prices), "date")
+    rows = prices.select("date", "ticker", "adj_close").join(dates, "date")
     before = F.when(F.lag("i").over(by_ticker()) == F.col("i") - 1, F.lag("adj_close").over(by_ticker()))
-    rows = rows.withColumn("change", ratio(F.col("adj_close"), before)).where("change is not null")
+    return rows.withColumn("change", ratio(F.col("adj_close"), before))
+
+
+def daily_returns(prices: DataFrame) -> DataFrame:
+    """``date, ticker, log_return, simple_return`` against the previous calendar row; a return needs both prices."""
+    rows = changes(prices, calendar(prices)).where("change is not null")
     return rows.select("date", "ticker", F.when(F.col("change") > 0, F.ln("change")).alias("log_return"), (F.col("change") - 1).alias("simple_return"))
 
 
@@ -74,15 +79,24 @@ def validate_index(returns: DataFrame, index: str = "^GSPC", least: float = 0.3)
     return day.groupBy(F.col("pick").alias("index_ticker")).agg(corr("mean", "own").alias("correlation")).withColumn("valid", F.coalesce(F.col("correlation") >= least, F.lit(False)))
 
 
-def universe_membership(prices: DataFrame, min_cap_bn: float = 0.0, percentile: float = 50.0, ipo_months: float = 12, lookback: int = 60) -> DataFrame:
+def universe_membership(prices: DataFrame, min_cap_bn: float = 0.0, percentile: float = 50.0, ipo_months: float = 12, lookback: int = 60, listed: DataFrame | None = None) -> DataFrame:
     """``date, ticker, in_universe, market_cap_proxy, avg_dollar_vol, days_since_first_price`` of priced rows.
 
-    The threshold is the percentile over all average dollar volumes of the date, unpriced tickers included.
+    The threshold is the percentile over all average dollar volumes of the date, unpriced tickers included. ``listed``
+    (ticker, first) tells of first prices that ``prices`` doesn't reach back to.
     """
-    rows = dense_grid(prices).withColumn("dv", F.col("adj_close") * F.col("volume"))
-    rows = rows.withColumns({"adv": rolling(F.avg("dv"), "dv", lookback, lookback // 2), "first": F.min(F.when(F.col("adj_close").isNotNull(), F.col("date"))).over(Window.partitionBy("ticker"))})
-    bar = rows.groupBy("date").agg(F.percentile("adv", percentile / 100).alias("bar"))
-    rows = rows.join(bar, "date").where("adj_close is not null")
+    dates = calendar(prices)
+    rows = prices.join(dates, "date").select("ticker", "i", "date", "adj_close", (F.col("adj_close") * F.col("volume")).alias("dv"))
+    first = F.min(F.when(F.col("adj_close").isNotNull(), F.col("date"))).over(Window.partitionBy("ticker"))
+    rows = rows.withColumn("first", first)
+    if listed is not None:
+        known = listed.select("ticker", F.col("first").alias("known"))
+        rows = rows.join(known, "ticker", "left").withColumn("first", F.least("first", "known")).drop("known")
+    least, w = lookback // 2, recent(lookback)
+    rows = with_gaps(rows, "dv", lookback, least, dates.agg(F.max("i").alias("last")))
+    rows = rows.withColumn("adv", F.when(F.count("dv").over(w) >= least, F.avg("dv").over(w)))
+    bar = rows.groupBy("i").agg(F.percentile("adv", percentile / 100).alias("bar"))
+    rows = rows.where("adj_close is not null").join(bar, "i", "left")
     days, cap = F.datediff("date", "first"), F.col("adv") / 1e9
     inside = (cap >= min_cap_bn) & (F.col("adv") >= F.col("bar")) & (days >= ipo_months * 30.44)
     return rows.select("date", "ticker", F.coalesce(inside, F.lit(False)).alias("in_universe"), cap.alias("market_cap_proxy"), F.col("adv").alias("avg_dollar_vol"), days.alias("days_since_first_price"))

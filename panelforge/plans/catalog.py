@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import combine, factors, returns
+from ..sources import ranges
 from ..sources.starschema import Star
 from .panels import Catalog
 
@@ -19,6 +20,7 @@ def standard() -> Catalog:
     c.panel("months", ["prices"], returns.month_ends, stored=True)
     c.panel("returns", ["months"], returns.returns_of_months, stored=True)
     c.panel("exposures", ["prices", "market", "macro"], factors.exposures)
+    c.folder("history", ["prices", "macro"], ranges.build)
     c.family("price factors", ["months"], factors.price_factors, factors.PRICE)
     c.family("value factors", ["months", "fundamentals", "metadata"], factors.value_factors, factors.VALUE)
     c.family("risk factors", ["prices", "exposures"], factors.risk_factors, factors.RISK)

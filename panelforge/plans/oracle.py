@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from statistics import NormalDist
 
 from ..operators.factors import EVENT, FACTORS, PRICE, RISK, VALUE
@@ -246,8 +247,13 @@ SELECTS = {
         UNION ALL SELECT date, ticker, 'fama_macbeth', sum(weight * score) FROM plong JOIN fmw USING (date, factor_name) GROUP BY 1, 2"""),
     "event_windows": ("bucket", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2"),
 }
+#: First and last date of the queries over a range: each equals the whole result between them.
+BETWEEN = (date(1996, 5, 17), date(1997, 9, 30))
+RANGES = {"daily_returns_range": "dret", "monthly_returns_range": "mret", "universe_range": "member", "momentum_range": "f_price"}
+SELECTS |= {n: ("bucket", f"SELECT * FROM {t} WHERE date BETWEEN '{BETWEEN[0]}' AND '{BETWEEN[1]}'") for n, t in RANGES.items()}
+SELECTS["macro_filled_range"] = ("bucket", f"SELECT * FROM ({SELECTS['macro_filled'][1]}) WHERE date BETWEEN '{BETWEEN[0]}' AND '{BETWEEN[1]}'")
 #: Digits that are compared; where values are exact quotients, six would end in ties.
-DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", "factor_metrics", "score_autocorr", *(f"factor_{f}" for f in FACTORS))}
+DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "macro_filled_range", "momentum_range", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", "factor_metrics", "score_autocorr", *(f"factor_{f}" for f in FACTORS))}
 DIGITS |= {"avg_dollar_vol": 7}
 EXTRA = {
     "cap_weights": """, capped AS (SELECT *, row_number() OVER (PARTITION BY backtest_name, date ORDER BY a DESC, ticker) - 1 AS j, coalesce(sum(a) OVER (PARTITION BY backtest_name, date ORDER BY a DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,

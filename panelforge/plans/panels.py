@@ -25,13 +25,17 @@ from ..sources.starschema import Star
 
 @dataclass(frozen=True)
 class Node:
-    """A panel: ``make`` takes the panels it ``needs`` (a source takes the folder's tables); ``stored`` ones are written."""
+    """A panel: ``make`` takes the panels it ``needs`` (a source takes the folder's tables); ``stored`` ones are written.
+
+    A ``folder`` is made by ``make(spark, path, panels)``, which writes what it likes below the path.
+    """
 
     name: str
     needs: tuple[str, ...]
     make: Callable[..., DataFrame]
     stored: bool = False
     source: bool = False
+    folder: bool = False
 
 
 class Factor(ABC):
@@ -71,6 +75,9 @@ class Catalog:
     def panel(self, name: str, needs: list[str], make: Callable[..., DataFrame], stored: bool = False) -> None:
         self.add(Node(name, tuple(needs), make, stored))
 
+    def folder(self, name: str, needs: list[str], make: Callable[..., None]) -> None:
+        self.add(Node(name, tuple(needs), make, stored=True, folder=True))
+
     def family(self, name: str, needs: list[str], make: Callable[..., DataFrame], names: list[str]) -> None:
         """A panel with a column for each of the factors ``names``."""
         self.panel(name, needs, make)
@@ -106,23 +113,30 @@ class Panels:
 
     def __init__(self, catalog: Catalog, star: Star):
         self.catalog, self.star = catalog, star
-        self.tables: dict[str, DataFrame] = {}
+        self.tables: dict[str, DataFrame | str] = {}
         self.readers: Counter = Counter()
         self.lock, self.scratch = threading.RLock(), Scratch(star.spark)
 
     def lease(self) -> Lease:
         return Lease(self)
 
-    def _get(self, name: str, held: set[str]) -> DataFrame:
+    def _get(self, name: str, held: set[str]) -> DataFrame | str:
         node = self.catalog.node(name)
         if node.stored and name in self.tables:
             self._hold(name, held)
             return self.tables[name]
-        rows = node.make(self.star) if node.source else node.make(*[self._get(n, held) for n in node.needs])
-        if node.stored:
-            rows = self.tables[name] = self.scratch.write(rows, name.split(" ")[0])
-            self._hold(name, held)
-        return rows
+        needs = [self._get(n, held) for n in node.needs]
+        if node.folder:
+            path = self.scratch.folder(name.split(" ")[0])
+            node.make(self.star.spark, path, *needs)
+            self.tables[name] = path
+        else:
+            rows = node.make(self.star) if node.source else node.make(*needs)
+            if not node.stored:
+                return rows
+            self.tables[name] = self.scratch.write(rows, name.split(" ")[0])
+        self._hold(name, held)
+        return self.tables[name]
 
     def _hold(self, name: str, held: set[str]) -> None:
         if name not in held:
@@ -140,12 +154,12 @@ class Panels:
 
 
 class Lease:
-    """What one result reads: call it with a panel's name; ``release`` ends it."""
+    """What one result reads: call it with a panel's name (a folder's gives its path); ``release`` ends it."""
 
     def __init__(self, panels: Panels):
         self.panels, self.held, self.seen = panels, set(), {}
 
-    def __call__(self, name: str) -> DataFrame:
+    def __call__(self, name: str) -> DataFrame | str:
         with self.panels.lock:
             if name not in self.seen:
                 self.seen[name] = self.panels._get(name, self.held)

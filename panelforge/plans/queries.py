@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.stats import rounded
 from ..operators import backtest, combine, evaluate, factors, regime, report, returns, shap
 from ..sources import io
+from ..sources.ledger import Ledger
+from ..sources.ranges import SPECS, Range
 from . import oracle
 from .catalog import BASIC, standard
 from .panels import leased, opened
@@ -135,6 +137,17 @@ plan("metadata", "ticker:string sector:string industry:string shares_outstanding
 plan("fundamentals", KEY + " ".join(factors.STATEMENT))(lambda s: s("fundamentals"))
 
 
+def _between(s):
+    return Range(Ledger(s.panels.star.spark, s("history"), SPECS), *oracle.BETWEEN)
+
+
+plan("daily_returns_range", KEY + "log_return simple_return")(lambda s: _between(s).daily_returns())
+plan("monthly_returns_range", KEY + "log_return simple_return")(lambda s: _between(s).monthly_returns())
+plan("universe_range", KEY + "in_universe:boolean market_cap_proxy avg_dollar_vol days_since_first_price:int")(lambda s: _between(s).universe_membership())
+plan("momentum_range", KEY + " ".join(factors.PRICE))(lambda s: _between(s).price_factors())
+plan("macro_filled_range", "date:date series_name:string value")(lambda s: _between(s).macro_filled())
+
+
 @plan("upsert_merge", KEY + "simple_return")
 def _upsert(s):
     rows = _mret(s).select("date", "ticker", "simple_return")

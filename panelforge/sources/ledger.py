@@ -160,6 +160,11 @@ class Ledger:
             rows = rows.where((F.col("part") <= f"{end:%Y-%m}") & (F.to_date(by) <= F.lit(end)))
         return rows.drop("part")
 
+    def read_parts(self, table: str, parts: list[str]) -> DataFrame:
+        """The rows of some months."""
+        now = self.parts(table)
+        return self._read(table, {p: now[p] for p in parts}).drop("part")
+
     def vacuum(self) -> int:
         """Deletes parts that the newest commit doesn't name; how many. Not while others write or read old commits."""
         used = {f for parts in self.head()[1]["tables"].values() for f in parts.values()}

@@ -44,7 +44,13 @@ class Scratch:
         self.paths[path] = table
         return table
 
-    def drop(self, *keep: DataFrame) -> None:
+    def folder(self, name: str) -> str:
+        """A path of its own, to be written to; ``drop`` deletes it too."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths[path] = path
+        return path
+
+    def drop(self, *keep: DataFrame | str) -> None:
         """Delete all tables but those in ``keep``: what a result still reads when it runs."""
         for path in [p for p, t in self.paths.items() if not any(t is k for k in keep)]:
             del self.paths[path]
