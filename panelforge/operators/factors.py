@@ -168,19 +168,23 @@ def neutralize(rows: DataFrame, value: str = "z_score", keys=KEYS, size: bool =
 
 
 def sized(scores: DataFrame, months: DataFrame, metadata: DataFrame) -> DataFrame:
-    """``scores`` with ``size`` (price times shares, else 1) and ``sector``."""
+    """``scores`` with ``size`` (price times shares, else the column market_cap_proxy in billions, if there is one, else 1)
+    and ``sector``."""
     rows = scores.join(months.select("date", "ticker", "px"), ["date", "ticker"], "left").join(metadata.select("ticker", "sector", "shares_outstanding"), "ticker", "left")
-    return rows.withColumn("size", F.coalesce(F.col("px") * F.col("shares_outstanding"), F.lit(1.0))).drop("px", "shares_outstanding")
+    proxy = [F.col("market_cap_proxy") * 1e9] if "market_cap_proxy" in scores.columns else []
+    return rows.withColumn("size", F.coalesce(F.col("px") * F.col("shares_outstanding"), *proxy, F.lit(1.0))).drop("px", "shares_outstanding")
 
 
 def factor_scores(raw: DataFrame, months: DataFrame, metadata: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """``date, ticker, factor_name, raw_score, winsorized_score, z_score, final_score`` of :func:`raw_scores`.
 
-    ``active`` (date, ticker, in_universe) limits the cross-sections; a cross-section without a score is left out.
+    ``active`` (date, ticker, in_universe, perhaps market_cap_proxy) limits the cross-sections to its members, and its proxy
+    stands in for an unknown size; a cross-section without a score is left out.
     """
     rows = raw
     if active is not None:
-        rows = rows.join(active.where("in_universe").select("date", "ticker"), ["date", "ticker"])
+        proxy = [c for c in active.columns if c == "market_cap_proxy"]
+        rows = rows.join(active.where("in_universe").select("date", "ticker", *proxy), ["date", "ticker"])
     rows = rows.withColumn("_n", F.count("raw_score").over(Window.partitionBy(*KEYS))).where("_n > 0").drop("_n")
     rows = neutralize(zscore(winsorize(sized(rows, months, metadata))))
     out = ["raw_score", "winsorized_score", "z_score", "final_score"]

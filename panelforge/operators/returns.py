@@ -115,10 +115,13 @@ def asof_membership(dates: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def panel(returns: DataFrame, value: str = "simple_return") -> DataFrame:
-    """Dense ``date, ticker, value``; raises ValueError for an unknown column."""
-    if value not in returns.columns:
-        raise ValueError(f"no column {value}")
-    return dense_grid(returns, (value,)).withColumnRenamed(value, "value")
+    """Dense ``date, ticker, value``; raises ValueError for an absent column, and fails when it runs if a cell has two rows."""
+    absent = {"date", "ticker", value} - set(returns.columns)
+    if absent:
+        raise ValueError(f"no column {', '.join(sorted(absent))}")
+    twice = F.raise_error(F.concat(F.lit("two rows of "), F.col("ticker"), F.lit(" on "), F.col("date").cast("string")))
+    rows = returns.groupBy("date", "ticker").agg(F.when(F.count("*") == 1, F.max(value)).otherwise(twice).alias("value"))
+    return dense_grid(rows, ("value",))
 
 
 def fill_gaps(rows: DataFrame, method: str = "none", most: int = 5) -> DataFrame:

@@ -207,6 +207,8 @@ SELECTS = {
     "rebalance_schedule": ("bucket", "SELECT max(date) AS date FROM px GROUP BY date_trunc('month', date)"),
     "topk_weights": ("bucket", "SELECT * FROM wts"),
     "long_short_weights": ("bucket", "SELECT backtest_name, date, ticker, CASE WHEN l THEN 0.5 / nullif(count(*) FILTER (l) OVER w, 0) ELSE -0.5 / nullif(count(*) FILTER (s) OVER w, 0) END AS weight FROM (SELECT *, top <= k AND low > k AS l, low <= k AND top > k AS s FROM rkd) WHERE l OR s WINDOW w AS (PARTITION BY backtest_name, date)"),
+    "active_scores": ("bucket", """SELECT factor_name AS backtest_name, date, ticker, final_score AS score FROM scores LEFT JOIN (SELECT date, ticker, in_universe FROM amem WHERE in_universe IS NOT NULL) USING (date, ticker)
+        WHERE in_universe OR date NOT IN (SELECT date FROM amem WHERE in_universe IS NOT NULL)"""),
     "trades": ("bucket", "SELECT backtest_name, date, ticker, CASE WHEN c > 0 THEN 'buy' ELSE 'sell' END AS trade_type, c AS weight_change, abs(c) AS turnover_contribution FROM (SELECT *, round(target - drifted, 9) AS c FROM mv) WHERE c <> 0 AND i > first"),
     "backtest_results": ("bucket", "SELECT * REPLACE (ln(portfolio_value / 1e7) AS portfolio_value) FROM results"),
     "monthly_grid": ("bucket", "SELECT backtest_name, year(date)::INTEGER AS year, " + ", ".join(f"coalesce(product(1 + net_return) FILTER (month(date) = {m}) - 1, 0) AS m{m:02}" for m in range(1, 13)) + ", product(1 + net_return) - 1 AS total FROM results GROUP BY 1, 2"),
@@ -256,6 +258,7 @@ SELECTS["macro_filled_range"] = ("bucket", f"SELECT * FROM ({SELECTS['macro_fill
 DIGITS = {n: 9 for n in ("dense_grid", "macro_unpivot", "macro_filled", "macro_filled_range", "momentum_range", "winsorize", "zscore", "neutralize", "factor_scores_long", "feature_panel", "factor_metrics", "score_autocorr", *(f"factor_{f}" for f in FACTORS))}
 DIGITS |= {"avg_dollar_vol": 7}
 EXTRA = {
+    "active_scores": f", amem AS ({asof('(SELECT DISTINCT date, ticker FROM scores)', 'member', ['in_universe'])})",
     "cap_weights": """, capped AS (SELECT *, row_number() OVER (PARTITION BY backtest_name, date ORDER BY a DESC, ticker) - 1 AS j, coalesce(sum(a) OVER (PARTITION BY backtest_name, date ORDER BY a DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
         greatest(0.4, 1.0 / count(*) OVER (PARTITION BY backtest_name, date)) AS cap FROM (SELECT backtest_name, date, ticker, (k - top + 1) / (k * (k + 1) / 2.0) AS a FROM rkd WHERE top <= k))""",
     **{n: fama_macbeth(sorted(PRICE + VALUE)) for n in ("fama_macbeth_coef", "fama_macbeth_weights", "composite_scores")},

@@ -107,6 +107,7 @@ plan("rebalance_schedule", "date:date")(lambda s: backtest.rebalance_schedule(s(
 plan("topk_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.topk_weights(_common(s)))
 plan("long_short_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.long_short_weights(_common(s)))
 plan("cap_weights", "backtest_name:string date:date ticker:string weight")(lambda s: backtest.cap_weights(backtest.rank_weights(_common(s)), 0.4))
+plan("active_scores", "backtest_name:string date:date ticker:string score")(lambda s: backtest.active_scores(_bt(s), returns.asof_membership(_bt(s).select("date", "ticker").distinct(), _member(s))))
 plan("trades", "backtest_name:string date:date ticker:string trade_type:string weight_change turnover_contribution")(lambda s: backtest.trades(_moves(s)))
 plan("backtest_results", "backtest_name:string date:date gross_return net_return portfolio_value drawdown turnover transaction_costs")(lambda s: backtest.backtest_results(_moves(s)).withColumn("portfolio_value", F.ln(F.col("portfolio_value") / 1e7)))
 plan("backtest_metrics", "backtest_name:string metric_name:string value")(lambda s: backtest.backtest_metrics(backtest.backtest_results(_moves(s))))

@@ -31,6 +31,13 @@ def normalize_prices(raw: DataFrame) -> DataFrame:
     return latest(rows, ["date", "ticker"], "volume")
 
 
+def ticker_info(raw: DataFrame) -> DataFrame:
+    """``ticker, sector, industry, shares_outstanding`` of vendor columns; where the shares are absent or 0, the implied ones."""
+    known = {c: F.col(c) if c in raw.columns else F.lit(None) for c in ("sector", "industry", "sharesOutstanding", "impliedSharesOutstanding")}
+    shares = F.coalesce(F.nullif(known["sharesOutstanding"].cast("double"), F.lit(0.0)), known["impliedSharesOutstanding"].cast("double"))
+    return raw.select("ticker", *[known[c].cast("string").alias(c) for c in ("sector", "industry")], shares.alias("shares_outstanding"))
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each key: the last by ``order``."""
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order))
