@@ -93,10 +93,10 @@ def part_keys(tokens: np.ndarray, edges: list[int], percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """The set's bitmap: a bit for each shingle, of DENSITY bits for a shingle, rounded up to a power of two."""
+def signature(tokens: np.ndarray, density: int = DENSITY) -> np.ndarray:
+    """The set's bitmap: a bit for each shingle, of ``density`` bits for a shingle, rounded up to a power of two."""
     bits = 64
-    while bits < min(MOST_BITS, DENSITY * len(tokens)):
+    while bits < min(MOST_BITS, density * len(tokens)):
         bits *= 2
     row = np.zeros(bits, np.uint8)
     row[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1

@@ -1,0 +1,42 @@
+"""The near-duplicate stage on pages made from templates: frequent shingles everywhere, hardly any similar pair."""
+
+import random
+
+import pytest
+
+from panelforge.llm import similar
+
+
+def pages(n, rng, slots=40, wordings=4, words=30):
+    """Pages that fill each slot with one of a few wordings; some are copies with one slot changed."""
+    parts = [[" ".join(f"s{s}w{w}x{rng.randrange(9)}y{i}" for i in range(words)) for w in range(wordings)] for s in range(slots)]
+    choices = []
+    for i in range(n):
+        own = [rng.randrange(wordings) for _ in range(slots)]
+        if i % 50 == 49:
+            own = list(choices[rng.randrange(i)])
+            at = rng.randrange(slots)
+            own[at] = (own[at] + 1) % wordings
+        choices.append(own)
+    return [(i, " ".join(parts[s][w] for s, w in enumerate(own))) for i, own in enumerate(choices)], choices
+
+
+@pytest.mark.parametrize("n", [400])
+def test_template_pages(spark, monkeypatch, n):
+    rows, choices = pages(n, random.Random(3))
+    counted, verify = [], similar.verified
+
+    def counting(pairs, *rest):
+        counted.append(pairs.distinct().count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(similar, "verified", counting)
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    root = list(range(n))  # pages with one slot changed are similar, with two or three too, others far from it
+    for i in range(n):
+        for j in range(i):
+            if sum(a != b for a, b in zip(choices[i], choices[j])) <= 3 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(i for i in range(n) if root[i] == r) for r in set(root)}
+    assert got == {i: least[root[i]] for i in range(n)}
+    assert sum(counted[1:]) < 60 * n  # rounds in proportion, trees next to none
