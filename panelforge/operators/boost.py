@@ -64,14 +64,22 @@ def predict(trees: list[tuple], x: np.ndarray) -> np.ndarray:
     return sum((values(t, x) for t in trees), np.zeros(len(x)))
 
 
+def sampled(rows: DataFrame, n: F.Column, most: int) -> DataFrame:
+    """About ``most`` of ``n`` rows, those of least hash of date and ticker; all, if there are no more."""
+    share = F.pmod(F.xxhash64("date", "ticker"), F.lit(1 << 40)) / (1 << 40)
+    return rows.where(share * n < most)
+
+
 def walk(panel: DataFrame, blocks: list[tuple], names: list[str], c) -> DataFrame:
-    """``date, ticker, composite_score``: each block (first date, last date, end of training) by its own model.
+    """``date, ticker, composite_score``: each block (first date, last date, end of training, rows of training) by its own
+    model.
 
-    A window's rows go to one task, the windows side by side; the caller bounds them.
+    A window's rows, ``most_rows`` of them, go to one task with the dates it scores, the windows side by side. So what
+    is moved grows with the number of windows, and no further with the panel once windows are longer than that.
     """
-    spans = panel.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(blocks)], "block int, first date, last date, end date")
+    spans = panel.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(blocks)], "block int, first date, last date, end date, n long")
     spans = F.broadcast(spans)  # one row for each evaluation date
-    train = panel.join(spans, F.col("date") <= F.col("end")).select("block", "date", "ticker", "fwd", *names)
+    train = sampled(panel.join(spans, F.col("date") <= F.col("end")), F.col("n"), c.most_rows).select("block", "date", "ticker", "fwd", *names)
     test = panel.join(spans, F.col("date").between(F.col("first"), F.col("last"))).select("block", "date", "ticker", *names)
 
     def scored(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

@@ -7,7 +7,6 @@ import hashlib
 import json
 import uuid
 from abc import ABC, abstractmethod
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import corr, pooled_ranks, ratio, spearman, union
 from ..sources.scratch import Scratch
-from . import boost, shap
+from . import boost
 from .evaluate import forward_returns
 
-#: Boosted models fitted at a time by Spark's trees, and rows of a training window up to which one task fits a model.
-FITS, TASK_ROWS = 8, 1_000_000
-
-
 def feature_panel(scores: DataFrame, returns: DataFrame, names: list[str], score: str = "final_score") -> DataFrame:
     """``date, ticker, fwd`` and a column for each factor in sorted order.
 
@@ -120,13 +115,15 @@ def factor_corr(panel: DataFrame) -> DataFrame:
     ranks = pooled_ranks(long_panel(panel).drop("fwd"), "score", ["factor_name"], Scratch(panel.sparkSession))
     rows = ranks.groupBy("date", "ticker").pivot("factor_name", names).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = rows.agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    row = rows.agg(F.count("*").alias("n"), *[corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).where("n > 0")
     tall = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "correlation")
     return tall.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("factor_a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("factor_b"), "correlation")
 
 
 @dataclass(frozen=True)
 class TreeConfig:
+    """``most_rows`` bounds what a model learns from: of a longer training window, as good a share of the rows, by hash."""
+
     trees: int = 200
     depth: int = 4
     step: float = 0.05
@@ -135,29 +132,19 @@ class TreeConfig:
     purge_months: int = 1
     stride: int = 1
     seed: int = 42
-
-
-def boosted_fit(train: DataFrame, names: list[str], c: TreeConfig):
-    """A boosted-tree model of forward returns, with the features assembled in sorted order."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    gbt = GBTRegressor(featuresCol="features", labelCol="fwd", predictionCol="composite_score", maxIter=c.trees, maxDepth=c.depth, stepSize=c.step, subsamplingRate=c.subsample, featureSubsetStrategy=str(c.subsample), seed=c.seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(train)
+    most_rows: int = 500_000
 
 
 def boosted_trees(panel: DataFrame, names: list[str], c: TreeConfig = TreeConfig()) -> list[tuple]:
-    """One model of the whole panel, as nested tuples (see boost.grow); fitted as boosted_walk's are."""
-    if panel.count() > TASK_ROWS:
-        return shap.trees_of(boosted_fit(panel, names, c).stages[-1])
+    """One model of the whole panel, as nested tuples (see boost.grow), fitted by one task on TreeConfig.most_rows rows."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["date", "ticker"])
         trees = boost.fit(pdf[names].to_numpy(float), pdf["fwd"].to_numpy(float), c)
         return pd.DataFrame({"tree": [json.dumps(t) for t in trees]})
 
-    rows = panel.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "tree string").collect()  # a row for each tree
+    rows = boost.sampled(panel, F.lit(panel.count()), c.most_rows)
+    rows = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "tree string").collect()  # a row for each tree
     tuples = lambda t: tuple(tuples(x) if isinstance(x, list) else x for x in t)
     return [tuples(json.loads(r.tree)) for r in rows]
 
@@ -165,33 +152,22 @@ def boosted_trees(panel: DataFrame, names: list[str], c: TreeConfig = TreeConfig
 def boosted_walk(panel: DataFrame, c: TreeConfig = TreeConfig()) -> DataFrame:
     """``date, ticker, composite_score`` by models refitted every ``stride`` dates on all dates before the purge.
 
-    A date with too few dates before its purge has no scores; the next one that has enough is fitted. Up to TASK_ROWS
-    rows of panel, each window is fitted by one task (see boost.walk); larger ones by Spark's own trees, in a loop over
-    evaluation dates, FITS at a time.
+    A date with too few dates before its purge has no scores; the next one that has enough is fitted. Each window is
+    fitted by one task, the windows side by side, on TreeConfig.most_rows of its rows (see boost.walk).
     """
     names = sorted(x for x in panel.columns if x not in ("date", "ticker", "fwd"))
-    ends = panel.select("date", F.add_months("date", -c.purge_months).alias("end")).distinct().orderBy("date").collect()
+    ends = panel.groupBy("date").agg(F.count("*").alias("n")).select("date", "n", F.add_months("date", -c.purge_months).alias("end")).orderBy("date").collect()  # a row a date
     dates, blocks, i = [r.date for r in ends], [], c.least_dates
     while i < len(dates):
-        if bisect.bisect_right(dates, ends[i].end) < c.least_dates:
+        known = bisect.bisect_right(dates, ends[i].end)
+        if known < c.least_dates:
             i += 1
             continue
-        blocks.append((dates[i], dates[min(i + c.stride, len(dates)) - 1], ends[i].end))
+        blocks.append((dates[i], dates[min(i + c.stride, len(dates)) - 1], ends[i].end, sum(r.n for r in ends[:known])))
         i += c.stride
-
-    if blocks and panel.count() <= TASK_ROWS:
-        return boost.walk(panel, blocks, names, c)
-
-    def scores(block):
-        first, last, end = block
-        model = boosted_fit(panel.where(F.col("date") <= F.lit(end)), names, c)
-        return model.transform(panel.where(F.col("date").between(F.lit(first), F.lit(last)))).select("date", "ticker", "composite_score")
-
-    with ThreadPoolExecutor(FITS) as pool:
-        out = None
-        for rows in pool.map(scores, blocks):
-            out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else panel.select("date", "ticker", F.lit(None).cast("double").alias("composite_score")).limit(0)
+    if not blocks:
+        return panel.select("date", "ticker", F.lit(None).cast("double").alias("composite_score")).limit(0)
+    return boost.walk(panel, blocks, names, c)
 
 
 def run_id(method: str, config: dict) -> tuple[str, str]:

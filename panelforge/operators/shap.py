@@ -10,18 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _tree(node, weight: float):
-    if node.numDescendants() == 0:
-        return weight * node.prediction(), node.impurityStats().count()
-    left, right = _tree(node.leftChild(), weight), _tree(node.rightChild(), weight)
-    return node.split().featureIndex(), node.split().threshold(), left, right, left[-1] + right[-1]
-
-
-def trees_of(model) -> list:
-    """The trees of a fitted GBTRegressionModel as nested tuples with weights applied (continuous features)."""
-    return [_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights)]
-
-
 def _paths(tree, path=()):
     """Each leaf with its value and the splits above it: (feature, threshold, whether left, share of the rows that go there)."""
     if len(tree) == 2:

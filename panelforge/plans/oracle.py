@@ -23,6 +23,20 @@ def asof(target: str, source: str, cols: list[str], extra: str = "") -> str:
         WINDOW w AS (PARTITION BY ticker ORDER BY date, t ROWS UNBOUNDED PRECEDING)) WHERE t = 1"""
 
 
+def features(x: str, names: list[str]) -> str:
+    """The panel of the factors ``names``, rank correlations with forward returns and weights; ``x`` ends the tables' names."""
+    ranks = ", ".join(f"rank() OVER (PARTITION BY factor_name, date ORDER BY {c}) + (count(*) OVER (PARTITION BY factor_name, date, {c}) - 1) / 2.0 AS {r}" for c, r in (("score", "rx"), ("fwd", "ry")))
+    return f"""pan0{x} AS (SELECT date, ticker, {", ".join(f"max(CASE WHEN factor_name = '{n}' THEN final_score END) AS {n}" for n in names)} FROM scores WHERE factor_name IN ({", ".join(f"'{n}'" for n in names)}) GROUP BY 1, 2),
+    pan1{x} AS (SELECT date, ticker, {", ".join(f"coalesce({n}, median({n}) OVER (PARTITION BY date)) AS {n}" for n in names)} FROM pan0{x}),
+    panel{x} AS (SELECT * FROM pan1{x} JOIN fwd USING (date, ticker) WHERE fwd IS NOT NULL AND {" AND ".join(f"{n} IS NOT NULL" for n in names)}),
+    plong{x} AS ({" UNION ALL ".join(f"SELECT date, ticker, fwd, '{n}' AS factor_name, {n} AS score FROM panel{x}" for n in names)}),
+    prk{x} AS (SELECT *, {ranks} FROM plong{x}),
+    pic{x} AS (SELECT factor_name, date, CASE WHEN count(*) >= 5 THEN covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) END AS ic FROM prk{x} GROUP BY 1, 2),
+    pm{x} AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN avg(ic) OVER w END AS mean FROM pic{x} WINDOW w AS (PARTITION BY factor_name ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)),
+    icw{x} AS (SELECT date, factor_name, CASE WHEN total > 0 THEN greatest(coalesce(mean, 0), 0) / total ELSE 1.0 / k END AS weight FROM
+        (SELECT *, sum(greatest(coalesce(mean, 0), 0)) OVER w AS total, count(*) OVER w AS k, max(mean) OVER w AS best FROM pm{x} WINDOW w AS (PARTITION BY date)) WHERE best IS NOT NULL)"""
+
+
 def stage(x: str, col: str) -> str:
     """Evaluation of the scores in ``col``; ``x`` ends the tables' names."""
     return f"""pairs{x} AS (SELECT factor_name, date, ticker, {col} AS score, fwd FROM scores JOIN fwd USING (date, ticker)),
@@ -122,14 +136,7 @@ def base(by: str) -> str:
     rs1 AS (SELECT *, CASE WHEN f THEN -tc ELSE (1 + g) * (1 - lag(tc) OVER (PARTITION BY backtest_name ORDER BY date)) - 1 END AS net FROM rs0),
     rs2 AS (SELECT *, 1e7 * product(1 + net) OVER (PARTITION BY backtest_name ORDER BY date ROWS UNBOUNDED PRECEDING) AS v FROM rs1),
     results AS (SELECT backtest_name, date, CASE WHEN f THEN 0 ELSE g END AS gross_return, net AS net_return, v AS portfolio_value, v / max(v) OVER (PARTITION BY backtest_name ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown, turnover, tc AS transaction_costs FROM rs2),
-    pan0 AS (SELECT date, ticker, {", ".join(f"max(CASE WHEN factor_name = '{n}' THEN final_score END) AS {n}" for n in sorted(PRICE + VALUE))} FROM scores WHERE factor_name IN ({", ".join(f"'{n}'" for n in PRICE + VALUE)}) GROUP BY 1, 2),
-    pan1 AS (SELECT date, ticker, {", ".join(f"coalesce({n}, median({n}) OVER (PARTITION BY date)) AS {n}" for n in sorted(PRICE + VALUE))} FROM pan0),
-    panel AS (SELECT * FROM pan1 JOIN fwd USING (date, ticker) WHERE fwd IS NOT NULL AND {" AND ".join(f"{n} IS NOT NULL" for n in PRICE + VALUE)}),
-    plong AS ({" UNION ALL ".join(f"SELECT date, ticker, fwd, '{n}' AS factor_name, {n} AS score FROM panel" for n in PRICE + VALUE)}),
-    prk AS (SELECT *, rank() OVER (PARTITION BY factor_name, date ORDER BY score) + (count(*) OVER (PARTITION BY factor_name, date, score) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY factor_name, date ORDER BY fwd) + (count(*) OVER (PARTITION BY factor_name, date, fwd) - 1) / 2.0 AS ry FROM plong),
-    pic AS (SELECT factor_name, date, CASE WHEN count(*) >= 5 THEN covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) END AS ic FROM prk GROUP BY 1, 2),
-    pm AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN avg(ic) OVER w END AS mean FROM pic WINDOW w AS (PARTITION BY factor_name ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)),
-    icw AS (SELECT date, factor_name, CASE WHEN total > 0 THEN greatest(coalesce(mean, 0), 0) / total ELSE 1.0 / k END AS weight FROM (SELECT *, sum(greatest(coalesce(mean, 0), 0)) OVER w AS total, count(*) OVER w AS k, max(mean) OVER w AS best FROM pm WINDOW w AS (PARTITION BY date)) WHERE best IS NOT NULL),
+    {features("", sorted(PRICE + VALUE))},
     mpx AS (SELECT date, median(adj_close) AS px FROM px GROUP BY 1),
     rf0 AS (SELECT date, px, px / lag(px) OVER (ORDER BY date) - 1 AS ret, px / lag(px, 252) OVER (ORDER BY date) - 1 AS mom FROM mpx),
     rf1 AS (SELECT *, CASE WHEN count(ret) OVER w >= 5 THEN stddev_samp(ret) OVER w * sqrt(252.0) END AS vol FROM rf0 JOIN wide USING (date) WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
@@ -226,9 +233,9 @@ SELECTS = {
     "return_histogram": ("bucket", "SELECT bin::INTEGER AS bin, a + bin * (b - a) / 50 AS low, a + (bin + 1) * (b - a) / 50 AS high, count(*) AS n FROM (SELECT a, b, least(coalesce(floor((value - a) / nullif(b - a, 0) * 50), 0), 49) AS bin FROM mpanel CROSS JOIN (SELECT min(value) AS a, max(value) AS b FROM mpanel) WHERE value IS NOT NULL) GROUP BY bin, a, b"),
     "normal_quantiles": ("bucket", "SELECT p, m + s * z AS theoretical, o AS observed FROM (VALUES " + ", ".join(f"({(i + 1) / 20}::DOUBLE, {NormalDist().inv_cdf((i + 1) / 20)!r}::DOUBLE, {i + 1})" for i in range(19)) + ") v(p, z, i) JOIN (SELECT unnest(q) AS o, unnest(range(1, 20)) AS i, m, s FROM (SELECT avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, [" + ", ".join(str((i + 1) / 20) for i in range(19)) + "]) AS q FROM mpanel)) USING (i)"),
     "member_any_by_month": ("bucket", "SELECT last_day(date) AS month, ticker, coalesce(bool_or(in_universe), false) AS any_true FROM member GROUP BY 1, 2"),
-    "feature_panel": ("bucket", "SELECT * FROM panel"),
-    "ic_weights": ("bucket", "SELECT * FROM icw"),
-    "ic_composite": ("bucket", "SELECT date, ticker, sum(weight * score) AS composite_score FROM plong JOIN icw USING (date, factor_name) GROUP BY 1, 2"),
+    "feature_panel": ("bucket", "SELECT * FROM panel_all"),
+    "ic_weights": ("bucket", "SELECT * FROM icw_all"),
+    "ic_composite": ("bucket", "SELECT date, ticker, sum(weight * score) AS composite_score FROM plong_all JOIN icw_all USING (date, factor_name) GROUP BY 1, 2"),
     "factor_corr": ("bucket", "SELECT factor_a, factor_b, correlation FROM (SELECT a.factor_name AS factor_a, b.factor_name AS factor_b, covar_samp(a.r, b.r) / nullif(stddev_samp(a.r) * stddev_samp(b.r), 0) AS correlation FROM r a JOIN r b ON a.date = b.date AND a.ticker = b.ticker AND a.factor_name <= b.factor_name GROUP BY 1, 2)"),
     "regime_features": ("bucket", "SELECT * FROM feats"),
     "regime_profile": ("bucket", "SELECT regime_id, feature, mean, (mean - avg(mean) OVER w) / CASE WHEN stddev_samp(mean) OVER w > 1e-12 THEN stddev_samp(mean) OVER w END AS z FROM (SELECT regime_id, feature, avg(value) AS mean FROM (UNPIVOT (SELECT * FROM feats JOIN states USING (date)) ON market_vol, market_mom, vix_level, vix_change, yield_slope, credit_spread, gdp_growth INTO NAME feature VALUE value) GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature)"),
@@ -263,7 +270,8 @@ EXTRA = {
         greatest(0.4, 1.0 / count(*) OVER (PARTITION BY backtest_name, date)) AS cap FROM (SELECT backtest_name, date, ticker, (k - top + 1) / (k * (k + 1) / 2.0) AS a FROM rkd WHERE top <= k))""",
     **{n: fama_macbeth(sorted(PRICE + VALUE)) for n in ("fama_macbeth_coef", "fama_macbeth_weights", "composite_scores")},
     "factor_metrics": ", " + stage("_raw", "raw_score"),
-    "factor_corr": ", r AS (" + " UNION ALL ".join(f"SELECT date, ticker, '{n}' AS factor_name, rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS r FROM panel" for n in PRICE + VALUE) + ")",
+    **{n: f", {features('_all', FACTORS)}" for n in ("feature_panel", "ic_weights", "ic_composite")},
+    "factor_corr": f", {features('_all', FACTORS)}, r AS (" + " UNION ALL ".join(f"SELECT date, ticker, '{n}' AS factor_name, rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS r FROM panel_all" for n in FACTORS) + ")",
     "regime_labels": ", m AS (SELECT regime_id, avg(market_vol) AS v, avg(market_mom) AS o, avg(yield_slope) AS s FROM feats JOIN states USING (date) GROUP BY 1)",
 }
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
 from ..operators import backtest, combine, evaluate, factors, regime, report, returns, shap
-from ..sources import io
+from ..sources import io, models, store
 from ..sources.ledger import Ledger
 from ..sources.ranges import SPECS, Range
 from . import oracle
-from .catalog import BASIC, standard
+from .catalog import standard
 from .panels import leased, opened
 
 S, X, D = "string", "double", "date"
@@ -67,6 +67,10 @@ def _panel(s):
     return s("feature panel")
 
 
+def _basic(s):
+    return s("basic panel")
+
+
 def _features(s):
     return regime.regime_features(s("prices"), s("macro"))
 
@@ -118,12 +122,12 @@ plan("drawdown_spans", "backtest_name:string start_date:date end_date:date n_dat
 plan("return_histogram", "bin:int low high n:bigint")(lambda s: report.histogram(_mpanel(s)))
 plan("normal_quantiles", "p theoretical observed")(lambda s: report.normal_quantiles(_mpanel(s)))
 plan("member_any_by_month", "month:date ticker:string any_true:boolean")(lambda s: report.any_by_month(_member(s), "in_universe"))
-plan("feature_panel", KEY + " ".join(BASIC) + " fwd")(_panel)
+plan("feature_panel", KEY + " ".join(factors.FACTORS) + " fwd")(_panel)
 plan("ic_weights", "date:date factor_name:string weight")(lambda s: combine.ic_weights(_panel(s)))
 plan("ic_composite", KEY + "composite_score")(lambda s: combine.composite(_panel(s), combine.ic_weights(_panel(s))))
-plan("fama_macbeth_coef", "date:date factor_name:string beta")(lambda s: combine.regressions(_panel(s)))
-plan("fama_macbeth_weights", "date:date factor_name:string weight")(lambda s: combine.fama_macbeth_weights(combine.regressions(_panel(s))))
-plan("composite_scores", KEY + "method:string composite_score")(lambda s: combine.composites(_panel(s), [combine.ICWeighted(), combine.FamaMacBeth()]))
+plan("fama_macbeth_coef", "date:date factor_name:string beta")(lambda s: combine.regressions(_basic(s)))
+plan("fama_macbeth_weights", "date:date factor_name:string weight")(lambda s: combine.fama_macbeth_weights(combine.regressions(_basic(s))))
+plan("composite_scores", KEY + "method:string composite_score")(lambda s: combine.composites(_basic(s), [combine.ICWeighted(), combine.FamaMacBeth()]))
 plan("factor_corr", "factor_a:string factor_b:string correlation")(lambda s: combine.factor_corr(_panel(s)))
 plan("regime_features", "date:date " + " ".join(regime.FEATURES))(_features)
 plan("regime_profile", "regime_id:int feature:string mean z")(lambda s: regime.regime_profile(_features(s), _states(s)))
@@ -168,10 +172,16 @@ def _boosted(s):
     return combine.boosted_walk(_panel(s))
 
 
+@plan("model_scores", KEY + "composite_score")
+def _model(s):
+    saved = store.opened(s.panels.star.spark, s("model"))
+    return models.scored(_panel(s), models.nodes_of(saved, "boosted"))
+
+
 @plan("shap_importance", "factor_name:string importance")
 def _shap(s):
     panel = _panel(s)
-    return shap.importance(shap.shap_values(panel, combine.boosted_trees(panel, BASIC), BASIC))
+    return shap.importance(shap.shap_values(panel, combine.boosted_trees(panel, factors.FACTORS), factors.FACTORS))
 
 
 def _query(name: str):

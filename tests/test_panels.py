@@ -127,7 +127,7 @@ def test_results_run_in_any_order(spark):
     joined = planned["monthly_returns"].join(planned["factor_BookToPrice"], ["date", "ticker"])
     assert joined.count() > 0
     graph = panels.opened(spark, queries.CATALOG, PATH, "bucket")
-    assert graph.readers["months"] > 1
+    assert graph.readers["returns"] > 1
     panels.release(planned["monthly_returns"])
     assert planned["factor_BookToPrice"].count() > 0
     panels.release(*planned.values())

@@ -154,3 +154,10 @@ def test_shapley_values_equal_all_subsets():
     deep = boost.fit(x, y, combine.TreeConfig(trees=8, depth=6, step=0.3))
     phi, base = shap.shapley(deep, x)
     assert np.allclose(phi.sum(1) + base, boost.predict(deep, x))
+
+
+def test_models_learn_from_a_bounded_share(spark):
+    rows = spark.range(4000).select(F.lit(day(0)).alias("date"), F.col("id").cast("string").alias("ticker"))
+    few = boost.sampled(rows, F.lit(4000), 1000).count()
+    assert 850 < few < 1150 and boost.sampled(rows, F.lit(4000), 4000).count() == 4000
+    assert boost.sampled(rows, F.lit(4000), 1000).exceptAll(boost.sampled(rows, F.lit(4000), 2000)).count() == 0
