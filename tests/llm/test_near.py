@@ -21,8 +21,10 @@ def pages(n, rng, slots=40, wordings=4, words=30):
     return [(i, " ".join(parts[s][w] for s, w in enumerate(own))) for i, own in enumerate(choices)], choices
 
 
-@pytest.mark.parametrize("n", [400])
-def test_template_pages(spark, monkeypatch, n):
+@pytest.mark.parametrize("compared", [50, 10**9])
+def test_template_pages(spark, monkeypatch, compared):
+    monkeypatch.setattr(similar, "COMPARED", compared)  # by parts of sets, or by single keys
+    n = 300
     rows, choices = pages(n, random.Random(3))
     counted, verify = [], similar.verified
 
