@@ -16,9 +16,9 @@ GROWTH = 1.3
 #: Bits of a signature for each shingle of a set, and the most there are.
 DENSITY, MOST_BITS = 4, 8192
 #: Children of a tree's node; sets of one group that one tree holds at most; pairs of nodes looked at together.
-FANOUT, BLOCK, STEP = 16, 2048, 1 << 14
+FANOUT, BLOCK, STEP = 16, 2048, 1 << 12
 #: Bytes of words whose hashes a task keeps.
-CACHE_BYTES = 1 << 25
+CACHE_BYTES = 1 << 24
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
