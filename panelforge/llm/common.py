@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch, shared_dir, written
 
-__all__ = ["Scratch", "ascii_lower", "connected_components", "content", "packed", "shared_dir", "small", "written"]
+__all__ = ["Scratch", "ascii_lower", "connected_components", "content", "packed", "shared_dir", "small", "text_batches", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a side of a join that are broadcast up to this many; their columns are a few ids or digests.
@@ -19,6 +22,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """What runs inside hands texts to Python in batches of so many rows: sets of whole texts take memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def content() -> F.Column:
     """A 128-bit digest of the column ``text``, null as empty: names a text in joins that must not carry it."""
     text = F.coalesce("text", F.lit(""))

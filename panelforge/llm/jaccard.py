@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, content, small
+from .common import Scratch, connected_components, content, small, text_batches
 
 #: Texts link when their sets of shingles of WORDS words share PERCENT of their union.
 WORDS, PERCENT = 3, 90
@@ -273,6 +273,11 @@ def linked_texts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     reachable, the row's own included; null if no row of the component has one. Columns other than doc_id and text are
     not read, repeated rows are repeated, an empty table gives an empty table.
     """
+    with text_batches(docs.sparkSession):
+        return _linked_texts(docs, words, percent)
+
+
+def _linked_texts(docs: DataFrame, words: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(sketches(docs, words, percent), "sketches")
     twins = scratch.write(rows.where("n > 0").groupBy("set_id").agg(F.min("rid").alias("first"), F.count("*").alias("c")).where("c > 1").select("set_id", "first"), "twins")
