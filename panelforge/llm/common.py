@@ -17,9 +17,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table of ids or digests, to be broadcast if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, entries: F.Column | None = None) -> DataFrame:
+    """``df``, a written table of ids or digests, to be broadcast if it has BROADCAST_ROWS rows at most; where rows have
+    an array, ``entries`` is its length, and all rows together have so many entries at most."""
+    n = df.count() if entries is None else df.agg(F.coalesce(F.sum(entries), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 @contextmanager

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, content, small, written
 
-#: Among 4,000 simulated pairs of a similarity just over 0.8 for each of 12 sizes, none was more than 24 bits apart.
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 27
+#: The index has eight blocks of eight bits, so it finds all fingerprints up to seven bits apart.
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 7
+#: More shingles than a text has.
+MANY = 2**31 - 1
 
 
 def words(text) -> F.Column:
@@ -52,42 +54,61 @@ def indexed(rows: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
 
 
 def short_runs(sizes: list[int]) -> F.Column:
-    """Runs of words of each of the ``sizes`` under WORDS, hashed as items of that size are: (position, shingle)."""
+    """Runs of words of each of the ``sizes`` under WORDS, hashed as items of that size are: (position, shingle).
+
+    A text of just so many words has this run as its one shingle already.
+    """
     w = F.col("w")
 
     def runs(k):
         found = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.slice(w, i + 1, k), " ")).alias("g")))
-        return F.when(F.size(w) >= k, found).otherwise(F.array().cast("array<struct<pos:int,g:bigint>>"))
+        return F.when(F.size(w) > k, found).otherwise(F.array().cast("array<struct<pos:int,g:bigint>>"))
 
     return F.concat(*map(runs, sizes))
 
 
-def anchored(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``content, ref, size, m, pos, at``: shingle ``pos`` of a text is shingle ``at`` of an item with ``m`` shingles."""
-    known = items.select("ref", "size", F.size("grams").alias("m"), F.posexplode("grams").alias("at", "g"))
+def counted(items: DataFrame) -> DataFrame:
+    """``ref, size, m, g, d``: shingle ``g`` occurs ``d`` times among the ``m`` of an item."""
+    each = items.select("ref", "size", F.size("grams").alias("m"), F.explode("grams").alias("g"))
+    return each.groupBy("ref", "size", "m", "g").agg(F.count("*").cast("int").alias("d"))
+
+
+def occurrences(docs: DataFrame, items: DataFrame, known: DataFrame) -> DataFrame:
+    """``content, n, g, at``: the places, in order, of a benchmark shingle ``g`` in a text of ``n`` shingles (MANY for
+    the runs of short items). Linear in the texts; equal texts are one."""
     texts = docs.select(content().alias("content"), words(F.col("text")).alias("w"))
     sizes = [r["size"] for r in items.where(F.col("size") < WORDS).select("size").distinct().collect()]  # four at most
     # the outer form: for the inner one the optimizer adds a filter on the array and computes it there once more
-    runs = shingled(texts).select("content", F.posexplode_outer("grams").alias("pos", "g"))
+    runs = shingled(texts).select("content", F.size("grams").alias("n"), F.posexplode_outer("grams").alias("pos", "g"))
     if sizes:
-        runs = runs.unionByName(texts.select("content", F.inline(short_runs(sizes))))
-    return runs.join(small(known), "g").select("content", "ref", "size", "m", "pos", "at").distinct()
+        runs = runs.unionByName(texts.select("content", F.lit(MANY).alias("n"), F.inline(short_runs(sizes))))
+    met = runs.join(small(known.select("g").distinct()), "g", "left_semi")
+    return met.groupBy("content", "n", "g").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
 
-def window_starts(anchors: DataFrame) -> DataFrame:
-    """``content, ref, size, start``: windows of the item's size that can be most similar to it.
+def best_windows(met: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """``content, ref, size, start``: of the windows of an item's size, the first that shares most shingles with it.
 
-    As a window moves, each unbroken run of shared shingles adds to the similarity until it ends within the window
-    and takes from it once the window starts after the run's begin. So a most similar window starts with a run, or
-    ends with one, or is in line with the item.
+    A window from shingle s on has m shingles, as the item has (or all n of a shorter text), so the most shared ones
+    make it the most similar. An occurrence at p counts in the windows from p - m + 1 to p; one that has d or more of
+    its shingle before it counts only in those that start after the d-th before it. So windows share as many shingles
+    as there are such stretches over their start: one running sum over the stretches' ends, whatever repeats. Pairs
+    that don't have enough occurrences for the threshold in the whole text are left out before that.
     """
-    run = Window.partitionBy("content", "ref", F.col("pos") - F.col("at")).orderBy("pos")
-    ends = F.array(
-        F.col("pos") - F.col("at"),
-        F.when(F.coalesce(F.lag("pos").over(run) != F.col("pos") - 1, F.lit(True)), F.col("pos")),
-        F.when(F.coalesce(F.lead("pos").over(run) != F.col("pos") + 1, F.lit(True)), F.col("pos") - F.col("m") + 1))
-    starts = anchors.withColumn("ends", ends).select("content", "ref", "size", F.explode("ends").alias("start")).where("start is not null")
-    return starts.select("content", "ref", "size", F.greatest("start", F.lit(0)).alias("start")).distinct()
+    pair = Window.partitionBy("content", "ref")
+    both = met.join(small(known), "g").withColumn("most", F.sum(F.least(F.size("at"), "d")).over(pair))
+    both = both.where(F.col("most") * (1 + threshold) >= (F.least("m", "n") + F.col("m")) * threshold - 1e-6)
+    last = F.greatest(F.col("n") - F.col("m"), F.lit(0))
+
+    def stretch(p, i):
+        after = F.when(i >= F.col("d"), F.get("at", i - F.col("d")) + 1).otherwise(0)
+        return F.struct(F.greatest(p - F.col("m") + 1, after).alias("lo"), F.least(p, last).alias("hi"))
+
+    spans = both.select("content", "ref", "size", F.inline(F.transform("at", stretch))).where("lo <= hi")
+    ends = F.array(F.struct(F.col("lo").alias("start"), F.lit(1).alias("step")), F.struct((F.col("hi") + 1).alias("start"), F.lit(-1).alias("step")))
+    steps = spans.select("content", "ref", "size", F.inline(ends))
+    level = F.struct(F.sum("step").over(pair.orderBy("start")).alias("shared"), (-F.col("start")).alias("order"))
+    return steps.withColumn("level", level).groupBy("content", "ref", "size").agg(F.max_by("start", "level").alias("start"))
 
 
 def similarities(pairs: DataFrame, windows: DataFrame, items: DataFrame) -> DataFrame:
@@ -102,30 +123,32 @@ def similarities(pairs: DataFrame, windows: DataFrame, items: DataFrame) -> Data
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``(content, item_id, similarity)``: digests of texts with a window that is near a benchmark item, written.
 
-    Windows have as many words as the item. A window can only reach the threshold if it shares a shingle with the
-    item, so a pass over all shingles of all texts, joined with the benchmark's, tells where windows may start (see
-    window_starts). These windows and the items get SimHash fingerprints; a join on the item and the blocks of a
-    multi-index finds every pair within the radius, and the shingles' exact weighted similarity decides. Equal windows
-    are compared once.
+    Windows have as many words as an item. A window can only reach the threshold if it shares shingles with the item,
+    so a pass over all shingles of all texts, joined with the benchmark's, tells where windows are cut (see
+    best_windows). These windows and the items get SimHash fingerprints, and a multi-index over their blocks finds
+    all items of a window's size within the radius. As similar windows can be farther apart, the window of a text
+    that is best for an item is a candidate for it in any case. The shingles' exact weighted similarity decides on
+    all candidates. Equal windows are compared once.
     """
     scratch = Scratch(docs.sparkSession)
     items = shingled(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).distinct()).withColumn("size", F.size("w")).where("size > 0")
     items = scratch.write(items.select(F.monotonically_increasing_id().alias("ref"), "item_id", "size", "grams"), "items")
-    anchors = scratch.write(anchored(docs, items), "anchors")
-    starts = scratch.write(window_starts(anchors), "starts")
+    known = scratch.write(counted(items), "known")
+    starts = scratch.write(best_windows(scratch.write(occurrences(docs, items, known), "met"), known, threshold), "starts")
     spots = scratch.write(starts.groupBy("content").agg(F.collect_set(F.struct("start", "size")).alias("spots")), "spots")
     texts = docs.select(content().alias("content"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(small(spots), "content").dropDuplicates(["content"]).select("content", "spots", words(F.col("text")).alias("w"))
+    texts = texts.join(small(spots, F.size("spots")), "content").dropDuplicates(["content"]).select("content", "spots", words(F.col("text")).alias("w"))
     cut = F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.array_join(F.slice(F.col("w"), s["start"] + 1, s["size"]), " ").alias("words")))
-    windows = texts.select("content", F.inline(cut)).where("words <> ''").withColumn("id", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b")))
+    windows = texts.select("content", F.inline(cut)).withColumn("id", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b")))
     windows = scratch.write(windows, "windows")
-    pairs = scratch.write(windows.join(starts, ["content", "start", "size"]).select("content", "id", "ref").distinct(), "pairs")
-    distinct = scratch.write(shingled(windows.dropDuplicates(["id"]).select("id", F.split("words", " ").alias("w"))).select("id", "grams"), "distinct")
-    left = indexed(pairs.select("id", "ref").distinct().join(fingerprints(distinct, "id"), "id"), radius)
-    right = indexed(fingerprints(items, "ref").withColumnRenamed("fp", "own"), radius, "own").select("ref", "own", "block", "value")
-    near = left.join(right, ["ref", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= radius).select("id", "ref").distinct()
-    sure = scratch.write(similarities(near, distinct, items).where(F.col("similarity") >= threshold - 1e-9), "sure")
-    found = pairs.join(sure, ["id", "ref"]).join(small(items.select("ref", "item_id")), "ref")
+    own = windows.join(starts, ["content", "start", "size"]).select("id", "ref")
+    distinct = scratch.write(shingled(windows.dropDuplicates(["id"]).select("id", "size", F.split("words", " ").alias("w"))).select("id", "size", "grams"), "distinct")
+    left = indexed(distinct.select("id", "size").join(fingerprints(distinct, "id"), "id"), radius)
+    right = indexed(items.select("ref", "size").join(fingerprints(items, "ref").withColumnRenamed("fp", "own"), "ref"), radius, "own")
+    near = left.join(right, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= radius).select("id", "ref")
+    pairs = scratch.write(near.unionByName(own).distinct(), "pairs")
+    sure = scratch.write(similarities(pairs, distinct, items).where(F.col("similarity") >= threshold - 1e-9), "sure")
+    found = windows.select("content", "id").join(sure, "id").join(small(items.select("ref", "item_id")), "ref")
     found = scratch.write(found.groupBy("content", "item_id").agg(F.max("similarity").alias("similarity")), "found")
     scratch.drop(found)
     return found

@@ -299,7 +299,8 @@ def test_op6_all_windows(spark):
     vocab = [f"w{i}" for i in range(2000)]
     pad = lambda k: [rng.choice(vocab) for _ in range(k)]
     items = [(k, pad(size)) for k, size in enumerate([1, 2, 4, 5, 6, 9, 12, 20, 33, 47, 60])] + [(11, ["a", "b"] * 12)]
-    texts = [[], ["w1"]]
+    items += [(12, ["r"] * 40), (13, ["a", "b", "c", "a", "b"] * 6 + pad(12)), (14, pad(8) + ["r"] * 10 + pad(8))]
+    texts = [[], ["w1"], ["r"] * 39, ["r"] * 30, ["r"] * 700 + pad(50), ["a", "b", "c", "a", "b"] * 40]
     for _, words in items:
         for n in range(12):
             own = words.copy()
@@ -330,6 +331,20 @@ def test_op6_all_windows(spark):
             assert abs(r.similarity - max(own.values())) < 1e-9 and own[r.item_id] > max(own.values()) - 1e-9
 
 
+def test_op6_one_word(spark):
+    """A word repeated 20,000 times against items that repeat it: places are rows, not places by places."""
+    items = spark.createDataFrame([(1, "x " * 200), (2, "x " * 60 + "y " * 60), (3, "x " * 3)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " * 20_000), (2, "z " + "x " * 58 + "y " * 20_000), (3, "y " * 20_000)], "doc_id long, text string")
+    known = decontaminate.counted(shown := decontaminate.shingled(items.select("item_id", decontaminate.words(F.col("text")).alias("w"))).select(F.col("item_id").alias("ref"), F.size("w").alias("size"), "grams"))
+    met = decontaminate.occurrences(docs, shown, known)
+    assert met.agg(F.sum(F.size("at"))).first()[0] < 130_000  # each place once for runs of five words and once for those of three
+    starts = decontaminate.best_windows(met, known, 0.8).collect()
+    # 60 of x and 60 of y: windows of the second text share 114 of 116 shingles with or without z
+    assert sorted((r.ref, r.start) for r in starts) == [(1, 0), (2, 0), (3, 0), (3, 1)]
+    got = {r.doc_id: (r.n_items, r.item_id, r.similarity) for r in decontaminate.contamination(docs, items).collect()}
+    assert got[1] == (2, 1, 1.0) and got[2][:2] == (2, 3) and got[3] == (0, None, 0.0)
+
+
 def test_blocks_find_all_within_radius():
     rng = random.Random(4)
     for _ in range(300):
