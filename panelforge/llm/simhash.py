@@ -66,8 +66,12 @@ def variants(fps: DataFrame, radius: int, *keep) -> DataFrame:
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of distinct fingerprints that differ in 1 to ``radius`` bits; every such pair, once."""
-    index = variants(fps.select("fp").distinct(), radius).select("key.bit", "key.rest", "fp")
+    """Pairs ``(a, b)``, a < b, of distinct fingerprints that differ in 1 to ``radius`` bits; every such pair, once.
+
+    The index has 64 rows for each fingerprint, which Spark's estimate of its size does not count, so the join is told to
+    sort and merge: broadcast, the index would go whole through the driver.
+    """
+    index = variants(fps.select("fp").distinct(), radius).select("key.bit", "key.rest", "fp").hint("merge")
     one, other = index.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
     near = one.join(other, ["bit", "rest"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return near.select("a", "b").distinct()
