@@ -21,8 +21,12 @@ def build_model(spark: SparkSession, path: str, panel: DataFrame) -> None:
 def standard() -> Catalog:
     """A new catalog with all of the library's panels; add factors or panels of one's own to it."""
     c = Catalog()
-    for name in ("metadata", "fundamentals", "macro", "market", "earnings", "insiders"):
+    for name in ("metadata", "insiders"):
         c.source(name, getattr(Star, name))
+    for name in ("quarters", "macro", "market"):  # small sums of large tables, which many panels read
+        c.source(name, getattr(Star, name), stored=True)
+    c.panel("fundamentals", ["quarters"], Star.fundamentals)
+    c.panel("earnings", ["quarters"], Star.earnings)
     c.source("prices", Star.prices, stored=True)
     c.panel("months", ["prices"], returns.month_ends, stored=True)
     c.panel("returns", ["months"], returns.returns_of_months, stored=True)

@@ -53,16 +53,26 @@ class Star:
         rows = supplier.join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         return rows.select(self._ticker("s_suppkey").alias("ticker"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"), (1000 + F.abs("s_acctbal")).alias("shares_outstanding"))
 
-    def fundamentals(self) -> DataFrame:
-        """``date, ticker`` and statement fields by quarter-end of the order date."""
-        rows = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    def quarters(self) -> DataFrame:
+        """A row for each ticker and quarter of the order date: sums of its lines, what statements and earnings are made of.
+
+        Lines meet their orders in this one join; where they are many, it is the largest shuffle there is.
+        """
+        lines = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+        orders = self.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice", "o_orderstatus")
+        rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         price, when = F.col("l_extendedprice"), lambda c, v: F.when(F.col(c) == v, F.col("l_extendedprice"))
-        quarter = F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate").cast("date"), 2))
-        return rows.groupBy(quarter.alias("date"), self._ticker().alias("ticker")).agg(
+        return rows.groupBy(F.date_trunc("quarter", "day").cast("date").alias("q"), self._ticker().alias("ticker")).agg(
             self._sum(F.col("o_totalprice")).alias("book_value"), self._sum(price * (1 - F.col("l_discount")), 4).alias("gross_profit"),
             self._sum(price).alias("total_assets"), self._sum(price * F.col("l_tax"), 4).alias("total_debt"),
             self._sum(when("o_orderstatus", "F")).alias("ebitda"), self._sum(when("l_returnflag", "N")).alias("operating_cash_flow"),
-            self._sum(when("l_returnflag", "R")).alias("capital_expenditures"), self._sum(when("l_returnflag", "A")).alias("net_income"))
+            self._sum(when("l_returnflag", "R")).alias("capital_expenditures"), self._sum(when("l_returnflag", "A")).alias("net_income"),
+            F.min("day").alias("first"), F.sum("l_quantity").alias("quantity"))
+
+    @staticmethod
+    def fundamentals(quarters: DataFrame) -> DataFrame:
+        """``date, ticker`` and statement fields by quarter-end of the order date."""
+        return quarters.select(F.last_day(F.add_months("q", 2)).alias("date"), "ticker", "book_value", "gross_profit", "total_assets", "total_debt", "ebitda", "operating_cash_flow", "capital_expenditures", "net_income")
 
     def macro(self) -> DataFrame:
         """``date, series_name, value``: mean order value by day and priority."""
@@ -76,10 +86,10 @@ class Star:
         w = Window.orderBy("date")  # one row for each trading day
         return daily.select("date", (F.col("p") / F.lag("p").over(w) - 1).alias("mkt_rf"), F.lit(0.0001).alias("rf"))
 
-    def earnings(self) -> DataFrame:
+    @staticmethod
+    def earnings(quarters: DataFrame) -> DataFrame:
         """``ticker, date, eps_estimate, reported_eps, surprise_pct`` on the first order date of a quarter."""
-        rows = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        q = rows.groupBy(self._ticker().alias("ticker"), F.date_trunc("quarter", "o_orderdate").alias("q")).agg(F.min(F.to_date("o_orderdate")).alias("date"), (self._sum(F.col("l_extendedprice")) / F.sum("l_quantity")).alias("reported_eps"))
+        q = quarters.select("ticker", "q", F.col("first").alias("date"), (F.col("total_assets") / F.col("quantity")).alias("reported_eps"))
         prior = F.lag("reported_eps").over(Window.partitionBy("ticker").orderBy("q"))
         return q.select("ticker", "date", prior.alias("eps_estimate"), "reported_eps", (100 * (F.col("reported_eps") / prior - 1)).alias("surprise_pct"))
 
