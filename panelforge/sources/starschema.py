@@ -56,13 +56,18 @@ class Star:
     def quarters(self) -> DataFrame:
         """A row for each ticker and quarter of the order date: sums of its lines, what statements and earnings are made of.
 
-        Lines meet their orders in this one join; where they are many, it is the largest shuffle there is.
+        Lines meet their orders in this one join; where they are many, it is the largest shuffle there is. A task of the join
+        has lines of all suppliers, so sums taken there would have about a row for each line, several times its size: for
+        suppliers the lines themselves go on, to one task for all of a supplier's quarter. Buckets are few, and summed first.
         """
         lines = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
         orders = self.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice", "o_orderstatus")
         rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = rows.withColumns({"q": F.date_trunc("quarter", "day").cast("date"), "ticker": self._ticker()}).drop("l_orderkey", "o_orderkey", "l_suppkey")
+        if self.by == "supplier":
+            rows = rows.repartition("q", "ticker")
         price, when = F.col("l_extendedprice"), lambda c, v: F.when(F.col(c) == v, F.col("l_extendedprice"))
-        return rows.groupBy(F.date_trunc("quarter", "day").cast("date").alias("q"), self._ticker().alias("ticker")).agg(
+        return rows.groupBy("q", "ticker").agg(
             self._sum(F.col("o_totalprice")).alias("book_value"), self._sum(price * (1 - F.col("l_discount")), 4).alias("gross_profit"),
             self._sum(price).alias("total_assets"), self._sum(price * F.col("l_tax"), 4).alias("total_debt"),
             self._sum(when("o_orderstatus", "F")).alias("ebitda"), self._sum(when("l_returnflag", "N")).alias("operating_cash_flow"),
