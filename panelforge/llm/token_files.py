@@ -79,6 +79,8 @@ def parts(n: np.ndarray, most: int = 1 << 18) -> list[slice]:
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Signs that a word is often followed by: the pattern cuts before them.
+ENDS = frozenset(".,;:!?")
 #: The suffix of pieces that end a word.
 SUFFIX = "</w>"
 
@@ -158,17 +160,18 @@ class Encoder:
         together = b"\n".join(new).decode("utf-8", "surrogatepass").lower()
         plain, alone, cuts, odd = max(together) < PLAIN, {}, {}, []
         for c, text in zip(new, together.split("\n")):
-            if b"<|" in c or not (plain or max(text) < PLAIN):
-                odd.append(c)
-            elif text.isalpha():
+            known = plain or text.isascii() or max(text) < PLAIN
+            if known and text.isalpha():
                 alone[c] = text
-            elif text.isprintable():
+            elif known and text[-1] in ENDS and text[:-1].isalpha():
+                cuts[c] = [text[:-1], text[-1]]
+            elif known and b"<|" not in c and text.isprintable():
                 cuts[c] = self.cut(text)
             else:
                 odd.append(c)
-        words = {w for parts in cuts.values() for w in parts}.union(alone.values())
-        ids = {w: x for w in words if (x := young.get(w.encode())) is not None}
-        ids |= self._words(list(words - ids.keys()))
+        words = {w for parts in cuts.values() for w in parts}
+        ids = {w: x for w in words if (x := young.get(w.encode())) is not None}  # chunks of one word are new themselves
+        ids |= self._words(list(words.union(alone.values()) - ids.keys()))
         of = ids.__getitem__
         found = dict(zip(alone, map(of, alone.values())))
         found.update((c, b"".join(map(of, parts))) for c, parts in cuts.items())
