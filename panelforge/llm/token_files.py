@@ -17,6 +17,7 @@ import json
 import os
 import uuid
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, text_batches
 from .pieces import _iterated, groups
 
 #: Bytes of each of the two generations of chunks a Python worker remembers, counting OVERHEAD for each chunk.
-CACHE_BYTES, OVERHEAD = 32 << 20, 200
+CACHE_BYTES, OVERHEAD = 96 << 20, 200
 #: Longer chunks (in bytes) are not remembered. Words in a line for the library, and lines in a call.
 LONG, LINE = 100, 128
 #: Chunks with signs from here on, or with control signs, may be changed or cut in a way of the library's own.
@@ -107,14 +108,25 @@ def divisible(tokenizer) -> bool:
     return same and whole and all("<|" in x["content"] for x in file["added_tokens"])
 
 
+def words_only(tokenizer):
+    """The same model (shared, not copied) for lines of words that are normalised and cut already: white space alone cuts
+    them."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer(tokenizer.model)
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return t
+
+
 class Encoder:
     """Encodes texts chunk by chunk (what stands between ASCII white space), for tokenizers that are ``divisible``.
 
     Each distinct chunk is encoded once and remembered, by the tasks of a worker together, in two generations: chunks
     in use move to the younger, and the older goes when the younger has CACHE_BYTES. New chunks are cut into words by
-    the tokenizer's own pattern, and distinct new words go through the library in lines of LINE words; the pieces with
-    SUFFIX tell where a word ends. Chunks whose lower-casing or cutting could differ from the library's go through it
-    whole; so do all texts where the tokenizer is of another kind. Long chunks are not remembered.
+    the tokenizer's own pattern, and distinct new words go through the library's model in lines of LINE words (see
+    words_only); the pieces with SUFFIX tell where a word ends. Chunks whose lower-casing or cutting could differ from
+    the library's go through it whole; so do all texts where the tokenizer is of another kind. Long chunks are not
+    remembered.
     """
 
     def __init__(self, path: str):
@@ -122,6 +134,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
         self.divisible = divisible(t)
         self.ends = np.array([(t.id_to_token(i) or "").endswith(SUFFIX) for i in range(t.get_vocab_size())])
+        self.model = words_only(t) if self.divisible else t
         self.cut = regex.compile(PRETOKENS).findall
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -131,57 +144,56 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of the pattern; those of a line come apart after each piece with SUFFIX."""
-        out, width = {}, self.dtype.itemsize
-        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
-        for at in range(0, len(lines), LINE):
-            part = lines[at : at + LINE]
-            for line, found in zip(part, self.tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
-                ids = np.array(found.ids, self.dtype)
-                edge = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-                if len(edge) != len(line):
-                    out.update(zip(line, self._library(line)))
-                    continue
-                raw = ids.tobytes()
-                out.update(zip(line, (raw[width * a : width * b] for a, b in zip([0, *edge], edge))))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the words of the pattern; those of a call come apart after each piece with SUFFIX."""
+        out, width = [], self.dtype.itemsize
+        for at in range(0, len(words), LINE * LINE):
+            part = words[at : at + LINE * LINE]
+            lines = [" ".join(part[i : i + LINE]) for i in range(0, len(part), LINE)]
+            found = self.model.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable([x.ids for x in found]), self.dtype)
+            edge = (width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(edge) != len(part):
+                out += self._library(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *edge], edge)]
         return out
 
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of ``chunks`` that aren't remembered; long ones are not from now on either."""
+    def _learn(self, chunks: set[bytes]) -> list[bytes]:
+        """Puts the ids of all ``chunks`` into the younger generation; returns the long ones, which are not to stay."""
         young, old = self.young, self.old
-        new = chunks - young.keys()
-        for c in new & old.keys():
-            young[c] = old[c]
-            self.size += len(c) + len(old[c]) + OVERHEAD
-        new = list(new - young.keys())
+        new = chunks.difference(young)
+        again = old.keys() & new
+        for c in again:
+            young[c] = x = old[c]
+            self.size += len(c) + len(x) + OVERHEAD
+        new = list(new - again)
         if not new:
-            return {}
+            return []
         together = b"\n".join(new).decode("utf-8", "surrogatepass").lower()
-        plain, alone, cuts, odd = max(together) < PLAIN, {}, {}, []
+        plain, alone, ended, cuts, odd = max(together) < PLAIN, {}, {}, {}, []
         for c, text in zip(new, together.split("\n")):
             known = plain or text.isascii() or max(text) < PLAIN
             if known and text.isalpha():
                 alone[c] = text
             elif known and text[-1] in ENDS and text[:-1].isalpha():
-                cuts[c] = [text[:-1], text[-1]]
+                ended[c] = text[:-1]
             elif known and b"<|" not in c and text.isprintable():
                 cuts[c] = self.cut(text)
             else:
                 odd.append(c)
-        words = {w for parts in cuts.values() for w in parts}
-        ids = {w: x for w in words if (x := young.get(w.encode())) is not None}  # chunks of one word are new themselves
-        ids |= self._words(list(words.union(alone.values()) - ids.keys()))
-        of = ids.__getitem__
-        found = dict(zip(alone, map(of, alone.values())))
-        found.update((c, b"".join(map(of, parts))) for c, parts in cuts.items())
-        found.update(zip(odd, self._library([c.decode("utf-8", "surrogatepass") for c in odd])))
-        rest = {c: x for c, x in found.items() if len(c) > LONG} if max(map(len, new)) > LONG else {}
-        for c in rest:
-            del found[c]
-        young.update(found)
-        self.size += sum(map(len, found)) + sum(map(len, found.values())) + OVERHEAD * len(found)
-        return rest
+        young.update(zip(alone, self._words(list(alone.values()))))
+        words = {*ENDS, *ended.values(), *chain.from_iterable(cuts.values())}
+        ids = {w: x for w in words if (x := young.get(w.encode())) is not None}  # met as a chunk of its own
+        rest = list(words - ids.keys())
+        ids.update(zip(rest, self._words(rest)))
+        young.update((c, ids[w] + ids[chr(c[-1])]) for c, w in ended.items())
+        young.update((c, b"".join([ids[w] for w in parts])) for c, parts in cuts.items())
+        if odd:
+            young.update(zip(odd, self._library([c.decode("utf-8", "surrogatepass") for c in odd])))
+        self.size += sum(map(len, new)) + sum(map(len, map(young.__getitem__, new))) + OVERHEAD * len(new)
+        return [c for c in new if len(c) > LONG] if max(map(len, new)) > LONG else []
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``."""
@@ -191,11 +203,13 @@ class Encoder:
         cut = [(x if b"<|" in x else x.lower()).split() for x in raws]
         if self.size > CACHE_BYTES:
             self.young, self.old, self.size = {}, self.young, 0
-        of = self.young.__getitem__
+        young = self.young
         rest = self._learn(set().union(*cut))
-        if not rest:
-            return [b"".join(map(of, chunks)) for chunks in cut]
-        return [b"".join(rest[c] if c in rest else of(c) for c in chunks) for chunks in cut]
+        of = young.__getitem__
+        out = [b"".join(map(of, chunks)) for chunks in cut]
+        for c in rest:
+            self.size -= len(c) + len(young.pop(c)) + OVERHEAD
+        return out
 
 
 @lru_cache(1)
@@ -221,7 +235,8 @@ def write_token_files(docs: DataFrame, path: str, out: str) -> None:
             yield pd.Series([x + end for part in groups(texts, 1 << 21) for x in encoder(path).encode(part)], dtype=object)
 
     raw = f"{shared_dir(spark)}/raw-ids-{uuid.uuid4().hex}"
-    docs.select("doc_id", _iterated(encode, "binary")("text").alias("raw")).write.parquet(raw)
+    with text_batches(spark):
+        docs.select("doc_id", _iterated(encode, "binary")("text").alias("raw")).write.parquet(raw)
     ids = spark.read.schema(f"doc_id {kind}, raw binary").parquet(raw)
 
     def count(batches):

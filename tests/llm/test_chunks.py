@@ -21,3 +21,23 @@ def test_chunks_equal_the_library():
     want = [encoder.tokenizer.encode(x or "", add_special_tokens=False).ids for x in odd]
     for _ in range(2):  # met for the first time, and remembered
         assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(odd)] == want
+
+
+def test_plain_words_go_to_the_model_alone():
+    texts = ["Word, word été, Straße; don't x1 (a.b) 1.5 --", "naïve; mot: fin! ÿ ŋ ſ µ ªº ß?"]
+    encoder = Encoder(PATH)
+    want = [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    encoder.tokenizer = None  # using it, with its normalizer and pattern, fails
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+
+
+def test_a_vocabulary_of_half_a_million_words_is_learned_once():
+    encoder, asked, own = Encoder(PATH), [0], Encoder._words
+    encoder._words = lambda words: asked.__setitem__(0, asked[0] + len(words)) or own(encoder, words)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(a + b + c + d for c in letters for d in letters) for a in letters for b in letters]
+    parts = [texts[i : i + 20] for i in range(0, len(texts), 20)]
+    first = [encoder.encode(p) for p in parts]
+    learned = asked[0]
+    assert [encoder.encode(p) for p in parts] == first
+    assert asked[0] - learned < learned / 10
